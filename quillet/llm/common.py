@@ -163,7 +163,7 @@ class Words:
 
 def sequence_hash(hashes: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Hash of the n values from each position."""
-    h = np.full(len(at), _U(n) * _STEP, np.uint64)
+    h = np.full(len(at), n * int(_STEP) % 2**64, np.uint64)
     for k in range(n):
         h = mix(h * _BASE + hashes[at + k])
     return h
