@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .decontam import find_contamination, summary
+from .langid import fit, held_out, identify
 from .token_count import count_tokens
 from .warc import archive_and_read_back
 
@@ -16,6 +18,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    found = identify(docs, fit(docs)).select("doc_id", "language")
+    return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that lie in windows of the benchmark."""
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -68,7 +77,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontamination, op4_token_counts, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op4_token_counts, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
