@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
+from .pieces import decoder, encode
 from .token_count import count_tokens
 from .warc import archive_and_read_back
 
@@ -55,6 +56,16 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document under the piece model, as a count and a digest, and whether decoding gives the text back."""
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return encode(docs, model).select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        (decoder(docs, model)(F.col("ids")) == F.col("text")).alias("round_trip"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document under the piece model."""
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
@@ -77,7 +88,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op4_token_counts, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
