@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
+from .ngram_join import jaccard_components
 from .pieces import decoder, encode
 from .token_count import count_tokens
 from .warc import archive_and_read_back
@@ -71,6 +72,28 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
+OP7_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + k - 1], ' ') AS s
+  FROM (SELECT doc_id, w, least(5, len(w)) AS k, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM documents UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id)
+SELECT doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(c) AS component_id
+FROM r LEFT JOIN n USING (doc_id) GROUP BY doc_id
+"""
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page, written as a WARC record and read back through the capture index."""
     back = archive_and_read_back(table(spark, sf_dir, "pages"))
@@ -88,8 +111,8 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op7_ngram_join, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontamination": OP2_SQL, "op8_warc": OP8_SQL}
+    return {"op2_decontamination": OP2_SQL, "op7_ngram_join": OP7_SQL, "op8_warc": OP8_SQL}
