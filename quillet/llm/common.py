@@ -38,7 +38,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillet-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # nothing else reads this query's shuffles: let Spark delete their files when it ends
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
     back = spark.read.schema(df.schema).parquet(path)
     back.staged_at = path
     return back
@@ -131,6 +138,19 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return out
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[starts[i]:ends[i]]; starts ascend, and ranges may overlap."""
+    out, i = np.empty(len(starts), np.uint64), 0
+    while i < len(starts):
+        j = max(i + 1, int(np.searchsorted(starts, starts[i] + _SPAN, "right")))
+        base = starts[i]
+        c = prefix_hash(data[base : ends[i:j].max()])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((c[e] - c[s]) * powers(len(c))[1][s] + (e - s).astype(np.uint64) * _STEP)
+        i = j
+    return out
+
+
 class Words:
     """Words of a batch of texts.
 

@@ -12,6 +12,7 @@ from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
 from .ngram_join import jaccard_components
 from .pieces import decoder, encode
+from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 from .warc import archive_and_read_back
 
@@ -72,6 +73,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that lie in 400-byte strings found elsewhere, and what is left without them."""
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    n_removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", "n_bytes", n_removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Groups of documents whose sets of five-word shingles have a Jaccard similarity of 0.75 or more."""
     return jaccard_components(table(spark, sf_dir, "documents"))
@@ -111,7 +119,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op7_ngram_join, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op6_suffix_dedup, op7_ngram_join, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
