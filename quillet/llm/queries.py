@@ -14,6 +14,7 @@ from .ngram_join import jaccard_components
 from .pieces import decoder, encode
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
+from .vector_dedup import link_vectors
 from .warc import archive_and_read_back
 
 
@@ -73,6 +74,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of vectors with a cosine of 0.95 or more."""
+    return link_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes of every document that lie in 400-byte strings found elsewhere, and what is left without them."""
     found = remove_repeats(table(spark, sf_dir, "documents"))
@@ -119,7 +125,7 @@ FROM q
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op6_suffix_dedup, op7_ngram_join, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op5_vectors, op6_suffix_dedup, op7_ngram_join, op8_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
