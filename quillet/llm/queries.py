@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
 from .ngram_join import jaccard_components
+from .pii import KINDS, digest, find_pii
 from .pieces import decoder, encode
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
@@ -124,8 +125,19 @@ FROM q
 """
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: base spans, and those that learned contexts add."""
+    found = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s["base"])
+    of_kind = lambda kind: F.size(F.filter("pii", lambda s: s["base"] & (s["kind"] == kind))).cast("long")
+    return found.select(
+        "doc_id", *(of_kind(kind).alias(f"n_{kind}") for kind in KINDS),
+        F.sha2(digest(base), 256).alias("base_sha256"), digest(F.col("pii")).alias("spans"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op5_vectors, op6_suffix_dedup, op7_ngram_join, op8_warc)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op5_vectors, op6_suffix_dedup, op7_ngram_join, op8_warc, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
