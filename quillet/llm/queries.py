@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
+from .common import stage
+from .lm_score import score_documents
 from .ngram_join import jaccard_components
 from .pii import KINDS, digest, find_pii
 from .pieces import decoder, encode
@@ -125,6 +127,14 @@ FROM q
 """
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document: the target are the documents labelled as of good quality."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
+    # joined once: the texts are read three times
+    docs = stage(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left"), "labelled")
+    return score_documents(docs, F.col("good"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: base spans, and those that learned contexts add."""
     found = find_pii(table(spark, sf_dir, "documents")).select("doc_id", "pii")
@@ -137,7 +147,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op5_vectors, op6_suffix_dedup, op7_ngram_join, op8_warc, op10_pii)}
+    return {f.__name__: f for f in (op1_language, op2_decontamination, op3_pieces, op4_token_counts, op5_vectors, op6_suffix_dedup, op7_ngram_join, op8_warc, op9_lm_score, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
