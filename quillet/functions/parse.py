@@ -60,7 +60,7 @@ def _integer(kind: str) -> Parser:
 
     def parse(v: Column) -> Parsed:
         n = v.try_cast("decimal(38,0)")
-        ok = v.rlike("^[0-9]+$" if kind in _UNSIGNED else "^[+-]?[0-9]+$") & n.isNotNull() & n.between(F.lit(low).cast("decimal(38,0)"), F.lit(high).cast("decimal(38,0)"))
+        ok = v.rlike("^[0-9]+$" if kind in _UNSIGNED else "^[+-]?[0-9]+$") & n.isNotNull() & n.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
         return Parsed(F.coalesce(ok, F.lit(False)), F.when(ok, n).try_cast(spark_type))
 
     return parse
@@ -139,9 +139,9 @@ PARSERS: dict[str, Parser] = {
 
 def enum(names: Mapping[str, int] | list[str]) -> Parser:
     """Names in any case; numbers are refused."""
-    table = F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
 
     def parse(v: Column) -> Parsed:
+        table = F.create_map(*(F.lit(x) for n in names for x in (n.lower(), n)))
         found = F.try_element_at(table, F.lower(v))
         return Parsed(found.isNotNull(), found)
 
@@ -150,9 +150,9 @@ def enum(names: Mapping[str, int] | list[str]) -> Parser:
 
 def flags(values: Mapping[str, int]) -> Parser:
     """A comma list of names, or-ed; empty text is 0."""
-    table = F.create_map(*(x for n, i in values.items() for x in (F.lit(n.lower()), F.lit(i).cast("long"))))
 
     def parse(v: Column) -> Parsed:
+        table = F.create_map(*(x for n, i in values.items() for x in (F.lit(n.lower()), F.lit(i).cast("long"))))
         bits = F.transform(F.split(F.lower(v), ","), lambda n: F.try_element_at(table, F.regexp_replace(n, f"^{_SPACES}+|{_SPACES}+$", "")))
         total = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
         return Parsed((v == "") | total.isNotNull(), F.when(v == "", F.lit(0).cast("long")).otherwise(total))

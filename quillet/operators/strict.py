@@ -141,7 +141,7 @@ def read_strict(texts: DataFrame, o: Options, text: str = "text", key: str = "so
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(k, i, *r, None) for i, r in enumerate(read((t or "").removeprefix("﻿"), o))]
+                    rows += [(k, i, *r, None) for i, r in enumerate(read((t or "").removeprefix("\ufeff"), o))]
                 except Malformed as e:
                     rows.append((k, 0, "error", None, None, str(e)))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())

@@ -11,7 +11,7 @@ from quillet.operators.tokenize import is_header, records
 from quillet.options import DEFAULT, DYNAMIC_DEFAULT, Options, OptionsError
 from quillet.schema import Schema
 
-_BOM = "﻿"
+_BOM = "\ufeff"
 
 
 # --- sources: one row per text, (source, text)

@@ -14,7 +14,7 @@ from quillet.sources import reader, writer
 def text_stream(spark: SparkSession, path: str, files_per_batch: int = 100) -> DataFrame:
     """(source, text) of files as they arrive, each a whole text."""
     files = spark.readStream.format("text").option("wholetext", "true").option("maxFilesPerTrigger", files_per_batch).load(path)
-    return files.select(F.input_file_name().alias("source"), F.regexp_replace("value", "^﻿", "").alias("text"))
+    return files.select(F.input_file_name().alias("source"), F.regexp_replace("value", "^\ufeff", "").alias("text"))
 
 
 def read_static_stream(spark: SparkSession, path: str, schema: Schema, o: Options = DEFAULT) -> DataFrame:
