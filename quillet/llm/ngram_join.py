@@ -7,8 +7,9 @@
 3. The classes that are left order their shingles by document frequency, rarest first, and put the prefix of each
    set (n - ceil(threshold * n) + 1 shingles) in an inverted list.
 4. First every set of a list is compared to the list's hub (its smallest key), which joins most sets of a dense group without its
-   pairs; then, within lists that hold several of the components so found, every pair of different components is: length and
-   positional filters on the shared prefix first, then the suffix filter and the exact overlap, once per pair.
+   pairs; then, within lists that hold several of the components so found, every pair of different components is: length,
+   positional and suffix filters first (the last by parities of the members in cells, as the sets' difference is at least theirs), then
+   the exact overlap, once per pair.
 
 So no link between different components is lost, and no group's pairs are emitted.
 """
@@ -29,6 +30,9 @@ _U = np.uint64
 _MARK = np.iinfo(np.int64).min
 #: Sets compared to one copy of a hub's set; ranges of hashes that the suffix filter counts.
 HUB_ROWS, RANGES = 512, 64
+#: Bits that hold the parities of a set's members in so many cells: two sets differ in at least as many members as bits.
+PARITIES = 1024
+_SALT = _U(0x2545F4914F6CDD1D)
 
 
 def shingle_sets(texts: pa.Array, n: int, table: np.ndarray = BY_SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -126,9 +130,11 @@ def _sets(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
         for b in batches:
             d, h = shingle_sets(b.column(1), n, table)
             first = np.searchsorted(d, np.arange(len(b) + 1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), _binary([h[i:j] for i, j in zip(first[:-1], first[1:], strict=True)])], ["key", "n", "members"])
+            own = [h[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
+            marks = [np.packbits((np.bincount((mix(x ^ _SALT) >> _U(54)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64) for x in own]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), _binary(own), pa.array([m.tolist() for m in marks], pa.list_(pa.int64()))], ["key", "n", "members", "parities"])
 
-    return docs.mapInArrow(run, "key long, n long, members binary")
+    return docs.mapInArrow(run, "key long, n long, members binary, parities array<long>")
 
 
 def _members(sets: DataFrame) -> DataFrame:
@@ -137,7 +143,7 @@ def _members(sets: DataFrame) -> DataFrame:
             n = b.column(1).to_numpy()
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64))], ["key", "n", "token"])
 
-    return sets.mapInArrow(run, "key long, n long, token long")
+    return sets.select("key", "n", "members").mapInArrow(run, "key long, n long, token long")
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -213,10 +219,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     # lists that hold several components: each set outside the largest of them meets all sets of the others
     named = stage(lists.join(parts, F.col("key") == F.col("node"), "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part")), "named")
     largest = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "largest")
-    mixed = stage(named.join(largest, "token"), "mixed")
-    x = mixed.where("part <> largest").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("part_a"))
-    y = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"), "largest")
-    met = x.join(y, "token").where((F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b"))) & long_enough("na", "nb"))
+    mixed = stage(named.join(largest, "token").join(sets.select("key", "n", "parities"), ["key", "n"]), "mixed")
+    x = mixed.where("part <> largest").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("part_a"), F.col("parities").alias("qa"))
+    y = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"), F.col("parities").alias("qb"), "largest")
+    # suffix filter on the parities, position by position of the list: similar sets differ in few members
+    apart = sum((F.bit_count(F.get("qa", F.lit(i)).bitwiseXOR(F.get("qb", F.lit(i)))) for i in range(1, PARITIES // 64)), F.bit_count(F.get("qa", F.lit(0)).bitwiseXOR(F.get("qb", F.lit(0)))))
+    near = apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
+    # what lies before and after a shared shingle bounds the overlap from that list alone
+    place = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
+    fits = place * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold
+    other = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b")))
+    met = x.join(y, "token").where(other & long_enough("na", "nb") & fits & near)
     # the pair's shared prefix shingles and what may still follow the last of them bound its overlap; that a list
     # may show a pair in one order here and in the other there is evened out first
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.struct("na", "nb", "pa", "pb")).otherwise(F.struct(F.col("nb").alias("na"), F.col("na").alias("nb"), F.col("pb").alias("pa"), F.col("pa").alias("pb"))).alias("p"))
