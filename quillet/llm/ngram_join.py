@@ -101,28 +101,67 @@ def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int) -
                 _binary([*(tokens[ends[x] : ends[x + 1]] for x in used), here[some].astype(np.uint32)]), _binary([*(owner[ends[x] : ends[x + 1]] for x in used), keys[some]]),
             ], ["bucket", "counted", "tokens", "owners"])
 
+    def send(keys: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
+        """Counts, packed for the partitions that sum them."""
+        to = (mix(keys.view(np.uint64)) % _U(buckets)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        keys, many = keys[order], many[order].astype(np.int64)
+        ends = np.searchsorted(to[order], np.arange(buckets + 1))
+        used = np.flatnonzero(np.diff(ends))
+        return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(_binary([x[ends[i] : ends[i + 1]] for i in used]) for x in (keys, many))], ["to", "keys", "many"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, tuple[list, list]] = {}
+        here = _Sums()
         for b in batches:
             for bucket, counted, tokens, owners in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens, owners = np.frombuffer(tokens, np.uint32), np.frombuffer(owners, np.int64)
                 if counted:
-                    yield pa.RecordBatch.from_arrays([pa.array(owners), pa.array(tokens.astype(np.int64))], ["key", "shared"])
+                    here.add(owners, tokens)
                 else:
                     own = kept.setdefault(bucket, ([], []))
                     own[0].append(tokens)
                     own[1].append(owners)
+        yield send(*here.get())
         while kept:
             tokens, owners = map(np.concatenate, kept.popitem()[1])
             order = np.argsort(tokens, kind="stable")
             tokens, owners = tokens[order], owners[order]
             same = tokens[1:] == tokens[:-1]
             twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            key, many = np.unique(owners[twice & (owners != _MARK)], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(many)], ["key", "shared"])
+            yield send(*np.unique(owners[twice & (owners != _MARK)], return_counts=True))
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums()
+        for b in batches:
+            for keys, many in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                sums.add(np.frombuffer(keys, np.int64), np.frombuffer(many, np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums.get()], ["key", "shared"])
 
     dealt = docs.where("key is not null").mapInArrow(deal, "bucket int, counted boolean, tokens binary, owners binary")
-    return dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "key long, shared long").groupBy("key").agg(F.sum("shared").alias("shared"))
+    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "to int, keys binary, many binary")
+    return counted.repartitionById(buckets, F.col("to")).mapInArrow(total, "key long, shared long")
+
+
+class _Sums:
+    """Sums by key of packed counts; what is held grows with the number of keys only."""
+
+    def __init__(self):
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.known = 0, 0
+
+    def add(self, keys: np.ndarray, many: np.ndarray) -> None:
+        self.parts.append((keys, many))
+        self.held += len(keys)
+        if self.held > max(1_000_000, 2 * self.known):
+            self.parts = [self.get()]
+            self.held = self.known = len(self.parts[0][0])
+
+    def get(self) -> tuple[np.ndarray, np.ndarray]:
+        if not self.parts:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        keys, back = np.unique(np.concatenate([k for k, _ in self.parts]), return_inverse=True)
+        return keys, np.bincount(back, np.concatenate([m for _, m in self.parts]), len(keys)).astype(np.int64)
 
 
 def _sets(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
