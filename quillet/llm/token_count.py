@@ -40,8 +40,8 @@ class PieceCounter:
             raise ValueError("this model's pieces cross spaces, or it adds no leading space: pre-tokens would not be independent")
 
     def lengths(self, words: list[str]) -> list[int]:
-        """Tokens of each pre-token; the model puts back the leading space that is cut here."""
-        return [len(x) for x in self.sp.encode([w[1:] for w in words], num_threads=1)] if words else []
+        """Tokens of each pre-token; the model puts back the leading space that is cut here, but not before nothing: a last space is a piece."""
+        return [len(x) if w != " " else 1 for w, x in zip(words, self.sp.encode([w[1:] for w in words], num_threads=1), strict=True)] if words else []
 
     def count(self, texts: list[str]) -> list[int]:
         frequent, cache = self.frequent, self.cache
