@@ -33,7 +33,7 @@ BLOCK, MAX_SHARDS = 500, 4096
 MIN_DEDUP_BYTES = 100
 _DATE = "2000-01-01T00:00:00Z"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_RECORD = re.compile(r"urn:page:(-?\d+|-)\b")
+_RECORD = re.compile(r"urn:page:(-?\d+|-)")
 
 
 def url_key(url: str | None) -> str:
