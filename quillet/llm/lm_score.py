@@ -1,10 +1,14 @@
 """Cross-entropy difference: how much better a target language model predicts a document than a background model.
 
 Both are bigram models over one shared vocabulary, smoothed alike: the background is counted over all documents, the
-target over those that are marked. All words of all documents are counted (partial sums in the partitions, one sum in Spark);
-the vocabulary is the ``VOCABULARY`` most frequent, and all others are one unknown word. Bigram counts go to ``SLOTS`` places by
-hash, so that the models have a fixed size and can be broadcast; both share the places. A token's loss is -log P(word | word
+target over those that are marked. All words and all bigrams keep their own counts, whatever the size of the corpus: words and
+word pairs are told apart by 64-bit hashes, nothing is cut, and no two share a place. A token's loss is -log P(word | word
 before); a document's score is the mean over its tokens of the target's loss less the background's: the lower, the more like the target.
+
+Counts grow with the corpus and stay in Spark. What is broadcast is bounded and only a short cut, whose counts are as exact:
+the ``COMMON`` most frequent words at most, and as many bigrams of these that a sample of documents shows to be frequent. Their losses are
+summed where the text is. Each document's other bigrams, distinct, with their number, are dealt out by bigram and counted
+there (so no frequent one is left to one task); words that are not broadcast are joined to their counts; losses are then summed by document.
 """
 
 from __future__ import annotations
@@ -14,123 +18,218 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, mix, stage
+from .common import BY_SPACE, Words, bounded_batches, mix, sequence_hash, stage
 from .decontam import Filter
 
-VOCABULARY, SLOTS = 50_000, 1 << 21
+#: Words, and bigrams, that are broadcast at most; documents in the sample that shows frequent bigrams. No result depends on them.
+COMMON, SAMPLE = 300_000, 20_000
 #: Weight of the unigram model in the bigrams, and what is added to every unigram count.
 MU, ADD = 10.0, 0.5
-#: Words that a partition holds before it passes their sums on; slots in a packed row.
-_HELD, _BLOCK = 1_000_000, 1 << 15
+#: Words that a partition holds before it passes their sums on.
+_HELD = 1_000_000
+#: The sign bit: set in the codes of words that are not broadcast.
+_RARE = -(2**63)
 
 
 @dataclass
-class PairedModels:
-    """Log-ready counts of the background (0) and the target (1)."""
-
-    words: np.ndarray  # sorted hashes of the vocabulary
-    unigrams: np.ndarray  # 2 x (vocabulary + 1): the last is the unknown word
-    bigrams: np.ndarray  # 2 x SLOTS
-
-    def losses(self, w: Words, known: Filter) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's losses under the background and the target."""
-        ids, slots, first = tokens(w, known)
-        out = []
-        for uni, bi in zip(self.unigrams, self.bigrams, strict=True):
-            p = (uni[ids] + ADD) / (uni.sum() + ADD * len(uni))
-            before = np.concatenate((ids[:1], ids[:-1]))
-            pair = np.minimum(bi[slots], uni[before])  # a slot that bigrams share holds too much
-            p = np.where(first, p, (pair + MU * p) / (uni[before] + MU))
-            out.append(-np.log(p))
-        return out[0], out[1]
-
-
-def tokens(w: Words, known: Filter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Vocabulary ids, slots of the bigrams that end at each token, and which tokens begin a text."""
-    ids = np.full(len(w.hashes), len(known.hashes), np.int64)
-    if len(known.hashes):
-        at, place = known.find(w.hashes)
-        ids[at] = place
-    first = np.ones(len(ids), bool)
-    first[1:] = w.doc[1:] != w.doc[:-1]
-    before = np.concatenate((ids[:1], ids[:-1]))
-    slots = (mix((before * (len(known.hashes) + 1) + ids).astype(np.uint64)) & np.uint64(SLOTS - 1)).astype(np.int64)
-    return ids, slots, first
-
-
-def _word_counts(rows: DataFrame) -> DataFrame:
+class Common:
+    """Broadcast words and bigrams with their counts in the background (0) and the target (1), and the size of both models."""
+
+    words: np.ndarray  # sorted hashes
+    level: int | None  # of the counts of those words; all with lower ones are rare
+    unigrams: np.ndarray  # 2 x words
+    tokens: np.ndarray  # all tokens of each model
+    vocabulary: int  # all distinct words
+    pairs: np.ndarray  # sorted hashes
+    bigrams: np.ndarray  # 2 x pairs
+
+    def p(self, k: int, n: np.ndarray) -> np.ndarray:
+        return (n + ADD) / (self.tokens[k] + ADD * (self.vocabulary + 1))
+
+
+class Pairs:
+    """The distinct bigrams of each text of a batch: codes of both words, text, number; and each text's first word."""
+
+    def __init__(self, w: Words, known: Filter):
+        self.codes = (w.hashes | np.uint64(1 << 63)).view(np.int64)
+        if len(known.hashes):
+            at, place = known.find(w.hashes)
+            self.codes[at] = place
+        at, pair = w.shingles(2)
+        # the same bigram of the same text
+        _, one, self.n = np.unique(mix(pair ^ mix(w.doc[at].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
+        self.pair, at = pair[one], at[one]
+        self.a, self.b, self.doc = self.codes[at], self.codes[at + 1], w.doc[at]
+        self.common = (self.a >= 0) & (self.b >= 0)
+        self.with_words = np.flatnonzero(np.diff(w.first))
+        self.opening = self.codes[w.first[self.with_words]] if len(self.codes) else np.zeros(0, np.int64)
+
+
+def _summed(counts: list[np.ndarray]) -> np.ndarray:
+    x = np.concatenate(counts, axis=1)
+    h, back = np.unique(x[0], return_inverse=True)
+    return np.stack([h, *(np.bincount(back, c.view(np.int64), len(h)).astype(np.int64).view(np.uint64) for c in x[1:])])
+
+
+def _counted(rows: DataFrame, of) -> DataFrame:
+    """(h, n, n_target): sums of what ``of`` gives for a batch's words and targets, three arrays of that order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-
-        def summed() -> np.ndarray:
-            x = np.concatenate(held, axis=1)
-            h, back = np.unique(x[0], return_inverse=True)
-            return np.stack([h, *(np.bincount(back, c.view(np.int64), len(h)).astype(np.int64).view(np.uint64) for c in x[1:])])
+        count = of()
 
         def batch(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(x)], ["word", "n", "n_target"])
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(x)], ["h", "n", "n_target"])
 
         for b in batches:
             w = Words(b.column(0), BY_SPACE)
-            target = np.asarray(b.column(1).to_pylist(), bool)
             if not len(w.hashes):
                 continue
-            h, back = np.unique(w.hashes, return_inverse=True)
-            counts = np.bincount(back, minlength=len(h)), np.bincount(back, target[w.doc], len(h)).astype(np.int64)
-            held.append(np.stack([h, *(c.astype(np.uint64) for c in counts)]))
+            h, n, n_target = count(w, np.asarray(b.column(1).to_pylist(), bool))
+            held.append(_summed([np.stack([h, n.astype(np.uint64), n_target.astype(np.uint64)])]))
             if sum(x.shape[1] for x in held) > _HELD:
-                held[:] = [summed()]
+                held[:] = [_summed(held)]
                 if held[0].shape[1] > _HELD // 2:
                     yield batch(held.pop())
         if held:
-            yield batch(summed())
+            yield batch(_summed(held))
+
+    return rows.select("text", "target").mapInArrow(run, "h long, n long, n_target long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+
+
+def _words(w: Words, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    h, back = np.unique(w.hashes, return_inverse=True)
+    return h, np.bincount(back, minlength=len(h)), np.bincount(back, target[w.doc], len(h)).astype(np.int64)
+
+
+def _level() -> Column:
+    return F.floor(F.log2("n") * 8).cast("int")
+
+
+def _frequent(counts: DataFrame, least: int) -> tuple[DataFrame, int | None]:
+    """The rows with the largest n, ``COMMON`` at most and none under ``least``; and the level from which they are kept."""
+    kept, total = None, 0
+    for r in sorted(counts.where(F.col("n") >= least).groupBy(_level().alias("level")).count().collect(), key=lambda r: -r.level):
+        total += r["count"]
+        if total > COMMON:
+            break
+        kept = r.level
+    return counts.where((F.col("n") >= least) & (_level() >= kept)) if kept is not None else counts.where("false"), kept
+
+
+def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes, and their counts in both models."""
+    t = counts.select("h", "n", "n_target").toArrow()
+    h, *n = (t.column(i).to_numpy() for i in range(3))
+    h = h.astype(np.int64).view(np.uint64)
+    order = np.argsort(h)
+    return h[order], np.stack(n).astype(np.float64).reshape(2, len(h))[:, order]
+
+
+def _common(rows: DataFrame, counts: DataFrame) -> Common:
+    sc = rows.sparkSession.sparkContext
+    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")), F.count(F.lit(1)).alias("words")).first()
+    top, level = _frequent(counts, 1)
+    words, unigrams = _arrays(top)
+    shared = sc.broadcast(words)
 
-    return rows.select("text", "target").mapInArrow(run, "word long, n long, n_target long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    def sampled():
+        known = Filter(shared.value)
 
+        def count(w: Words, target: np.ndarray):
+            p = Pairs(w, known)
+            return p.pair[p.common], p.n[p.common], np.zeros(p.common.sum(), np.int64)
 
-def _bigram_counts(rows: DataFrame, shared) -> np.ndarray:
-    parts = SLOTS // _BLOCK
+        return count
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, sums = Filter(shared.value), np.zeros((2, SLOTS), np.int64)
+    share = SAMPLE / max(rows.count(), 1)
+    part = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    pairs = _arrays(_frequent(stage(_counted(part, sampled), "sample"), 2)[0])[0]
+    found = sc.broadcast(pairs)
+
+    def exact():
+        known, wanted = Filter(shared.value), Filter(found.value)
+
+        def count(w: Words, target: np.ndarray):
+            p = Pairs(w, known)
+            i = np.flatnonzero(p.common)
+            i = i[wanted.find(p.pair[i])[0]]
+            return p.pair[i], p.n[i], p.n[i] * target[p.doc[i]]
+
+        return count
+
+    pairs, bigrams = _arrays(_counted(rows, exact)) if len(pairs) else (pairs, np.zeros((2, 0)))
+    return Common(words, level, unigrams, np.array([total.n, total.n_target], np.float64), total.words, pairs, bigrams)
+
+
+def _rest(rows: DataFrame, shared, common: bool) -> DataFrame:
+    """Distinct bigrams (a, b) of each row that are not broadcast, n times in it: of broadcast words, or of others.
+
+    Of the others, a is a rare word, and b the one after it (``side`` 1), before it (0), or 0 where a begins the text (2).
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, done = Filter(shared.value.words), Filter(shared.value.pairs)
+        for batch in batches:
+            p = Pairs(Words(batch.column(0), BY_SPACE), known)
+            target, row = np.asarray(batch.column(1).to_pylist(), bool), batch.column(2).to_numpy()
+            if common:
+                keep = p.common.copy()
+                if len(done.hashes):
+                    keep[done.find(p.pair)[0]] = False
+                a, b, doc, n = p.a[keep], p.b[keep], p.doc[keep], p.n[keep]
+                side = np.ones(len(a), np.int8)
+            else:
+                keep, opens = ~p.common, p.opening < 0
+                a, b, doc, n = p.a[keep], p.b[keep], p.doc[keep], p.n[keep]
+                side = (a < 0).astype(np.int8)
+                a, b = np.where(side, a, b), np.where(side, b, a)
+                k = int(opens.sum())
+                a, b = np.concatenate((a, p.opening[opens])), np.concatenate((b, np.zeros(k, np.int64)))
+                doc, n, side = np.concatenate((doc, p.with_words[opens])), np.concatenate((n, np.ones(k, np.int64))), np.concatenate((side, np.full(k, 2, np.int8)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, side, row[doc], n.astype(np.int32), target[doc])], ["a", "b", "side", "row", "times", "target"])
+
+    return rows.select("text", "target", "row").mapInArrow(run, "a long, b long, side byte, row long, times int, target boolean")
+
+
+def _here(rows: DataFrame, shared, kind: str) -> DataFrame:
+    """Per row: key, number of tokens, and both losses of what is broadcast."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        known, done = Filter(m.words), Filter(m.pairs)
         for b in batches:
             w = Words(b.column(0), BY_SPACE)
-            target = np.asarray(b.column(1).to_pylist(), bool)
-            _, slots, first = tokens(w, known)
-            sums[0] += np.bincount(slots[~first], minlength=SLOTS)
-            sums[1] += np.bincount(slots[~first & target[w.doc]], minlength=SLOTS)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(parts, dtype=np.int32)), pa.array([np.ascontiguousarray(sums[:, i * _BLOCK : (i + 1) * _BLOCK]).tobytes() for i in range(parts)], pa.binary())], ["part", "counts"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for part, counts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(counts, np.int64)
-                sums[part] = sums[part] + x if part in sums else x
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["part", "counts"])
-
-    schema = "part int, counts binary"
-    out = np.zeros((2, parts, _BLOCK), np.int64)
-    for r in rows.select("text", "target").mapInArrow(count, schema).repartitionById(parts, F.col("part")).mapInArrow(add, schema).toLocalIterator():
-        out[:, r.part] = np.frombuffer(r.counts, np.int64).reshape(2, _BLOCK)
-    return out.reshape(2, SLOTS).astype(np.float32)
-
-
-def train(rows: DataFrame) -> PairedModels:
-    """Models of the rows' text, the target's of those whose ``target`` is true."""
-    spark = rows.sparkSession
-    counts = stage(_word_counts(rows), "words")
-    top = counts.orderBy(F.desc("n"), "word").limit(VOCABULARY).collect()
-    words = np.array([r.word for r in top], np.int64).view(np.uint64)
-    order = np.argsort(words)
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_target"), F.lit(0)).alias("n_target")).first()
-    unigrams = np.array([[r.n for r in top], [r.n_target for r in top]], np.float64).reshape(2, len(top))[:, order]
-    unknown = np.array([total.n, total.n_target], np.float64) - unigrams.sum(axis=1)
-    words = words[order]
-    return PairedModels(words, np.column_stack([unigrams, unknown]), _bigram_counts(rows, spark.sparkContext.broadcast(words)))
+            p = Pairs(w, known)
+            i, place = done.find(p.pair) if len(done.hashes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            opens = np.flatnonzero(p.opening >= 0)
+            losses = []
+            for k in (0, 1):
+                u = m.unigrams[k]
+                chance = (m.bigrams[k][place] + MU * m.p(k, u[p.b[i]])) / (u[p.a[i]] + MU)
+                loss = np.bincount(p.doc[i], -np.log(chance) * p.n[i], len(b))
+                losses.append(loss + np.bincount(p.with_words[opens], -np.log(m.p(k, u[p.opening[opens]])), len(b)).astype(float))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(np.diff(w.first)), *map(pa.array, losses)], ["row", "key", "n", "l0", "l1"])
+
+    return rows.select("text", "row", "key").mapInArrow(run, f"row long, key {kind}, n long, l0 double, l1 double")
+
+
+def _losses(rest: DataFrame, m: Common, before: list[str], after: list[str], opening: Column | None = None) -> DataFrame:
+    """Both losses by row; ``before`` and ``after`` are the columns of both models' counts of a bigram's first and second word."""
+    out = []
+    for k, (pair, u, v) in enumerate(zip(("n0", "n1"), before, after, strict=True)):
+        p = (F.col(v) + ADD) / float(m.tokens[k] + ADD * (m.vocabulary + 1))
+        chance = (F.col(pair) + MU * p) / (F.col(u) + MU)
+        out.append(F.sum(-F.log(chance if opening is None else F.when(opening, p).otherwise(chance)) * F.col("times")).alias(f"l{k}"))
+    return rest.groupBy("row").agg(*out)
+
+
+def _counted_pairs(rest: DataFrame) -> DataFrame:
+    same = Window.partitionBy("a", "b", "side")
+    return rest.withColumns({"n0": F.sum("times").over(same), "n1": F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).over(same)})
 
 
 def score_documents(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -142,18 +241,30 @@ def score_documents(docs: DataFrame, target: Column, key: str = "doc_id", text:
     spark = docs.sparkSession
     bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    shared = spark.sparkContext.broadcast(train(rows))
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = shared.value
-        known = Filter(models.words)
-        for b in batches:
-            w = Words(b.column(1), BY_SPACE)
-            n = np.diff(w.first)
-            background, target = (np.bincount(w.doc, x, len(b)) / np.maximum(n, 1) for x in models.losses(w, known))
-            none = n == 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *(pa.array(x, mask=none) for x in (target, background, target - background))], ["key", "n_tokens", "target_loss", "background_loss", "score"])
-
-    schema = f"key {kind}, n_tokens long, target_loss double, background_loss double, score double"
-    return rows.select("key", "text").mapInArrow(score, schema).withColumnRenamed("key", key)
+    named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
+    # written once: the texts are read several times, and the numbers of the rows must not change between
+    rows = stage(named.withColumn("row", F.monotonically_increasing_id()), "rows")
+    counts = stage(_counted(rows, lambda: _words), "words")
+    m = _common(rows, counts)
+    shared = spark.sparkContext.broadcast(m)
+    lexicon = stage(spark.createDataFrame(pa.table({"code": np.arange(len(m.words)), "u0": m.unigrams[0], "u1": m.unigrams[1]})), "lexicon")
+    as_a, as_b = (F.broadcast(lexicon.toDF(x, f"{x}0", f"{x}1")) for x in "ab")
+    usual = _counted_pairs(_rest(rows, shared, True)).join(as_a, "a").join(as_b, "b")
+    # each written by itself, so that its shuffle's files go before the next one's come
+    parts = [_here(rows, shared, kind), stage(_losses(usual, m, ["a0", "a1"], ["b0", "b1"]), "usual")]
+    if len(m.words) < m.vocabulary:
+        rare = counts if m.level is None else counts.where(_level() < m.level)
+        rare = rare.select(F.col("h").bitwiseOR(F.lit(_RARE)).alias("a"), F.col("n").alias("a0"), F.col("n_target").alias("a1"))
+        # b is a broadcast word, a rare one or none: only a rare one is looked up among the rare, the others are spread over the tasks
+        found = _counted_pairs(_rest(rows, shared, False).join(rare.hint("merge"), "a")).withColumn("look", F.when((F.col("side") < 2) & (F.col("b") < 0), F.col("b")).otherwise(F.col("row")))
+        found = found.join(rare.toDF("look", "r0", "r1").hint("merge"), "look", "left").join(as_b, "b", "left")
+        found = found.withColumns({f"b{k}": F.coalesce(f"r{k}", f"b{k}") for k in (0, 1)})
+        first = {f"u{k}": F.when(F.col("side") == 0, F.col(f"b{k}")).otherwise(F.col(f"a{k}")) for k in (0, 1)}
+        second = {f"v{k}": F.when(F.col("side") == 1, F.col(f"b{k}")).otherwise(F.col(f"a{k}")) for k in (0, 1)}
+        parts.append(stage(_losses(found.withColumns(first | second), m, ["u0", "u1"], ["v0", "v1"], F.col("side") == 2), "rare"))
+    together = parts[0]
+    for p in parts[1:]:
+        together = together.unionByName(p, allowMissingColumns=True)
+    sums = together.groupBy("row").agg(F.first("key", True).alias("key"), F.max("n").alias("n"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+    mean = [F.when(F.col("n") > 0, F.col(c) / F.col("n")) for c in ("l1", "l0")]
+    return sums.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), mean[0].alias("target_loss"), mean[1].alias("background_loss"), (mean[0] - mean[1]).alias("score"))

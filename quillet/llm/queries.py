@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
-from .common import stage
 from .lm_score import score_documents
 from .ngram_join import jaccard_components
 from .pii import KINDS, digest, find_pii
@@ -130,9 +129,7 @@ FROM q
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: the target are the documents labelled as of good quality."""
     good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    # joined once: the texts are read three times
-    docs = stage(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left"), "labelled")
-    return score_documents(docs, F.col("good"))
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left"), F.col("good"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

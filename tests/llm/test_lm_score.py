@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+from quillet.llm import lm_score
 from quillet.llm.lm_score import ADD, MU, score_documents
 
 
@@ -70,3 +71,24 @@ def test_no_target_empty_table_repeated_rows(spark):
     rows = [(1, "a b c", None), (1, "a b c", None), (None, "c", False)]
     got = run(spark, rows)
     assert got[1][0] == 3 and math.isfinite(got[1][3]) and got[None][0] == 1
+
+
+def check(spark, rows):
+    got, want = run(spark, rows), brute(rows)
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k] == want[k] if want[k][1] is None else got[k] == pytest.approx(want[k], rel=1e-9, abs=1e-9), k
+
+
+def test_more_words_than_any_fixed_vocabulary(spark):
+    rng, rows = random.Random(2), []
+    for i in range(300):  # 60,000 words that occur once or twice: no cut of the vocabulary knows them all
+        rows.append((i, " ".join(f"w{(i * 200 + k) % 60_000} {'the' if rng.random() < 0.1 else f'v{rng.randrange(50)}'}" for k in range(201)), i % 4 == 0))
+    check(spark, rows)
+
+
+@pytest.mark.parametrize("common, sample", [(0, 20_000), (8, 20_000), (20, 3), (1000, 10)])
+def test_no_result_depends_on_what_is_broadcast(spark, monkeypatch, common, sample):
+    monkeypatch.setattr(lm_score, "COMMON", common)
+    monkeypatch.setattr(lm_score, "SAMPLE", sample)
+    check(spark, corpus())
