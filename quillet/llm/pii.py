@@ -23,8 +23,8 @@ from .decontam import Filter
 KINDS = ("email", "ip", "card", "phone")
 #: Different seeds that a pattern needs, the score it has to end with, rounds of scoring.
 MIN_SEEDS, CONFIDENCE, ROUNDS = 8, 0.9, 4
-#: Patterns that are broadcast at most: those with the most seeds. A bound of the model; base spans do not depend on it.
-MAX_PATTERNS = 20_000
+#: Patterns that are broadcast at a time; all are looked up, block by block.
+BLOCK = 20_000
 _SPAN = "struct<kind:string,start:bigint,end:bigint,base:boolean>"
 
 _EMAIL_DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -164,12 +164,21 @@ def _edges(docs: DataFrame, text: str, shared) -> DataFrame:
 
 
 def learn_patterns(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]:
-    """(kind, pattern) of the patterns to trust: none if no two words come before enough different seeds."""
+    """(kind, pattern) of the patterns to trust, all that qualify: none if no two words come before enough different seeds."""
     seeds = _seed_patterns(docs, text).distinct().groupBy("kind", "pattern").agg(F.count(F.lit(1)).alias("seeds")).where(F.col("seeds") >= MIN_SEEDS)
-    candidates = [(r.kind, r.pattern) for r in seeds.orderBy(F.desc("seeds"), "kind", "pattern").limit(MAX_PATTERNS).collect()]
-    if not candidates:
+    seeds = stage(seeds.select("kind", "pattern"), "candidates")
+    blocks = -(-seeds.count() // BLOCK)
+    if not blocks:
         return []
-    edges = stage(_edges(docs, text, docs.sparkSession.sparkContext.broadcast(candidates)), "contexts")
+    # a pattern's edges all come from its own block
+    edges = None
+    for k in range(blocks):
+        candidates = [(r.kind, r.pattern) for r in seeds.where(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k).collect()]
+        if candidates:
+            shared = docs.sparkSession.sparkContext.broadcast(candidates)
+            found = stage(_edges(docs, text, shared), "contexts")
+            shared.unpersist()
+            edges = found if edges is None else edges.union(found)
     start = F.when(F.col("seed"), 1.0).otherwise(0.0)
     weighed = lambda x: F.sum(F.col("n") * F.coalesce(x, F.lit(0.0))) / F.sum("n")
     scores = edges.groupBy("kind", "pattern").agg(weighed(start).alias("score"))
@@ -190,19 +199,21 @@ def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, tex
     """
     bounded_batches(docs.sparkSession)
     patterns = learn_patterns(docs, text) if patterns is None else patterns
-    shared = docs.sparkSession.sparkContext.broadcast(patterns)
-
-    @F.arrow_udf(f"array<{_SPAN}>")
-    def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        kinds: dict[int, list[str]] = {}
-        for kind, h in shared.value:
-            kinds.setdefault(h, []).append(kind)
-        known = Filter(np.array(sorted(kinds), np.int64).view(np.uint64)) if kinds else None
-        for column in columns:
-            column = utf8(column)
-            texts = column.to_pylist()
-            found = [[(*s, True) for s in base_spans(t)] for t in texts]
-            if known:
+    blocks = [docs.sparkSession.sparkContext.broadcast(patterns[i : i + BLOCK]) for i in range(0, len(patterns), BLOCK)]
+
+    def after(shared) -> Column:
+        """What has a pattern's shape after a pattern of this block, whether or not it overlaps other spans."""
+
+        @F.arrow_udf(f"array<{_SPAN}>")
+        def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            kinds: dict[int, list[str]] = {}
+            for kind, h in shared.value:
+                kinds.setdefault(h, []).append(kind)
+            known = Filter(np.array(sorted(kinds), np.int64).view(np.uint64))
+            for column in columns:
+                column = utf8(column)
+                texts = column.to_pylist()
+                found = [[] for _ in texts]
                 p = _Places(column, texts)
                 for i in known.find(p.pattern)[0]:
                     word, h = int(p.at[i]) + 1, int(p.pattern[i : i + 1].view(np.int64)[0])
@@ -211,12 +222,34 @@ def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, tex
                     start += len(texts[d][start : start + 200]) - len(texts[d][start : start + 200].lstrip())
                     for kind in kinds[h]:
                         m = _SHAPES[kind].match(texts[d], start)
-                        if m and not any(a < m.end() and start < b for _, a, b, _ in found[d]):
+                        if m:
                             found[d].append((kind, start, m.end(), False))
-            out = [[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in sorted(s, key=lambda x: (KINDS.index(x[0]), x[1]))] for s in found]
-            yield pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))
+                yield _spans(found)
+
+        return find(F.col(text))
+
+    @F.arrow_udf(f"array<{_SPAN}>")
+    def join(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for column, *others in columns:
+            found = [[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()]
+            for d, added in enumerate(zip(*(x.to_pylist() for x in others), strict=True)):
+                # in the order of the text, whatever block they come from; the first of those that overlap stays
+                for s in sorted((s for some in added for s in some), key=lambda s: (s["start"], s["kind"], s["end"])):
+                    if not any(a < s["end"] and s["start"] < b for _, a, b, _ in found[d]):
+                        found[d].append((s["kind"], s["start"], s["end"], False))
+            yield _spans([sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in found])
+
+    @F.arrow_udf(f"array<{_SPAN}>")
+    def base(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield _spans([[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()])
+
+    return docs.withColumn(into, join(F.col(text), *map(after, blocks)) if blocks else base(F.col(text)))
+
 
-    return docs.withColumn(into, find(F.col(text)))
+def _spans(found: list[list[tuple]]) -> pa.Array:
+    out = [[{"kind": k, "start": a, "end": b, "base": base} for k, a, b, base in s] for s in found]
+    return pa.array(out, pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("base", pa.bool_())])))
 
 
 def digest(spans: Column) -> Column:

@@ -7,6 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quillet.llm import pii
 from quillet.llm.pii import KINDS, base_spans, digest, find_pii, learn_patterns, redact
 
 PLAIN = {
@@ -85,3 +86,17 @@ def test_redaction_and_digest(make):
 def test_empty_tables_and_repeated_rows(make):
     assert find_pii(make([])).count() == 0 and learn_patterns(make([])) == []
     assert find_pii(make([(1, "a@b.cd"), (1, "a@b.cd")])).count() == 2
+
+
+def test_no_pattern_is_cut_and_blocks_change_nothing(make, monkeypatch):
+    # contexts of common words that mostly precede no address have the most seeds; the trustworthy one has the fewest
+    rows = [(i, f"go to a{i}@b{i % 9}.org now") for i in range(60)] + [(100 + i, f"go to nobody {i}") for i in range(400)]
+    rows += [(600 + i, f"contact address c{i}@d.org here") for i in range(9)] + [(700, "contact address eve (at) host now"), (701, "go to eve (at) host now")]
+    rows += [(800 + i, f"reach phone: +1 234 567 {8000 + i}") for i in range(12)]
+    df = make(rows)
+    whole = {r.doc_id: list(r.pii) for r in find_pii(df).select("doc_id", "pii").collect()}
+    assert [s["base"] for s in whole[700]] == [False] and not whole[701]
+    monkeypatch.setattr(pii, "BLOCK", 1)
+    monkeypatch.setattr(pii, "MAX_PATTERNS", 1, raising=False)
+    assert len(learn_patterns(df)) == 2
+    assert {r.doc_id: list(r.pii) for r in find_pii(df).select("doc_id", "pii").collect()} == whole
