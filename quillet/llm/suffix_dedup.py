@@ -118,9 +118,9 @@ def _short(x: np.ndarray) -> pa.Array:
 
 
 def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts under the two numbers that name a row here: its key, and a checksum in case rows share a key (null: 0)."""
+    """Texts under the two numbers that name a row here: its key, and a 64-bit hash of the text in case rows share a key (null: 0)."""
     value = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.crc32(value).alias("sum"), value.alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(value).alias("sum"), value.alias("text"))
 
 
 def _anchor_rows(texts: DataFrame, r: Reach, ranks_only: bool) -> DataFrame:
@@ -258,7 +258,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     """
     bounded_batches(docs.sparkSession)
     spans = stage(repeated_spans(docs, length, key, text), "found")
-    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.crc32(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("sum"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("sum"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,7 @@
 """Repeated byte strings against a table of all of them."""
 
 import random
+import zlib
 from collections import Counter
 
 import pytest
@@ -82,3 +83,16 @@ def test_long_text_and_null_keys(make):
 
 def test_empty_table(make):
     assert remove_repeats(make([])).count() == 0
+
+
+def test_texts_of_one_crc32_under_one_key_stay_apart(make):
+    rng = random.Random(9)
+    bodies = ["".join(rng.choice("abcdefgh ") for _ in range(450)) for _ in "ab"]
+    start = [zlib.crc32(b.encode()) for b in bodies]
+    ends = ["".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", k=10)) for _ in range(200_000)]
+    seen = {zlib.crc32(x.encode(), start[0]): x for x in ends}
+    i, j = next((seen[c], x) for x in ends if (c := zlib.crc32(x.encode(), start[1])) in seen)
+    one, other = f"{bodies[0]}{i}", f"{bodies[1]}{j}"
+    assert zlib.crc32(one.encode()) == zlib.crc32(other.encode())
+    got = [bytes(r.kept) for r in remove_repeats(make([(None, one), (None, other), (7, "zz" + bodies[0])])).collect()]
+    assert sorted(got) == sorted([i.encode(), other.encode(), b"zz"])
