@@ -198,6 +198,8 @@ def lower_table(separators: bytes) -> np.ndarray:
 
 
 #: Separators are white space only.
-BY_SPACE = lower_table(b"\x00\x20\x09\x0a\x0b\x0c\x0d")
+BY_SPACE = lower_table(b"\x20\x09\x0a\x0b\x0c\x0d")
+# NUL is part of a word: it counts as a byte that UTF-8 never holds, as 0 separates
+BY_SPACE[0] = 0xFF
 #: Words are letters, digits and whatever is not ASCII.
 BY_ALNUM = lower_table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]))

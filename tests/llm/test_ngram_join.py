@@ -89,3 +89,7 @@ def test_components_of_a_long_path(spark):
     edges = [(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7), (None, 3)]
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def test_nul_is_part_of_a_word(make):
+    assert run(make([(1, "a\x00b c d e f"), (2, "a b c d e f")])) == {1: (1, 1), 2: (2, 2)}
