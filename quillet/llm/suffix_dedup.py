@@ -1,4 +1,4 @@
-"""Repeated byte strings by distributed prefix doubling over content-chosen positions.
+"""Repeated byte strings by fingerprints around content-chosen positions, in place of prefix doubling.
 
 A suffix array of all bytes would move many times the corpus. Here the positions that are ranked are *anchors*: those whose
 ``GRAM`` bytes hash lowest in some run of ``RUN`` grams. Two equal strings have the same anchors wherever the runs around
