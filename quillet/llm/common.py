@@ -5,14 +5,15 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-#: Rows in an Arrow batch handed to Python: bounds a worker's memory where texts are long.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch handed to Python, and bytes of its texts that are worked on at a time: both bound a worker's memory.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 20
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -79,6 +80,30 @@ def flat_bytes(column: pa.Array, end: bytes = b"") -> tuple[np.ndarray, np.ndarr
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def cuts(column: pa.Array, most: int = BATCH_BYTES) -> list[tuple[int, int]]:
+    """(first row, number of rows) of consecutive pieces of a column of texts of at most ``most`` bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    out, at = [], 0
+    while at < len(ends):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        out.append((at, end - at))
+        at = end
+    return out
+
+
+def by_bytes(batches: Iterator[pa.RecordBatch], column: int | str, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of a bounded number of bytes of texts; an empty batch stays."""
+    for b in batches:
+        for at, n in cuts(b.column(column), most) or [(0, 0)]:
+            yield b.slice(at, n)
+
+
+def columns_by_bytes(columns: Iterator[pa.Array], most: int = BATCH_BYTES) -> Iterator[pa.Array]:
+    for c in columns:
+        for at, n in cuts(c, most) or [(0, 0)]:
+            yield c.slice(at, n)
+
+
 def binaries(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
 

@@ -5,8 +5,8 @@ shingles are ordered by how often the corpus holds them, rarest first; as a wind
 rarest shingle, and a document that lacks it cannot hold the window. A prefix shingle found in a document fixes where the
 window would have to lie (positional bound) and that it has to fit there (length bound); what is left is verified word by word.
 
-The windows are taken in blocks of at most ``BLOCK`` so that what is broadcast is bounded whatever the benchmark's size;
-documents are never shuffled.
+Up to ``BLOCK`` windows are broadcast, and the documents are not shuffled. More of them are taken block by block, so that what is
+broadcast is bounded whatever the benchmark's size: each block's hits are written, and joined to the documents in the end.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_ALNUM, Words, bounded_batches, sequence_hash, stage
+from .common import BY_ALNUM, Words, bounded_batches, by_bytes, columns_by_bytes, sequence_hash, stage
 
 WINDOW, SHINGLE = 13, 5
 #: Windows that are broadcast at a time.
@@ -32,7 +32,7 @@ def _windows(items: DataFrame, item: str, text: str) -> DataFrame:
     """Distinct (words, n, item) of all windows; words are joined by spaces."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             w, rows = Words(b.column(1), BY_ALNUM), []
             words = [w.data[s:e].tobytes() for s, e in zip(w.starts, w.ends, strict=True)]
             for d, name in enumerate(b.column(0).to_pylist()):
@@ -89,7 +89,7 @@ def _rarity(docs: DataFrame, text: str, shared) -> dict[int, dict[int, int]]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {k: Filter(v[0]) for k, v in shared.value.shingles.items()}
         sums = {k: np.zeros(len(f.hashes), np.int64) for k, f in filters.items()}
-        for b in batches:
+        for b in by_bytes(batches, 0):
             w = Words(b.column(0), BY_ALNUM)
             for k, f in filters.items():
                 _, place = f.find(w.shingles(k)[1])
@@ -147,7 +147,7 @@ def _finder(shared) -> Column:
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         prefixes = shared.value
         filters = {k: Filter(v[0]) for k, v in prefixes.by_k.items() if len(v[0])}
-        for column in texts:
+        for column in columns_by_bytes(texts):
             w = Words(column, BY_ALNUM)
             windows, starts = prefixes.matches(w, filters)
             marks = np.zeros(len(w.starts) + 1, np.int64)
@@ -171,15 +171,57 @@ def _finder(shared) -> Column:
     return find
 
 
-def _together(parts):
-    """What several blocks have found in one text."""
-    spans: list[list[int]] = []
-    for s, e in sorted((x.start, x.end) for p in parts for x in p["spans"]):
-        if spans and s <= spans[-1][1]:
-            spans[-1][1] = max(e, spans[-1][1])
-        else:
-            spans.append([s, e])
-    return parts[0].n_words, [tuple(x) for x in spans], sorted({x for p in parts for x in p["items"]})
+def _merged(spans: Column) -> Column:
+    """Sorted spans with those that touch joined."""
+
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            out = []
+            for found in column.to_pylist():
+                own: list[dict] = []
+                for s in found:
+                    if own and s["start"] <= own[-1]["end"]:
+                        own[-1]["end"] = max(own[-1]["end"], s["end"])
+                    else:
+                        own.append(s)
+                out.append(own)
+            yield pa.array(out, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
+
+    return run(spans)
+
+
+def _by_blocks(docs: DataFrame, windows: DataFrame, text: str, into: str) -> DataFrame:
+    """For windows beyond ``BLOCK``: block after block is looked up and its hits are written; only one is ever broadcast.
+
+    A hit names its window; the items that hold the window are joined to it by Spark, however many they are.
+    """
+    sc = docs.sparkSession.sparkContext
+    row = f"{into}__row"
+    docs = stage(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    one = stage(windows.select("words", "n").distinct().withColumn("window", F.monotonically_increasing_id()), "numbers")
+    blocks, hits = -(-one.count() // BLOCK), None
+    for b in range(blocks):
+        rows = one.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b).withColumn("item", F.col("window").cast("string")).collect()
+        block = Block(rows)
+        shared = sc.broadcast(block)
+        prefixes = sc.broadcast(Prefixes(block, _rarity(docs, text, shared)))
+        found = docs.select(F.col(row).alias("row"), _finder(prefixes)(F.col(text)).alias("found")).where(F.size("found.items") > 0)
+        found = stage(found.select("row", "found.spans", "found.items"), "hits")
+        for x in (shared, prefixes):
+            x.destroy()
+        hits = found if hits is None else hits.union(found)
+    held = one.join(windows, ["words", "n"]).select(F.col("window").cast("string").alias("window"), "item")
+    items = hits.select("row", F.explode("items").alias("window")).join(held, "window").where("item is not null").select("row", "item").distinct()
+    items = items.groupBy("row").agg(F.sort_array(F.collect_list("item")).alias("items"))
+    spans = hits.select("row", F.explode("spans").alias("s")).distinct().groupBy("row").agg(F.sort_array(F.collect_list("s")).alias("s"))
+    found = stage(spans.join(items, "row", "left").select("row", _merged(F.col("s")).alias("spans"), "items"), "found")
+    # nothing to look up: the number of words only
+    words = _finder(sc.broadcast(Prefixes(Block([]), {})))(F.col(text))["n_words"]
+    lists = ("array<struct<start:int,end:int>>", "array<string>")
+    parts = [F.coalesce(F.col(f"__{c}"), F.array().cast(t)).alias(c) for c, t in zip(("spans", "items"), lists, strict=True)]
+    joined = docs.withColumn("__n_words", words).join(found.toDF("__row", "__spans", "__items"), F.col(row) == F.col("__row"), "left")
+    return joined.withColumn(into, F.struct(F.col("__n_words").alias("n_words"), *parts)).drop(row, "__n_words", "__row", "__spans", "__items")
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", into: str = "contamination") -> DataFrame:
@@ -191,15 +233,13 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     bounded_batches(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     windows = stage(_windows(benchmark, item, item_text), "windows")
-    blocks = max(1, -(-windows.count() // BLOCK))
-    finders = []
-    for b in range(blocks):
-        rows = windows.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == b).collect()
-        block = Block(rows)
-        shared = sc.broadcast(block)
-        finders.append(_finder(sc.broadcast(Prefixes(block, _rarity(docs, text, shared)))))
-    found = [f(F.col(text)) for f in finders]
-    return docs.withColumn(into, found[0] if blocks == 1 else F.udf(_together, _FOUND)(F.array(*found)))
+    if windows.count() > BLOCK:
+        return _by_blocks(docs, windows, text, into)
+    block = Block(windows.collect())
+    shared = sc.broadcast(block)
+    prefixes = Prefixes(block, _rarity(docs, text, shared))
+    shared.destroy()
+    return docs.withColumn(into, _finder(sc.broadcast(prefixes))(F.col(text)))
 
 
 def summary(found: Column) -> dict[str, Column]:

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, stage, utf8
+from .common import bounded_batches, by_bytes, columns_by_bytes, stage, utf8
 
 #: Bounds of the samples: rows of each language, in expectation, for the weights and for the temperature.
 TRAIN_ROWS, CALIBRATION_ROWS = 800, 300
@@ -89,7 +89,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, seen, n = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, bool), 0
-        for b in batches:
+        for b in by_bytes(batches, 0):
             grams = Grams(utf8(b.column(0)).to_pylist())
             n += grams.texts
             parts = [(f, np.searchsorted(doc, np.arange(grams.texts + 1))) for doc, f in grams.features()]
@@ -184,9 +184,8 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     place = F.pmod(F.xxhash64("key"), F.lit(1_000_003)) / 1_000_003
     share = F.create_map(*(F.lit(x) for k in languages for x in (k, 1.0 / counts[k])))[F.col("lang")]
     sample = stage(rows.select("text", "lang", "key", place.alias("place"), share.alias("share")).where(F.col("place") < (TRAIN_ROWS + CALIBRATION_ROWS) * F.col("share")), "langid")
-    fitted = F.col("place") < F.greatest(F.lit(TRAIN_ROWS) * F.col("share"), F.lit(TRAIN_ROWS / (TRAIN_ROWS + CALIBRATION_ROWS)))
-    small = F.col("share") * (TRAIN_ROWS + CALIBRATION_ROWS) >= 1  # fewer rows than the bounds: split them in the same proportion
-    in_train = F.when(small, fitted).otherwise(F.col("place") < TRAIN_ROWS * F.col("share"))
+    # a language with fewer rows than the bounds is split in the same proportion
+    in_train = F.col("place") < F.least(F.lit(TRAIN_ROWS) * F.col("share"), F.lit(TRAIN_ROWS / (TRAIN_ROWS + CALIBRATION_ROWS)))
     number = {k: i for i, k in enumerate(languages)}
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +206,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 0):
             logits, ok = shared.value.logits(utf8(b.column(0)).to_pylist())
             labels = np.array([number[x] for x in b.column(1).to_pylist()], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(labels[ok]), pa.array(logits[ok].tolist(), pa.list_(pa.float64()))], ["label", "logits"])
@@ -231,7 +230,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)
-        for column in columns:
+        for column in columns_by_bytes(columns):
             logits, ok = model.logits(utf8(column).to_pylist())
             if model.languages:
                 p = _softmax(logits / model.temperature)

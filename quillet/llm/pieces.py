@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, utf8
+from .common import bounded_batches, columns_by_bytes, mix, utf8
 
 _U = np.uint64
 _STEP, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 #: Slots of the tables of piece keys' low bits and of known pairs; words in a worker's cache, emptied when full; the longest of them.
-_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 21, 300_000, 64
+_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 21, 150_000, 64
 #: Cells (words times length) that are searched together.
-_CELLS = 400_000
+_CELLS = 150_000
 
 
 class PieceModel:
@@ -98,7 +98,7 @@ class PieceModel:
         ids = np.array(sorted(pieces.values()), np.int64)
         keys = mix(self.raw[ids] + self.length[ids].astype(np.uint64) * _STEP)
         order = np.argsort(keys)
-        self.keys, self.ids = keys[order], ids[order]
+        self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have the same key")
         self.maybe = np.zeros(1 << _KEY_BITS, bool)
@@ -106,7 +106,7 @@ class PieceModel:
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece of each key, or -1."""
-        out = np.full(keys.shape, -1, np.int64)
+        out = np.full(keys.shape, -1, np.int32)
         flat = keys.ravel()
         at = np.flatnonzero(self.maybe[(flat & _U((1 << _KEY_BITS) - 1)).view(np.int64)])
         k = flat[at]
@@ -139,17 +139,18 @@ class PieceModel:
             live = live[~ended]
         return out
 
-    @functools.lru_cache(maxsize=4096)  # noqa: B019
-    def spaces(self, n: int) -> tuple[int, ...]:
-        """A run of spaces: its pieces all have one score, so the leftmost pair that forms a piece merges first."""
-        run, i = [1] * n, 0
-        while i < len(run) - 1:
-            if run[i] + run[i + 1] in self.runs:
-                run[i : i + 2] = [run[i] + run[i + 1]]
-                i = max(i - 1, 0)
-            else:
-                i += 1
-        return tuple(self.normal[_SPACE * k] for k in run)
+    def spaces(self, n: int) -> list[int]:
+        """A run of spaces: its pieces all have one score, so the leftmost pair that forms a piece merges first.
+
+        What is left of the pair looked at is a stack, what is right of it is single spaces: each is pushed or merged once.
+        """
+        made: list[int] = []
+        for _ in range(n):
+            made.append(1)
+            while len(made) > 1 and made[-2] + made[-1] in self.runs:
+                top = made.pop()
+                made[-1] += top
+        return [self.normal[_SPACE * k] for k in made]
 
 
 @functools.lru_cache(maxsize=64)
@@ -202,9 +203,9 @@ class Encoder:
         found = {}
         for k in range(1, min(n, m.longest) + 1):
             found[k] = m.find(mix((prefix[:, k:] - prefix[:, : n + 1 - k]) * inverse[: n + 1 - k] + _U(k * int(_STEP) % 2**64)))
-        found[1] = np.where(found[1] < 0, self.outside, found[1])
+        found[1][found[1] < 0] = self.outside
         score = np.append(m.score, m.score[m.ids].min() - 10)
-        best, last, back = np.full((n + 1, rows), -np.inf), np.full((n + 1, rows), -1, np.int64), np.zeros((n + 1, rows), np.int8 if m.longest < 128 else np.int64)
+        best, last, back = np.full((n + 1, rows), -np.inf), np.full((n + 1, rows), -1, np.int32), np.zeros((n + 1, rows), np.int8 if m.longest < 128 else np.int64)
         best[0] = 0
         for end in range(1, n + 1):
             for k in range(1, min(end, m.longest) + 1):
@@ -305,7 +306,7 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -
     @F.arrow_udf("array<int>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for column in columns:
+        for column in columns_by_bytes(columns):
             ids = encoder.encode(utf8(column).to_pylist())
             offsets = np.zeros(len(ids) + 1, np.int32)
             np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
@@ -323,7 +324,12 @@ def decoder(docs: DataFrame, model: str) -> Column:
         decode = Decoder(shared.value).decode
         for column in columns:
             column = column.fill_null([]) if column.null_count else column
-            first = column.offsets.to_numpy().astype(np.int64)
-            yield pa.array(decode(column.values.to_numpy(zero_copy_only=False)[first[0] : first[-1]], first - first[0]), pa.string())
+            first, values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy(zero_copy_only=False)
+            at, texts = 0, []
+            while at < len(column):
+                end = max(at + 1, int(np.searchsorted(first, first[at] + _CELLS, "right")) - 1)
+                texts += decode(values[first[at] : first[end]], first[at : end + 1] - first[at])
+                at = end
+            yield pa.array(texts, pa.string())
 
     return run

@@ -2,7 +2,9 @@
 
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -10,7 +12,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quillet.llm.pieces import Decoder, Encoder, PieceModel, decoder, encode
-from quillet.llm.token_count import PieceCounter, count_tokens
+from quillet.llm.token_count import Lengths, PieceCounter, count_tokens
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 TEXTS = [
@@ -47,14 +49,12 @@ def test_ids_and_counts_of_many_texts(spark, make, library):
 def test_any_text(texts):
     library, model = sentencepiece.SentencePieceProcessor(model_file=MODEL), _model()
     want = [library.encode(t) for t in texts]
-    import numpy as np
-
     got = Encoder(model).encode(texts)
     assert [np.frombuffer(x, "<i4").tolist() for x in got] == want
     ids = np.array([i for w in want for i in w], np.int64)
     first = np.cumsum([0, *map(len, want)])
     assert Decoder(model).decode(ids, first) == [library.decode(w) for w in want]
-    assert PieceCounter(MODEL).count(texts) == [len(w) for w in want]
+    assert PieceCounter(open(MODEL, "rb").read()).count(pa.array(texts, pa.string())).tolist() == [len(w) for w in want]
 
 
 def _model(kept=[]):  # noqa: B006
@@ -70,6 +70,15 @@ def test_empty_and_repeated_rows(make):
 
 
 def test_counts_do_not_depend_on_the_table(library):
-    texts = ["some words and some more words", "other words"]
-    want = [len(library.encode(t)) for t in texts]
-    assert PieceCounter(MODEL).count(texts) == PieceCounter(MODEL, {" some": 1, " words": 1}).count(texts) == want
+    texts = ["some words and some more words", "other words", ""]
+    want, proto = [len(library.encode(t)) for t in texts], open(MODEL, "rb").read()
+    plain, helped = PieceCounter(proto), PieceCounter(proto, Lengths([" some", " words", "  "], [1, 1, 1]))
+    assert plain.count(pa.array(texts)).tolist() == helped.count(pa.array(texts)).tolist() == want
+    assert not {" some", " words"} & set(helped.cache) and len(helped.cache) < len(plain.cache)
+
+
+def test_a_megabyte_of_spaces(library, model):
+    texts = [" " * 1_000_000 + "x", "a" + " " * 300_001, " " * 65_537]
+    want = [library.encode(t) for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in Encoder(model).encode(texts)] == want
+    assert PieceCounter(open(MODEL, "rb").read()).count(pa.array(texts)).tolist() == [len(w) for w in want]
