@@ -5,10 +5,10 @@ target over those that are marked. All words and all bigrams keep their own coun
 word pairs are told apart by 64-bit hashes, nothing is cut, and no two share a place. A token's loss is -log P(word | word
 before); a document's score is the mean over its tokens of the target's loss less the background's: the lower, the more like the target.
 
-Counts grow with the corpus and stay in Spark. What is broadcast is bounded and only a short cut, whose counts are as exact:
-the ``COMMON`` most frequent words at most, and as many bigrams of these that a sample of documents shows to be frequent. Their losses are
-summed where the text is. Each document's other bigrams, distinct, with their number, are dealt out by bigram and counted
-there (so no frequent one is left to one task); words that are not broadcast are joined to their counts; losses are then summed by document.
+The documents are dealt into chunks of bounded size. A chunk counts its own words and bigrams and asks for those of the corpus, each
+of its distinct ones once: packed by ranges of the hash (buckets), the requests of all chunks meet in Spark's shuffle, are summed and
+answered in the order they came in, and the answers meet their chunk again, where the losses are. A frequent word is asked for
+once by a chunk, so no word's occurrences are ever gathered; buckets grow in number with the corpus, not in size.
 """
 
 from __future__ import annotations
@@ -18,218 +18,162 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, mix, sequence_hash, stage
-from .decontam import Filter
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, stage
 
-#: Words, and bigrams, that are broadcast at most; documents in the sample that shows frequent bigrams. No result depends on them.
-COMMON, SAMPLE = 300_000, 20_000
 #: Weight of the unigram model in the bigrams, and what is added to every unigram count.
 MU, ADD = 10.0, 0.5
-#: Words that a partition holds before it passes their sums on.
-_HELD = 1_000_000
-#: The sign bit: set in the codes of words that are not broadcast.
-_RARE = -(2**63)
+#: Bytes of texts in a chunk (or one text), and words and bigrams that meet in a bucket, about. No result depends on them.
+CHUNK_BYTES, BUCKET = 4 << 20, 3_000_000
+_U = np.uint64
+_CHUNK = "chunk long, keys array<{}>, texts array<string>, targets array<boolean>, n long, n_target long"
 
 
-@dataclass
-class Common:
-    """Broadcast words and bigrams with their counts in the background (0) and the target (1), and the size of both models."""
-
-    words: np.ndarray  # sorted hashes
-    level: int | None  # of the counts of those words; all with lower ones are rare
-    unigrams: np.ndarray  # 2 x words
-    tokens: np.ndarray  # all tokens of each model
-    vocabulary: int  # all distinct words
-    pairs: np.ndarray  # sorted hashes
-    bigrams: np.ndarray  # 2 x pairs
-
-    def p(self, k: int, n: np.ndarray) -> np.ndarray:
-        return (n + ADD) / (self.tokens[k] + ADD * (self.vocabulary + 1))
-
-
-class Pairs:
-    """The distinct bigrams of each text of a batch: codes of both words, text, number; and each text's first word."""
-
-    def __init__(self, w: Words, known: Filter):
-        self.codes = (w.hashes | np.uint64(1 << 63)).view(np.int64)
-        if len(known.hashes):
-            at, place = known.find(w.hashes)
-            self.codes[at] = place
-        at, pair = w.shingles(2)
-        # the same bigram of the same text
-        _, one, self.n = np.unique(mix(pair ^ mix(w.doc[at].astype(np.uint64) + np.uint64(1))), return_index=True, return_counts=True)
-        self.pair, at = pair[one], at[one]
-        self.a, self.b, self.doc = self.codes[at], self.codes[at + 1], w.doc[at]
-        self.common = (self.a >= 0) & (self.b >= 0)
-        self.with_words = np.flatnonzero(np.diff(w.first))
-        self.opening = self.codes[w.first[self.with_words]] if len(self.codes) else np.zeros(0, np.int64)
-
+class Entries:
+    """A chunk's distinct words (even hashes) and bigrams (odd ones), sorted, and which of them each token is and ends."""
 
-def _summed(counts: list[np.ndarray]) -> np.ndarray:
-    x = np.concatenate(counts, axis=1)
-    h, back = np.unique(x[0], return_inverse=True)
-    return np.stack([h, *(np.bincount(back, c.view(np.int64), len(h)).astype(np.int64).view(np.uint64) for c in x[1:])])
-
-
-def _counted(rows: DataFrame, of) -> DataFrame:
-    """(h, n, n_target): sums of what ``of`` gives for a batch's words and targets, three arrays of that order."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        count = of()
-
-        def batch(x: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in np.ascontiguousarray(x)], ["h", "n", "n_target"])
-
-        for b in batches:
-            w = Words(b.column(0), BY_SPACE)
-            if not len(w.hashes):
-                continue
-            h, n, n_target = count(w, np.asarray(b.column(1).to_pylist(), bool))
-            held.append(_summed([np.stack([h, n.astype(np.uint64), n_target.astype(np.uint64)])]))
-            if sum(x.shape[1] for x in held) > _HELD:
-                held[:] = [_summed(held)]
-                if held[0].shape[1] > _HELD // 2:
-                    yield batch(held.pop())
-        if held:
-            yield batch(_summed(held))
+    def __init__(self, texts: pa.Array):
+        self.w = w = Words(texts, BY_SPACE)
+        self.second, pairs = w.shingles(2)
+        self.second += 1  # the tokens that have one before them in their text
+        both = np.concatenate((w.hashes & ~_U(1), pairs | _U(1)))
+        self.hashes, back = np.unique(both, return_inverse=True)
+        self.word, self.pair = back[: len(w.hashes)], back[len(w.hashes) :]
 
-    return rows.select("text", "target").mapInArrow(run, "h long, n long, n_target long").groupBy("h").agg(F.sum("n").alias("n"), F.sum("n_target").alias("n_target"))
+    def counts(self, target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """How often the chunk holds each entry, and how often its target texts do."""
+        own, m = target[self.w.doc], len(self.hashes)
+        n = np.bincount(self.word, minlength=m) + np.bincount(self.pair, minlength=m)
+        return n, np.bincount(self.word[own], minlength=m) + np.bincount(self.pair[own[self.second]], minlength=m)
 
 
-def _words(w: Words, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    h, back = np.unique(w.hashes, return_inverse=True)
-    return h, np.bincount(back, minlength=len(h)), np.bincount(back, target[w.doc], len(h)).astype(np.int64)
-
-
-def _level() -> Column:
-    return F.floor(F.log2("n") * 8).cast("int")
-
-
-def _frequent(counts: DataFrame, least: int) -> tuple[DataFrame, int | None]:
-    """The rows with the largest n, ``COMMON`` at most and none under ``least``; and the level from which they are kept."""
-    kept, total = None, 0
-    for r in sorted(counts.where(F.col("n") >= least).groupBy(_level().alias("level")).count().collect(), key=lambda r: -r.level):
-        total += r["count"]
-        if total > COMMON:
-            break
-        kept = r.level
-    return counts.where((F.col("n") >= least) & (_level() >= kept)) if kept is not None else counts.where("false"), kept
+@dataclass
+class Size:
+    """Tokens of the background and the target, and distinct words of the corpus."""
 
+    tokens: tuple[int, int]
+    vocabulary: int
 
-def _arrays(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted hashes, and their counts in both models."""
-    t = counts.select("h", "n", "n_target").toArrow()
-    h, *n = (t.column(i).to_numpy() for i in range(3))
-    h = h.astype(np.int64).view(np.uint64)
-    order = np.argsort(h)
-    return h[order], np.stack(n).astype(np.float64).reshape(2, len(h))[:, order]
+    def p(self, k: int, n: np.ndarray) -> np.ndarray:
+        return (n + ADD) / (self.tokens[k] + ADD * (self.vocabulary + 1))
 
 
-def _common(rows: DataFrame, counts: DataFrame) -> Common:
-    sc = rows.sparkSession.sparkContext
-    total = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target")), F.count(F.lit(1)).alias("words")).first()
-    top, level = _frequent(counts, 1)
-    words, unigrams = _arrays(top)
-    shared = sc.broadcast(words)
+def _bounds(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Where in sorted hashes the buckets, equal ranges of the hash, begin and the last ends."""
+    edges = (np.arange(buckets, dtype=np.uint64) << _U(32)) // _U(buckets) << _U(32)
+    return np.append(np.searchsorted(hashes, edges), len(hashes))
 
-    def sampled():
-        known = Filter(shared.value)
 
-        def count(w: Words, target: np.ndarray):
-            p = Pairs(w, known)
-            return p.pair[p.common], p.n[p.common], np.zeros(p.common.sum(), np.int64)
+def _packed(x: np.ndarray) -> bytes:
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if not len(x) or x.max() <= np.iinfo(t).max)
+    return x.astype(kind).tobytes()
 
-        return count
 
-    share = SAMPLE / max(rows.count(), 1)
-    part = rows if share >= 1 else rows.where(F.pmod(F.xxhash64("row"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
-    pairs = _arrays(_frequent(stage(_counted(part, sampled), "sample"), 2)[0])[0]
-    found = sc.broadcast(pairs)
+def _unpacked(x: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(x, f"u{len(x) // n}") if n else np.zeros(0, np.uint8)
 
-    def exact():
-        known, wanted = Filter(shared.value), Filter(found.value)
 
-        def count(w: Words, target: np.ndarray):
-            p = Pairs(w, known)
-            i = np.flatnonzero(p.common)
-            i = i[wanted.find(p.pair[i])[0]]
-            return p.pair[i], p.n[i], p.n[i] * target[p.doc[i]]
+def _chunks(docs: DataFrame, kind: str) -> DataFrame:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = TaskContext.get().partitionId() << 32
+        for i, b in enumerate(by_bytes(batches, 1, CHUNK_BYTES)):
+            if not b.num_rows:
+                continue
+            words, target = np.diff(Words(b.column(1), BY_SPACE).first), np.asarray(b.column(2).to_pylist(), bool)
+            whole = lambda c: pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), c)  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([pa.array([first + i]), *(whole(c) for c in b.columns), pa.array([int(words.sum())]), pa.array([int(words[target].sum())])], ["chunk", "keys", "texts", "targets", "n", "n_target"])
 
-        return count
+    return docs.mapInArrow(pack, _CHUNK.format(kind))
 
-    pairs, bigrams = _arrays(_counted(rows, exact)) if len(pairs) else (pairs, np.zeros((2, 0)))
-    return Common(words, level, unigrams, np.array([total.n, total.n_target], np.float64), total.words, pairs, bigrams)
 
+def _read(b: pa.RecordBatch, i: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
+    keys, texts, targets = (b.column(c)[i].values for c in ("keys", "texts", "targets"))
+    return keys, texts, np.asarray(targets.to_pylist(), bool)
 
-def _rest(rows: DataFrame, shared, common: bool) -> DataFrame:
-    """Distinct bigrams (a, b) of each row that are not broadcast, n times in it: of broadcast words, or of others.
 
-    Of the others, a is a rare word, and b the one after it (``side`` 1), before it (0), or 0 where a begins the text (2).
-    """
+def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i, chunk in enumerate(b.column("chunk").to_pylist()):
+                _, texts, target = _read(b, i)
+                e = Entries(texts)
+                n, n_target = e.counts(target)
+                at = _bounds(e.hashes, buckets)
+                used = np.flatnonzero(np.diff(at))
+                part = [slice(at[k], at[k + 1]) for k in used]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(used), pa.array(np.full(len(used), chunk)), pa.array([e.hashes[p].tobytes() for p in part], pa.binary()), *(pa.array([_packed(x[p]) for p in part], pa.binary()) for x in (n, n_target))],
+                    ["bucket", "chunk", "hashes", "n", "n_target"],
+                )
+
+    return chunks.select("chunk", "keys", "texts", "targets").mapInArrow(ask, "bucket long, chunk long, hashes binary, n binary, n_target binary")
+
+
+def _replies(requests: DataFrame) -> DataFrame:
+    """Each request's counts over all chunks, in its order; the first of a bucket's replies also has the bucket's number of words."""
+
+    def answer(bucket: int, rows: list[tuple]) -> pa.RecordBatch:
+        ends = np.cumsum([len(h) // 8 for _, h, _, _ in rows])
+        hashes, back = np.unique(np.frombuffer(b"".join(h for _, h, _, _ in rows), np.uint64), return_inverse=True)
+        sums = []
+        for c in (2, 3):
+            each = np.concatenate([_unpacked(r[c], len(r[1]) // 8) for r in rows])
+            sums.append(np.split(np.bincount(back, each, len(hashes)).astype(np.uint64)[back], ends[:-1]))
+        words = int((hashes & _U(1) == 0).sum())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([r[0] for r in rows], pa.int64()), pa.array([bucket] * len(rows), pa.int64()), *(pa.array([_packed(x) for x in s], pa.binary()) for s in sums), pa.array([words] + [0] * (len(rows) - 1), pa.int64())],
+            ["chunk", "bucket", "n", "n_target", "words"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, done = Filter(shared.value.words), Filter(shared.value.pairs)
-        for batch in batches:
-            p = Pairs(Words(batch.column(0), BY_SPACE), known)
-            target, row = np.asarray(batch.column(1).to_pylist(), bool), batch.column(2).to_numpy()
-            if common:
-                keep = p.common.copy()
-                if len(done.hashes):
-                    keep[done.find(p.pair)[0]] = False
-                a, b, doc, n = p.a[keep], p.b[keep], p.doc[keep], p.n[keep]
-                side = np.ones(len(a), np.int8)
-            else:
-                keep, opens = ~p.common, p.opening < 0
-                a, b, doc, n = p.a[keep], p.b[keep], p.doc[keep], p.n[keep]
-                side = (a < 0).astype(np.int8)
-                a, b = np.where(side, a, b), np.where(side, b, a)
-                k = int(opens.sum())
-                a, b = np.concatenate((a, p.opening[opens])), np.concatenate((b, np.zeros(k, np.int64)))
-                doc, n, side = np.concatenate((doc, p.with_words[opens])), np.concatenate((n, np.ones(k, np.int64))), np.concatenate((side, np.full(k, 2, np.int8)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, b, side, row[doc], n.astype(np.int32), target[doc])], ["a", "b", "side", "row", "times", "target"])
-
-    return rows.select("text", "target", "row").mapInArrow(run, "a long, b long, side byte, row long, times int, target boolean")
-
-
-def _here(rows: DataFrame, shared, kind: str) -> DataFrame:
-    """Per row: key, number of tokens, and both losses of what is broadcast."""
+        now, rows = None, []
+        for b in batches:
+            for bucket, *row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now and rows:
+                    yield answer(now, rows)
+                    rows = []
+                now = bucket
+                rows.append(tuple(row))
+        if rows:
+            yield answer(now, rows)
+
+    dealt = requests.repartition("bucket").sortWithinPartitions("bucket", "chunk")
+    return dealt.mapInArrow(run, "chunk long, bucket long, n binary, n_target binary, words long")
+
+
+def _scores(chunks: DataFrame, replies: DataFrame, buckets: int, size: Size, kind: str) -> DataFrame:
+    def score(keys: pa.Array, e: Entries, n: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+        w, losses = e.w, []
+        for k in (0, 1):
+            chance = size.p(k, n[k][e.word])
+            before = n[k][e.word[e.second - 1]]
+            chance[e.second] = (n[k][e.pair] + MU * chance[e.second]) / (before + MU)
+            losses.append(np.bincount(w.doc, -np.log(chance), len(keys)).astype(np.float64))
+        return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(w.first)), *map(pa.array, losses)], ["key", "n", "l0", "l1"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        known, done = Filter(m.words), Filter(m.pairs)
+        keys = e = n = at = None
         for b in batches:
-            w = Words(b.column(0), BY_SPACE)
-            p = Pairs(w, known)
-            i, place = done.find(p.pair) if len(done.hashes) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            opens = np.flatnonzero(p.opening >= 0)
-            losses = []
-            for k in (0, 1):
-                u = m.unigrams[k]
-                chance = (m.bigrams[k][place] + MU * m.p(k, u[p.b[i]])) / (u[p.a[i]] + MU)
-                loss = np.bincount(p.doc[i], -np.log(chance) * p.n[i], len(b))
-                losses.append(loss + np.bincount(p.with_words[opens], -np.log(m.p(k, u[p.opening[opens]])), len(b)).astype(float))
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(np.diff(w.first)), *map(pa.array, losses)], ["row", "key", "n", "l0", "l1"])
-
-    return rows.select("text", "row", "key").mapInArrow(run, f"row long, key {kind}, n long, l0 double, l1 double")
-
-
-def _losses(rest: DataFrame, m: Common, before: list[str], after: list[str], opening: Column | None = None) -> DataFrame:
-    """Both losses by row; ``before`` and ``after`` are the columns of both models' counts of a bigram's first and second word."""
-    out = []
-    for k, (pair, u, v) in enumerate(zip(("n0", "n1"), before, after, strict=True)):
-        p = (F.col(v) + ADD) / float(m.tokens[k] + ADD * (m.vocabulary + 1))
-        chance = (F.col(pair) + MU * p) / (F.col(u) + MU)
-        out.append(F.sum(-F.log(chance if opening is None else F.when(opening, p).otherwise(chance)) * F.col("times")).alias(f"l{k}"))
-    return rest.groupBy("row").agg(*out)
-
-
-def _counted_pairs(rest: DataFrame) -> DataFrame:
-    same = Window.partitionBy("a", "b", "side")
-    return rest.withColumns({"n0": F.sum("times").over(same), "n1": F.sum(F.when(F.col("target"), F.col("times")).otherwise(0)).over(same)})
+            for i, bucket in enumerate(b.column("bucket").to_pylist()):
+                if bucket < 0:  # a chunk comes before its replies
+                    if e:
+                        yield score(keys, e, n)
+                    keys, texts, _ = _read(b, i)
+                    e = Entries(texts)
+                    n, at = tuple(np.zeros(len(e.hashes)) for _ in (0, 1)), _bounds(e.hashes, buckets)
+                else:
+                    part = slice(at[bucket], at[bucket + 1])
+                    for k, c in enumerate(("n", "n_target")):
+                        n[k][part] = _unpacked(b.column(c)[i].as_py(), part.stop - part.start)
+        if e:
+            yield score(keys, e, n)
+
+    texts = chunks.select("chunk", F.lit(-1).cast("long").alias("bucket"), "keys", "texts", "targets")
+    both = texts.unionByName(replies.select("chunk", "bucket", "n", "n_target"), allowMissingColumns=True)
+    return both.repartition("chunk").sortWithinPartitions("chunk", "bucket").mapInArrow(run, f"key {kind}, n long, l0 double, l1 double")
 
 
 def score_documents(docs: DataFrame, target: Column, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -242,29 +186,12 @@ def score_documents(docs: DataFrame, target: Column, key: str = "doc_id", text:
     bounded_batches(spark)
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
-    # written once: the texts are read several times, and the numbers of the rows must not change between
-    rows = stage(named.withColumn("row", F.monotonically_increasing_id()), "rows")
-    counts = stage(_counted(rows, lambda: _words), "words")
-    m = _common(rows, counts)
-    shared = spark.sparkContext.broadcast(m)
-    lexicon = stage(spark.createDataFrame(pa.table({"code": np.arange(len(m.words)), "u0": m.unigrams[0], "u1": m.unigrams[1]})), "lexicon")
-    as_a, as_b = (F.broadcast(lexicon.toDF(x, f"{x}0", f"{x}1")) for x in "ab")
-    usual = _counted_pairs(_rest(rows, shared, True)).join(as_a, "a").join(as_b, "b")
-    # each written by itself, so that its shuffle's files go before the next one's come
-    parts = [_here(rows, shared, kind), stage(_losses(usual, m, ["a0", "a1"], ["b0", "b1"]), "usual")]
-    if len(m.words) < m.vocabulary:
-        rare = counts if m.level is None else counts.where(_level() < m.level)
-        rare = rare.select(F.col("h").bitwiseOR(F.lit(_RARE)).alias("a"), F.col("n").alias("a0"), F.col("n_target").alias("a1"))
-        # b is a broadcast word, a rare one or none: only a rare one is looked up among the rare, the others are spread over the tasks
-        found = _counted_pairs(_rest(rows, shared, False).join(rare.hint("merge"), "a")).withColumn("look", F.when((F.col("side") < 2) & (F.col("b") < 0), F.col("b")).otherwise(F.col("row")))
-        found = found.join(rare.toDF("look", "r0", "r1").hint("merge"), "look", "left").join(as_b, "b", "left")
-        found = found.withColumns({f"b{k}": F.coalesce(f"r{k}", f"b{k}") for k in (0, 1)})
-        first = {f"u{k}": F.when(F.col("side") == 0, F.col(f"b{k}")).otherwise(F.col(f"a{k}")) for k in (0, 1)}
-        second = {f"v{k}": F.when(F.col("side") == 1, F.col(f"b{k}")).otherwise(F.col(f"a{k}")) for k in (0, 1)}
-        parts.append(stage(_losses(found.withColumns(first | second), m, ["u0", "u1"], ["v0", "v1"], F.col("side") == 2), "rare"))
-    together = parts[0]
-    for p in parts[1:]:
-        together = together.unionByName(p, allowMissingColumns=True)
-    sums = together.groupBy("row").agg(F.first("key", True).alias("key"), F.max("n").alias("n"), F.sum("l0").alias("l0"), F.sum("l1").alias("l1"))
+    # written once: both passes must see the same chunks
+    chunks = stage(_chunks(named, kind), "chunks")
+    total = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target"))).first()
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total.n // BUCKET))
+    replies = stage(_replies(_requests(chunks, buckets)), "replies")
+    size = Size((total.n, total.n_target), replies.agg(F.coalesce(F.sum("words"), F.lit(0))).first()[0])
+    sums = _scores(chunks, replies, buckets, size, kind)
     mean = [F.when(F.col("n") > 0, F.col(c) / F.col("n")) for c in ("l1", "l0")]
     return sums.select(F.col("key").alias(key), F.col("n").alias("n_tokens"), mean[0].alias("target_loss"), mean[1].alias("background_loss"), (mean[0] - mean[1]).alias("score"))
