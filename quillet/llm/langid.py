@@ -67,14 +67,17 @@ class LanguageModel:
     weights: np.ndarray  # features x languages
     temperature: float = 1.0
 
+    @functools.cached_property
+    def table(self) -> np.ndarray:
+        return np.ascontiguousarray((self.weights * self.idf[:, None]).T)
+
     def logits(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Logits before the temperature, and which texts have a letter."""
         grams = Grams(texts)
         sums, n = np.zeros((len(texts), len(self.languages))), np.zeros(len(texts))
-        table = np.ascontiguousarray((self.weights * self.idf[:, None]).T)
         for doc, f in grams.features():
             n += np.bincount(doc, minlength=len(texts))
-            for k, row in enumerate(table):
+            for k, row in enumerate(self.table):
                 sums[:, k] += np.bincount(doc, row[f], minlength=len(texts))
         return sums / np.sqrt(np.maximum(n, 1))[:, None], grams.letters > 0
 

@@ -23,13 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, discard, mix, sequence_hash, stage
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, mix, sequence_hash, stage
 from .components import connected_components
 
 _U = np.uint64
 _MARK = np.iinfo(np.int64).min
 #: Sets compared to one copy of a hub's set; ranges of hashes that the suffix filter counts.
 HUB_ROWS, RANGES = 512, 64
+#: Shingles that meet in a bucket of the screen, about, and bytes of texts that are dealt to the buckets together.
+BUCKET, DEALT_BYTES = 4_000_000, 4 << 20
 #: Bits that hold the parities of a set's members in so many cells: two sets differ in at least as many members as bits.
 PARITIES = 1024
 _SALT = _U(0x2545F4914F6CDD1D)
@@ -68,7 +70,7 @@ def _binary(parts: list[np.ndarray]) -> pa.Array:
 
 def _sizes_and_digests(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             d, h = shingle_sets(b.column(1), n, table)
             d1, d2 = _digests(d, h, len(b))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.bincount(d, minlength=len(b)).astype(np.int64)), pa.array(d1), pa.array(d2)], ["key", "n", "d1", "d2"])
@@ -76,11 +78,11 @@ def _sizes_and_digests(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, "key long, n long, d1 long, d2 long")
 
 
-def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int) -> DataFrame:
+def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int, parts: int) -> DataFrame:
     """(key, shared): how many of a document's shingles other documents hold as well."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for i, b in enumerate(batches):
+        for i, b in enumerate(by_bytes(batches, 1, DEALT_BYTES)):
             keys = b.column(0).to_numpy(zero_copy_only=False)
             d, h = shingle_sets(b.column(1), n, table)
             order = np.argsort(h, kind="stable")
@@ -103,33 +105,38 @@ def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int) -
 
     def send(keys: np.ndarray, many: np.ndarray) -> pa.RecordBatch:
         """Counts, packed for the partitions that sum them."""
-        to = (mix(keys.view(np.uint64)) % _U(buckets)).astype(np.int64)
+        to = (mix(keys.view(np.uint64)) % _U(parts)).astype(np.int64)
         order = np.argsort(to, kind="stable")
         keys, many = keys[order], many[order].astype(np.int64)
-        ends = np.searchsorted(to[order], np.arange(buckets + 1))
+        ends = np.searchsorted(to[order], np.arange(parts + 1))
         used = np.flatnonzero(np.diff(ends))
         return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(_binary([x[ends[i] : ends[i + 1]] for i in used]) for x in (keys, many))], ["to", "keys", "many"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, tuple[list, list]] = {}
-        here = _Sums()
+        now, held, here = None, [], _Sums()
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if held:
+                tokens, owners = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.argsort(tokens, kind="stable")
+                tokens, owners = tokens[order], owners[order]
+                same = tokens[1:] == tokens[:-1]
+                twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+                yield send(*np.unique(owners[twice & (owners != _MARK)], return_counts=True))
+                held.clear()
+
         for b in batches:
             for bucket, counted, tokens, owners in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if bucket != now:
+                    yield from done()
+                    now = bucket
                 tokens, owners = np.frombuffer(tokens, np.uint32), np.frombuffer(owners, np.int64)
                 if counted:
                     here.add(owners, tokens)
                 else:
-                    own = kept.setdefault(bucket, ([], []))
-                    own[0].append(tokens)
-                    own[1].append(owners)
+                    held.append((tokens, owners))
+        yield from done()
         yield send(*here.get())
-        while kept:
-            tokens, owners = map(np.concatenate, kept.popitem()[1])
-            order = np.argsort(tokens, kind="stable")
-            tokens, owners = tokens[order], owners[order]
-            same = tokens[1:] == tokens[:-1]
-            twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-            yield send(*np.unique(owners[twice & (owners != _MARK)], return_counts=True))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
@@ -139,8 +146,9 @@ def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int) -
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in sums.get()], ["key", "shared"])
 
     dealt = docs.where("key is not null").mapInArrow(deal, "bucket int, counted boolean, tokens binary, owners binary")
-    counted = dealt.repartitionById(buckets, F.col("bucket")).mapInArrow(count, "to int, keys binary, many binary")
-    return counted.repartitionById(buckets, F.col("to")).mapInArrow(total, "key long, shared long")
+    # bucket after bucket: one is in memory at a time
+    counted = dealt.repartitionById(parts, F.pmod("bucket", F.lit(parts)).cast("int")).sortWithinPartitions("bucket").mapInArrow(count, "to int, keys binary, many binary")
+    return counted.repartitionById(parts, F.col("to")).mapInArrow(total, "key long, shared long")
 
 
 class _Sums:
@@ -166,23 +174,24 @@ class _Sums:
 
 def _sets(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 1):
             d, h = shingle_sets(b.column(1), n, table)
             first = np.searchsorted(d, np.arange(len(b) + 1))
             own = [h[i:j] for i, j in zip(first[:-1], first[1:], strict=True)]
             marks = [np.packbits((np.bincount((mix(x ^ _SALT) >> _U(54)).astype(np.int64), minlength=PARITIES) & 1).astype(np.uint8)).view(np.int64) for x in own]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), _binary(own), pa.array([m.tolist() for m in marks], pa.list_(pa.int64()))], ["key", "n", "members", "parities"])
+            digest = pa.array(_digests(d, h, len(b))[0])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(first)), digest, _binary(own), pa.array([m.tolist() for m in marks], pa.list_(pa.int64()))], ["key", "n", "d", "members", "parities"])
 
-    return docs.mapInArrow(run, "key long, n long, members binary, parities array<long>")
+    return docs.mapInArrow(run, "key long, n long, d long, members binary, parities array<long>")
 
 
 def _members(sets: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n = b.column(1).to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), n)), pa.array(np.repeat(n, n)), pa.array(np.frombuffer(b"".join(b.column(2).to_pylist()), np.int64))], ["key", "n", "token"])
+            key, n, d = (b.column(i).to_numpy() for i in range(3))
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(x, n)) for x in (key, n, d)), pa.array(np.frombuffer(b"".join(b.column(3).to_pylist()), np.int64))], ["key", "n", "d", "token"])
 
-    return sets.select("key", "n", "members").mapInArrow(run, "key long, n long, token long")
+    return sets.select("key", "n", "d", "members").mapInArrow(run, "key long, n long, d long, token long")
 
 
 def overlap_reaches(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
@@ -235,19 +244,20 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     docs = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text"))
     rows = stage(_sizes_and_digests(docs, n, table), "sizes")
     classes = stage(rows.where("n > 0").groupBy("d1", "d2", "n").agg(F.min("key").alias("key")), "classes")
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = stage(_shared_shingles(docs, n, table, buckets), "shared")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total = rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shared = stage(_shared_shingles(docs, n, table, max(parts, -(-total // BUCKET)), parts), "shared")
     maybe = stage(classes.join(shared, "key").where(F.col("shared") * 100 >= F.col("n") * threshold).select("key").distinct(), "screened")
     discard(shared)
-    sets = stage(_sets(docs.join(maybe, "key", "left_semi"), n, table).where("n > 0").dropDuplicates(["key", "n", "members"]), "sets")
+    sets = stage(_sets(docs.join(maybe, "key", "left_semi"), n, table).where("n > 0").dropDuplicates(["key", "n", "d"]), "sets")
     members = _members(sets)
     often = stage(members.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
-    ordered = members.join(often, "token").groupBy("key", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ordered = members.join(often, "token").groupBy("key", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     # the shingles that no other set has come first of all, and are in no other list
     alone = F.greatest(F.col("n") - F.size("t"), F.lit(0))
     prefix = F.col("n") - F.ceil(F.col("n") * threshold / 100) + 1
-    lists = ordered.select("key", "n", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("i", "t"))
-    lists = stage(lists.select(F.col("t.token").alias("token"), "key", "n", (F.col("alone") + F.col("i")).alias("pos")), "lists")
+    lists = ordered.select("key", "n", "d", alone.alias("alone"), F.posexplode(F.slice("t", F.lit(1), F.greatest(prefix - alone, F.lit(0)).cast("int"))).alias("i", "t"))
+    lists = stage(lists.select(F.col("t.token").alias("token"), "key", "n", "d", (F.col("alone") + F.col("i")).alias("pos")), "lists")
 
     long_enough = lambda x, y: (F.col(x) * 100 >= F.col(y) * threshold) & (F.col(y) * 100 >= F.col(x) * threshold)
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("key", "n"), "key").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
@@ -256,9 +266,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     parts = stage(connected_components(edges), "parts")
 
     # lists that hold several components: each set outside the largest of them meets all sets of the others
-    named = stage(lists.join(parts, F.col("key") == F.col("node"), "left").select("token", "key", "n", "pos", F.coalesce("component", "key").alias("part")), "named")
+    named = stage(lists.join(parts, F.col("key") == F.col("node"), "left").select("token", "key", "n", "d", "pos", F.coalesce("component", "key").alias("part")), "named")
     largest = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "largest")
-    mixed = stage(named.join(largest, "token").join(sets.select("key", "n", "parities"), ["key", "n"]), "mixed")
+    mixed = stage(named.join(largest, "token").join(sets.select("key", "n", "d", "parities"), ["key", "n", "d"]), "mixed")
     x = mixed.where("part <> largest").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("part_a"), F.col("parities").alias("qa"))
     y = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"), F.col("parities").alias("qb"), "largest")
     # suffix filter on the parities, position by position of the list: similar sets differ in few members

@@ -294,25 +294,41 @@ class Decoder:
         return [t[t[:1] == b" " :].decode("utf-8", "replace") for t in texts]
 
 
-def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
+def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", check: str | None = None) -> DataFrame:
     """``docs`` with the ids of ``text`` in ``into`` (array<int>), without begin, end or other special tokens.
 
     Null and empty texts have no ids; strings that look like special tokens are ordinary text; characters without a piece
-    become the ids of their UTF-8 bytes. Rows are kept as they come.
+    become the ids of their UTF-8 bytes. Rows are kept as they come. With ``check``, a boolean column of that name says whether
+    the ids decode to the text.
     """
     bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model))
+    kept = f"{into}__kept"
+
+    def ids_of(encoder: Encoder, column: pa.Array) -> tuple[pa.Array, list[str]]:
+        texts = utf8(column).to_pylist()
+        ids = encoder.encode(texts)
+        offsets = np.zeros(len(ids) + 1, np.int32)
+        np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))), texts
 
     @F.arrow_udf("array<int>")
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for column in columns_by_bytes(columns):
-            ids = encoder.encode(utf8(column).to_pylist())
-            offsets = np.zeros(len(ids) + 1, np.int32)
-            np.cumsum([len(x) // 4 for x in ids], out=offsets[1:])
-            yield pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4")))
+            yield ids_of(encoder, column)[0]
+
+    @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    def run_and_check(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder, decode = Encoder(shared.value), Decoder(shared.value).decode
+        for column in columns_by_bytes(columns):
+            ids, texts = ids_of(encoder, column)
+            back = decode(ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64))
+            yield pa.StructArray.from_arrays([ids, pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())], ["ids", "same"])
 
-    return docs.withColumn(into, run(F.col(text)))
+    if check is None:
+        return docs.withColumn(into, run(F.col(text)))
+    return docs.withColumn(kept, run_and_check(F.col(text))).withColumns({into: F.col(kept)["ids"], check: F.col(kept)["same"]}).drop(kept)
 
 
 def decoder(docs: DataFrame, model: str) -> Column:

@@ -13,7 +13,7 @@ from .langid import fit, held_out, identify
 from .lm_score import score_documents
 from .ngram_join import jaccard_components
 from .pii import KINDS, digest, find_pii
-from .pieces import decoder, encode
+from .pieces import encode
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 from .vector_dedup import link_vectors
@@ -64,11 +64,8 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 def op3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document under the piece model, as a count and a digest, and whether decoding gives the text back."""
     model = public_tokenizers.path("piece_bpe_32k.model")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return encode(docs, model).select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
-        (decoder(docs, model)(F.col("ids")) == F.col("text")).alias("round_trip"),
-    )
+    found = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model, check="round_trip")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"), "round_trip")
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

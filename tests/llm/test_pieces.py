@@ -40,6 +40,8 @@ def test_ids_and_counts_of_many_texts(spark, make, library):
     got = {r.doc_id: (list(r.out), r.back) for r in encode(df, MODEL, into="out").select("doc_id", "out", decoder(df, MODEL)(F.col("out")).alias("back")).collect()}
     assert [got[i][0] for i in range(len(texts))] == want
     assert [got[i][1] for i in range(len(texts))] == [library.decode(x) for x in want]
+    same = {r.doc_id: r.same for r in encode(df, MODEL, check="same").select("doc_id", "same").collect()}
+    assert same == {i: library.decode(w) == (t or "") for i, (t, w) in enumerate(zip(texts, want, strict=True))}
     counts = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(df, MODEL).collect()}
     assert counts == {i: (len((t or "").encode()), len(w), len(w) > 4096) for i, (t, w) in enumerate(zip(texts, want, strict=True))}
 

@@ -86,7 +86,17 @@ def test_empty_table(spark, tmp_path):
 
 
 def test_null_and_repeated_ids(spark, folder):
-    text = documents()[3][1]
-    docs = spark.createDataFrame([(None, text, "aa", "s", 1), (None, text, "aa", "s", 1), (5, text, "aa", "s", 1), (5, text, "aa", "s", 1)], SCHEMA)
-    kept = corpus_pipeline.ngram_join(spark, docs, folder).collect()
-    assert sorted(r.doc_id or 0 for r in kept) == [0, 0, 5]
+    text, other = documents()[3][1], "quite another text, of different words than the first one has"
+    rows = [(None, text, "aa", "s", 1), (None, text, "aa", "s", 1), (5, text, "aa", "s", 1), (5, text, "aa", "s", 1), (5, other, "aa", "s", 1), (None, "no number but some words of its own", None, None, None), (7, None, None, None, None)]
+    kept = corpus_pipeline.ngram_join(spark, spark.createDataFrame(rows, SCHEMA), folder).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept) == sorted([(5, text), (5, other), (0, rows[5][1]), (7, "")])
+
+
+def test_columns_of_clashing_names(spark, folder):
+    extra = "ids string, n_ids string, round_trip string, key string, component_id string, node string, language string, row string, a map<string,string>"
+    docs = spark.createDataFrame([(*r, *"abcdefgh", {"x": "y"}) for r in documents()[:40]], f"doc_id long, text string, lang string, source string, {extra}".replace("source string,", "source string, n_chars int,"))
+    for name, f in corpus_pipeline.STAGES:
+        out = f(spark, docs, folder)
+        rows = out.collect()
+        assert rows and (name == "pieces" or out.columns == docs.columns)
+    assert sorted(out.columns) == sorted(docs.columns) and all(isinstance(r.n_ids, int) for r in rows)
