@@ -6,8 +6,10 @@ decontamination   documents go of whose words a twentieth or more lies in window
 pii               personal data in the text gives way to its kind in brackets; n_chars follows
 pieces            the ids of the text, their number, and whether they decode to the text
 
-All but the last return the columns of their input, extra ones too. Rows with a null doc_id pass the second stage (each is
-its own group), rows that repeat a doc_id leave it as one (of different texts under one id, any). Null texts go in the first stage.
+All but the last return the columns of their input, extra ones too. In the second stage each different row is looked at by
+itself, whatever its doc_id: rows that share an id, or have none, go only with a group of similar texts. Of a group the row with the smallest doc_id stays, null
+after all others, and of rows that share it the one with the smallest hash; rows equal in all columns are one. Null texts go in the first stage. The
+last stage's own columns (ids, n_ids, round_trip) replace any of those names.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from quillet.llm.common import stage
 from quillet.llm.decontam import find_contamination, summary
 from quillet.llm.langid import UNDETERMINED, fit, identify
 from quillet.llm.ngram_join import jaccard_components
-from quillet.llm.pieces import decoder, encode
+from quillet.llm.pieces import encode
 from quillet.llm.pii import find_pii, redact
 
 MIN_SCORE = 0.5
@@ -34,8 +36,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(docs.columns).union(docs.where("doc_id is null"))
+    # a row's name is what it holds: rows of one name are equal
+    row = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind))
+    named = docs.withColumn(_OWN, row)
+    found = jaccard_components(named, key=_OWN).select(_OWN, "component_id").distinct()
+    best = named.select(_OWN, F.struct(F.col("doc_id").isNull(), "doc_id", _OWN).alias("order")).join(found, _OWN)
+    kept = best.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col(f"order.{_OWN}").alias(_OWN))
+    return named.join(kept, _OWN, "left_semi").dropDuplicates([_OWN]).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,13 +52,16 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = find_pii(docs, into=_OWN).withColumn("text", redact(docs, spans=_OWN)).drop(_OWN)
-    return found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    if "n_chars" in docs.columns:
+        found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+    return found.select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = encode(docs, model, into="ids")
-    return found.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), (decoder(docs, model)(F.col("ids")) == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    docs = docs.drop("ids", "n_ids", "round_trip")
+    found = encode(docs, model, into="ids", check="round_trip")
+    return found.select(*docs.columns, "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 STAGES = [("language_id", language_id), ("ngram_join", ngram_join), ("decontamination", decontamination), ("pii", pii), ("pieces", pieces)]
