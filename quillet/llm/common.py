@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,29 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+# --- memory of Python workers ---------------------------------------------------------------------
+
+
+@functools.lru_cache(maxsize=1)
+def _trim() -> Callable[[int], object]:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # not this C library
+        return lambda _: None
+
+
+def tidy(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """For functions that run in Python workers: what a task has freed goes back to the system, as workers outlive their tasks."""
+
+    @functools.wraps(f)
+    def run(batches: Iterator) -> Iterator:
+        yield from f(batches)
+        pa.default_memory_pool().release_unused()
+        _trim()(0)
+
+    return run
+
+
 # --- Arrow ---------------------------------------------------------------------------------------
 
 

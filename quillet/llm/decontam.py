@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_ALNUM, Words, bounded_batches, by_bytes, columns_by_bytes, sequence_hash, stage
+from .common import BY_ALNUM, Words, bounded_batches, by_bytes, columns_by_bytes, sequence_hash, stage, tidy
 
 WINDOW, SHINGLE = 13, 5
 #: Windows that are broadcast at a time.
@@ -31,6 +31,7 @@ _FOUND = "struct<n_words:bigint,spans:array<struct<start:int,end:int>>,items:arr
 def _windows(items: DataFrame, item: str, text: str) -> DataFrame:
     """Distinct (words, n, item) of all windows; words are joined by spaces."""
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
             w, rows = Words(b.column(1), BY_ALNUM), []
@@ -86,6 +87,7 @@ class Filter:
 def _rarity(docs: DataFrame, text: str, shared) -> dict[int, dict[int, int]]:
     """How often the documents hold each of the block's shingles: partial sums in each partition, then one small sum."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters = {k: Filter(v[0]) for k, v in shared.value.shingles.items()}
         sums = {k: np.zeros(len(f.hashes), np.int64) for k, f in filters.items()}
@@ -144,6 +146,7 @@ class Prefixes:
 
 def _finder(shared) -> Column:
     @F.arrow_udf(_FOUND)
+    @tidy
     def find(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         prefixes = shared.value
         filters = {k: Filter(v[0]) for k, v in prefixes.by_k.items() if len(v[0])}
@@ -175,6 +178,7 @@ def _merged(spans: Column) -> Column:
     """Sorted spans with those that touch joined."""
 
     @F.arrow_udf("array<struct<start:int,end:int>>")
+    @tidy
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             out = []

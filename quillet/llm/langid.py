@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, columns_by_bytes, stage, utf8
+from .common import bounded_batches, by_bytes, columns_by_bytes, stage, tidy, utf8
 
 #: Bounds of the samples: rows of each language, in expectation, for the weights and for the temperature.
 TRAIN_ROWS, CALIBRATION_ROWS = 800, 300
@@ -90,6 +90,7 @@ def _softmax(x: np.ndarray) -> np.ndarray:
 def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Document frequency of every feature over all rows, and the number of rows."""
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, seen, n = np.zeros(FEATURES, np.int64), np.zeros(FEATURES, bool), 0
         for b in by_bytes(batches, 0):
@@ -191,6 +192,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     in_train = F.col("place") < F.least(F.lit(TRAIN_ROWS) * F.col("share"), F.lit(TRAIN_ROWS / (TRAIN_ROWS + CALIBRATION_ROWS)))
     number = {k: i for i, k in enumerate(languages)}
 
+    @tidy
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, labels = [], []
         for b in batches:
@@ -208,6 +210,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     model = LanguageModel(languages, idf, weights)
     shared = spark.sparkContext.broadcast(model)
 
+    @tidy
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 0):
             logits, ok = shared.value.logits(utf8(b.column(0)).to_pylist())
@@ -230,6 +233,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", into: st
     shared = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("struct<lang:string,score:double>")
+    @tidy
     def predict(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], object)

@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, by_bytes, stage
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, stage, tidy
 
 #: Weight of the unigram model in the bigrams, and what is added to every unigram count.
 MU, ADD = 10.0, 0.5
@@ -77,6 +77,7 @@ def _unpacked(x: bytes, n: int) -> np.ndarray:
 
 
 def _chunks(docs: DataFrame, kind: str) -> DataFrame:
+    @tidy
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 32
         for i, b in enumerate(by_bytes(batches, 1, CHUNK_BYTES)):
@@ -95,6 +96,7 @@ def _read(b: pa.RecordBatch, i: int) -> tuple[pa.Array, pa.Array, np.ndarray]:
 
 
 def _requests(chunks: DataFrame, buckets: int) -> DataFrame:
+    @tidy
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i, chunk in enumerate(b.column("chunk").to_pylist()):
@@ -128,6 +130,7 @@ def _replies(requests: DataFrame) -> DataFrame:
             ["chunk", "bucket", "n", "n_target", "words"],
         )
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, rows = None, []
         for b in batches:
@@ -154,6 +157,7 @@ def _scores(chunks: DataFrame, replies: DataFrame, buckets: int, size: Size, kin
             losses.append(np.bincount(w.doc, -np.log(chance), len(keys)).astype(np.float64))
         return pa.RecordBatch.from_arrays([keys, pa.array(np.diff(w.first)), *map(pa.array, losses)], ["key", "n", "l0", "l1"])
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = e = n = at = None
         for b in batches:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, mix, sequence_hash, stage
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, mix, sequence_hash, stage, tidy
 from .components import connected_components
 
 _U = np.uint64
@@ -69,6 +69,7 @@ def _binary(parts: list[np.ndarray]) -> pa.Array:
 
 
 def _sizes_and_digests(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
             d, h = shingle_sets(b.column(1), n, table)
@@ -81,6 +82,7 @@ def _sizes_and_digests(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
 def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int, parts: int) -> DataFrame:
     """(key, shared): how many of a document's shingles other documents hold as well."""
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, b in enumerate(by_bytes(batches, 1, DEALT_BYTES)):
             keys = b.column(0).to_numpy(zero_copy_only=False)
@@ -112,6 +114,7 @@ def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int, p
         used = np.flatnonzero(np.diff(ends))
         return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), *(_binary([x[ends[i] : ends[i + 1]] for i in used]) for x in (keys, many))], ["to", "keys", "many"])
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held, here = None, [], _Sums()
 
@@ -138,6 +141,7 @@ def _shared_shingles(docs: DataFrame, n: int, table: np.ndarray, buckets: int, p
         yield from done()
         yield send(*here.get())
 
+    @tidy
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = _Sums()
         for b in batches:
@@ -173,6 +177,7 @@ class _Sums:
 
 
 def _sets(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in by_bytes(batches, 1):
             d, h = shingle_sets(b.column(1), n, table)
@@ -186,6 +191,7 @@ def _sets(docs: DataFrame, n: int, table: np.ndarray) -> DataFrame:
 
 
 def _members(sets: DataFrame) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key, n, d = (b.column(i).to_numpy() for i in range(3))
@@ -216,6 +222,7 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     left = copies.join(sets, F.col("a") == F.col("key")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "members")
     right = pairs.join(copies, "a").join(sets, F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b", "members")
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = own = None
         for batch in batches:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns_by_bytes, mix, utf8
+from .common import bounded_batches, columns_by_bytes, mix, tidy, utf8
 
 _U = np.uint64
 _STEP, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
@@ -313,12 +313,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
         return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), "<i4"))), texts
 
     @F.arrow_udf("array<int>")
+    @tidy
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
         for column in columns_by_bytes(columns):
             yield ids_of(encoder, column)[0]
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
+    @tidy
     def run_and_check(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decode = Encoder(shared.value), Decoder(shared.value).decode
         for column in columns_by_bytes(columns):
@@ -336,6 +338,7 @@ def decoder(docs: DataFrame, model: str) -> Column:
     shared = docs.sparkSession.sparkContext.broadcast(PieceModel(model))
 
     @F.arrow_udf("string")
+    @tidy
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         decode = Decoder(shared.value).decode
         for column in columns:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, stage, utf8
+from .common import BY_SPACE, Words, bounded_batches, stage, tidy, utf8
 from .decontam import Filter
 
 KINDS = ("email", "ip", "card", "phone")
@@ -110,6 +110,7 @@ def _pattern_hashes(pairs: list[str]) -> np.ndarray:
 
 
 def _seed_patterns(docs: DataFrame, text: str) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             pairs, kinds, seeds = [], [], []
@@ -133,6 +134,7 @@ def _seed_patterns(docs: DataFrame, text: str) -> DataFrame:
 def _edges(docs: DataFrame, text: str, shared) -> DataFrame:
     """(kind, pattern, instance, seed, n): what follows the patterns; a null instance is a string of no such shape."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: dict[int, list[str]] = {}
         for kind, h in shared.value:
@@ -205,6 +207,7 @@ def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, tex
         """What has a pattern's shape after a pattern of this block, whether or not it overlaps other spans."""
 
         @F.arrow_udf(f"array<{_SPAN}>")
+        @tidy
         def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
             kinds: dict[int, list[str]] = {}
             for kind, h in shared.value:
@@ -229,6 +232,7 @@ def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, tex
         return find(F.col(text))
 
     @F.arrow_udf(f"array<{_SPAN}>")
+    @tidy
     def join(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for column, *others in columns:
             found = [[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()]
@@ -240,6 +244,7 @@ def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, tex
             yield _spans([sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in found])
 
     @F.arrow_udf(f"array<{_SPAN}>")
+    @tidy
     def base(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in columns:
             yield _spans([[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()])

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, mix, powers, prefix_hash, range_hashes, stage, utf8
+from .common import bounded_batches, flat_bytes, mix, powers, prefix_hash, range_hashes, stage, tidy, utf8
 
 _U = np.uint64
 GRAM, BLOCK = 16, 16
@@ -124,6 +124,7 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, r: Reach, ranks_only: bool) -> DataFrame:
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat_bytes(b.column("text"))
@@ -159,6 +160,7 @@ def _lists(b: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]
 def _blocks(subset: DataFrame, chosen: DataFrame, r: Reach) -> DataFrame:
     """The chosen anchors' strings in blocks, with the ranks of what a block's strings share and of what they cover."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat_bytes(b.column("text"))
@@ -188,6 +190,7 @@ def _blocks(subset: DataFrame, chosen: DataFrame, r: Reach) -> DataFrame:
 def _strings(subset: DataFrame, chosen: DataFrame, r: Reach) -> DataFrame:
     """The chosen blocks' single strings, ranked by the block's rank and their bytes."""
 
+    @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data, offsets = flat_bytes(b.column("text"))
@@ -261,6 +264,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(key).cast("long"), F.lit(0)).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("sum"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
 
+    @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts, out_spans, kept = utf8(b.column("text")).cast(pa.large_binary()).to_pylist(), [], []

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, flat_bytes, span_hashes, utf8
+from .common import bounded_batches, by_bytes, flat_bytes, span_hashes, tidy, utf8
 
 #: Entries of the broadcast table, candidates a partition reports, bytes of a word that is kept anywhere.
 TABLE, SUMMARY, WORD = 20_000, 2_000, 64
@@ -125,6 +125,7 @@ def frequent_words(docs: DataFrame, text: str = "text") -> list[str]:
     most frequent; the reports are added up and the largest sums kept. At most ``TABLE`` rows reach the driver.
     """
 
+    @tidy
     def summary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter[str] = Counter()
         for batch in by_bytes(batches, 0):
@@ -156,6 +157,7 @@ def count_tokens(docs: DataFrame, model: str, key: str = "doc_id", text: str = "
     shared = spark.sparkContext.broadcast((name, proto, Lengths(words, PieceCounter(proto).lengths(words))))
     kind = docs.schema[key].dataType
 
+    @tidy
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = _counter(*shared.value)
         for batch in by_bytes(batches, 1):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, mix, stage
+from .common import bounded_batches, mix, stage, tidy
 from .components import connected_components
 
 #: Probability that a pair at the threshold is in no bucket; deviations of an estimate's error that are allowed for; rows of a block.
@@ -122,6 +122,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     classes = stage(rows.where(fits).groupBy("x").agg(F.min("key").alias("id"), F.count(F.lit(1)).alias("weight")), "vectors")
     bits, groups = plan(classes.count(), threshold)
 
+    @tidy
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, dims = b.column(0).to_numpy(), np.array([len(x) for x in b.column(1).to_pylist()])
@@ -139,6 +140,7 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     paired = placed.select("id", "sign_group", "bucket", "own", other.alias("other")).select("id", "sign_group", "bucket", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
     full = paired.join(classes, "id").select("sign_group", "bucket", "a", "b", "own", "id", "weight", "x")
 
+    @tidy
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, kept = None, []
 

@@ -25,7 +25,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, shared_dir, stage, utf8
+from .common import bounded_batches, shared_dir, stage, tidy, utf8
 
 #: Captures in a block of the index; shards of the index at most.
 BLOCK, MAX_SHARDS = 500, 4096
@@ -59,6 +59,7 @@ def capture_key(url: str | None, page_id: int | None) -> str:
 
 
 def _keys(pages: DataFrame) -> DataFrame:
+    @tidy
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([capture_key(u, i) for u, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)], pa.string())], ["capture_key"])
@@ -125,6 +126,7 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
     copies = stage(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first"), "copies")
     rows = rows.join(copies, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
+    @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         name, out, at = f"{uuid.uuid4().hex}.warc.gz", None, 0
@@ -142,6 +144,7 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
 
     captures = stage(rows.mapInArrow(write, "capture_key string, file string, offset long, length long"), "captures")
 
+    @tidy
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = _open(root)
         name, out, at, lines, directory = uuid.uuid4().hex, None, 0, [], []
@@ -233,6 +236,7 @@ def lookup(archive: Archive, keys: DataFrame, payloads: bool = False) -> DataFra
     shared = spark.sparkContext.broadcast(archive)
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64()} | ({"payload": pa.binary()} if payloads else {})
 
+    @tidy
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value)
         for b in batches:
