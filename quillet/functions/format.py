@@ -55,6 +55,15 @@ def _decimal(v: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
 
 
+def _datetime(v: Column) -> Column:
+    """In UTC, whatever the session's zone: the time without a zone that lies as long after the epoch (one without a zone is taken as it is)."""
+    micros = F.unix_micros(v.cast("timestamp"))
+    day = 86_400_000_000
+    since = F.make_dt_interval(F.floor(micros / day).cast("int"), F.lit(0), F.lit(0), (F.pmod(micros, F.lit(day)).cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    wall = F.when(F.typeof(v) == "timestamp_ntz", v.cast("timestamp_ntz")).otherwise(F.lit("1970-01-01").cast("timestamp_ntz") + since)
+    return F.concat(F.substring_index(wall.cast("string"), ".", 1), F.lit("Z"))
+
+
 def _index(v: Column) -> Column:
     return F.concat(F.when(v["from_end"], "^").otherwise(""), v["value"].cast("string"))
 
@@ -62,13 +71,17 @@ def _index(v: Column) -> Column:
 FORMATTERS: dict[str, Formatter] = {k: _plain for k in ("string", "uri", "char", "guid", "byte", "sbyte", "short", "ushort", "int", "uint", "long", "ulong", "nint", "nuint")} | {
     "bool": lambda v: F.when(v, "True").when(~v, "False"),
     "float": _digits(9), "double": _digits(17), "decimal": _decimal,
-    "datetime": lambda v: F.date_format(v, "yyyy-MM-dd HH:mm:ss'Z'"), "datetimeoffset": lambda v: F.date_format(v, "yyyy-MM-dd HH:mm:ss'Z'"),
+    "datetime": _datetime, "datetimeoffset": _datetime,
     "timespan": _timespan,
     "version": lambda v: F.concat_ws(".", v["major"].cast("string"), v["minor"].cast("string"), v["build"].cast("string"), v["revision"].cast("string")),
     "index": _index, "range": lambda v: F.concat(_index(v["start"]), F.lit(".."), _index(v["end"])),
 }
 
 
+def formatter_of(kind: str) -> Formatter | None:
+    return FORMATTERS.get("decimal" if kind.startswith("decimal(") else kind)
+
+
 def enum(names: list[str]) -> Formatter:
     """A defined name, or an error."""
     return lambda v: F.when(v.isNull() | v.isin(*names), v).otherwise(F.raise_error(F.concat(F.lit("not a defined name: "), v)))
@@ -106,6 +119,7 @@ def encode_cell(v: Column, o: Options) -> Column:
     v = F.coalesce(v, F.lit(""))
     needs = needs_encoding(v, o)
     if o.quote is None:
+        # fixed messages, here and below
         message = "Tried to write a value which requires escaping, but no way to escape a value is configured: "
         return F.when(needs, F.raise_error(F.concat(F.lit(message), v))).otherwise(v)
     if o.escape is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Mapping
 from functools import reduce
 from typing import NamedTuple
@@ -34,11 +35,24 @@ INTEGERS = {
     "nint": (-(2**63), 2**63 - 1, "bigint"), "nuint": (0, 2**64 - 1, "decimal(20,0)"),
 }
 _UNSIGNED = {"ushort", "uint", "ulong", "nuint"}
-#: Date-time shapes that are read, tried in this order (a documented subset of what is culturally possible).
+_OFFSET, _TIME = r"(Z|[+-][0-9]{2}([0-9]{2})?)", r"[0-9]{2}:[0-9]{2}:[0-9]{2}"
+#: Date-time shapes that are read (a documented subset of what is culturally possible): a regular expression that tells them apart, and the pattern.
+#: Without an offset they are UTC, whatever the session's zone.
 DATETIME_PATTERNS = (
-    "yyyy-MM-dd HH:mm:ssX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]X", "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][.SSS]",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS", "yyyy-MM-dd HH:mm", "yyyy-MM-dd", "MM/dd/yyyy HH:mm:ss", "M/d/yyyy H:mm:ss", "MM/dd/yyyy", "M/d/yyyy",
-)
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}{_OFFSET}$", "yyyy-MM-dd HH:mm:ssX"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}$", "yyyy-MM-dd HH:mm:ss"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}{_OFFSET}$", "yyyy-MM-dd'T'HH:mm:ssX"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}\.[0-9]{{3}}{_OFFSET}$", "yyyy-MM-dd'T'HH:mm:ss.SSSX"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}\.[0-9]{{6}}{_OFFSET}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSX"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}$", "yyyy-MM-dd'T'HH:mm:ss"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}\.[0-9]{{3}}$", "yyyy-MM-dd'T'HH:mm:ss.SSS"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}T{_TIME}\.[0-9]{{6}}$", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    (rf"^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} {_TIME}\.[0-9]{{6}}$", "yyyy-MM-dd HH:mm:ss.SSSSSS"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}$", "yyyy-MM-dd HH:mm"),
+    (r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$", "yyyy-MM-dd"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4} [0-9]{1,2}:[0-9]{2}:[0-9]{2}$", "M/d/yyyy H:mm:ss"),
+    (r"^[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}$", "M/d/yyyy"),
+)
 
 
 def _string(v: Column) -> Parsed:
@@ -75,13 +89,21 @@ def _floating(spark_type: str) -> Parser:
     return parse
 
 
-def _decimal(v: Column) -> Parsed:
-    n = F.when(v.rlike(_NUMBER), v).try_cast("decimal(38,18)")
-    return Parsed(n.isNotNull(), n)
+def _decimal(spark_type: str) -> Parser:
+    def parse(v: Column) -> Parsed:
+        n = F.when(v.rlike(_NUMBER), v).try_cast(spark_type)
+        return Parsed(n.isNotNull(), n)
+
+    return parse
 
 
 def _datetime(v: Column) -> Parsed:
-    t = F.coalesce(*(F.try_to_timestamp(v, F.lit(p)) for p in DATETIME_PATTERNS))
+    # one regular expression chooses the pattern: only that one is tried
+    t = None
+    for shape, pattern in DATETIME_PATTERNS:
+        zoned = pattern.endswith("X")
+        found = F.try_to_timestamp(v if zoned else F.concat(v, F.lit("Z")), F.lit(pattern if zoned else f"{pattern}X"))
+        t = F.when(v.rlike(shape), found) if t is None else t.when(v.rlike(shape), found)
     return Parsed(t.isNotNull(), t)
 
 
@@ -132,11 +154,16 @@ def _range(v: Column) -> Parsed:
 
 
 PARSERS: dict[str, Parser] = {
-    "string": _string, "uri": _string, "bool": _bool, "char": _char, "float": _floating("float"), "double": _floating("double"), "decimal": _decimal,
+    "string": _string, "uri": _string, "bool": _bool, "char": _char, "float": _floating("float"), "double": _floating("double"), "decimal": _decimal("decimal(38,18)"),
     "datetime": _datetime, "datetimeoffset": _datetime, "timespan": _timespan, "guid": _guid, "version": _version, "index": _index, "range": _range,
 } | {k: _integer(k) for k in INTEGERS}
 
 
+def parser_of(kind: str) -> Parser | None:
+    """The parser of a kind; ``decimal(38,s)`` says how many of the digits follow the point (28 digits before it need s to be 10 or less)."""
+    return _decimal(kind) if re.fullmatch(r"decimal\([0-9]+, ?[0-9]+\)", kind) else PARSERS.get(kind)
+
+
 def enum(names: Mapping[str, int] | list[str]) -> Parser:
     """Names in any case; numbers are refused."""
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +48,16 @@ def code(cell: Column) -> Column:
     return type_code(cell)
 
 
-def to_struct(row: Column, schema: Schema, header: Column | None = None) -> Column:
-    """A row as a struct: by the names of a header, else by position (a tuple)."""
-    cell = lambda i, f: at(row, i) if header is None else named(row, header, f.name)
-    return F.struct(*(convert(cell(i, f), f.get_parser(), f.name).alias(f.name) for i, f in enumerate(schema.fields)))
+def to_struct(row: Column, schema: Schema, header: Column | None = None, by_width: bool = False) -> Column:
+    """A row as a struct: by the names of a header, else by position (a tuple).
+
+    A row as wide as the schema is taken by position even with a header where ``by_width`` says so, as a constructor of that many parameters would.
+    """
+    made = lambda cell: F.struct(*(convert(cell(i, f), f.get_parser(), f.name).alias(f.name) for i, f in enumerate(schema.fields)))
+    by_position, by_name = lambda i, f: at(row, i), lambda i, f: named(row, header, f.name)
+    if header is None:
+        return made(by_position)
+    return F.when(F.size(row) == len(schema.fields), made(by_position)).otherwise(made(by_name)) if by_width else made(by_name)
 
 
 def to_list(row: Column, parser: Parser) -> Column:
@@ -61,14 +65,6 @@ def to_list(row: Column, parser: Parser) -> Column:
     return F.transform(row, lambda c: convert(c, parser))
 
 
-def as_map(row: Column, header: Column) -> Column:
-    return F.map_from_arrays(header, F.slice(row, F.lit(1), F.size(header)))
-
-
 def first_converter(*converters: Column) -> Column:
     """A chain of row converters: the first that gives a value."""
     return F.coalesce(*converters)
-
-
-def width(rows: Sequence[Column]) -> Column:
-    return F.greatest(*map(F.size, rows)) if len(rows) > 1 else F.size(rows[0])

@@ -1,7 +1,7 @@
 """A small table-driven reader: the independent check of ``tokenize``, and the one that knows what is wrong where.
 
 It walks a text once. States are rows of a table, character classes its columns; a cell is (next state, action). Spark runs it in
-Arrow batches, one text at a time.
+Arrow batches, on the texts that ``tokenize`` refuses.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ def detect(text: str, o: Options) -> str:
 
 
 START, EMPTY, PLAIN, QUOTED, ESCAPED, CLOSED, TRAILING, COMMENT = range(8)
+#: Fixed messages.
 _BAD = {
     "quote": "Encountered '{c}', starting an escaped value, when already in a value",
     "escape": "Encountered '{c}' in an escape sequence, which is invalid",
@@ -123,7 +124,7 @@ def read(text: str, o: Options, ending: str | None = None) -> list[tuple[str, li
             quoted = True
         i += size
     if state in (QUOTED, ESCAPED):
-        raise Malformed("Data ended unexpectedly")
+        raise Malformed("Data ended unexpectedly")  # a fixed message
     if state == COMMENT:
         out.append(("comment", None, "".join(part)))
     elif state != START:
@@ -134,18 +135,26 @@ def read(text: str, o: Options, ending: str | None = None) -> list[tuple[str, li
 
 
 def read_strict(texts: DataFrame, o: Options, text: str = "text", key: str = "source") -> DataFrame:
-    """(key, position, kind, values, comment, error): all records of each text, or one row that says what is wrong."""
+    """(key, position, kind, values, comment, error): all records of each text, or one row that says what is wrong.
+
+    What the expressions cover is read by them; only a text that they refuse is walked through, for what is wrong in it. A null text is empty.
+    """
+    from quillet.operators.tokenize import well_formed
+    from quillet.sources.reader import read_records
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows = []
             for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 try:
-                    rows += [(k, i, *r, None) for i, r in enumerate(read((t or "").removeprefix("\ufeff"), o))]
+                    rows += [(k, i, *r, None) for i, r in enumerate(read(t, o))]
                 except Malformed as e:
                     rows.append((k, 0, "error", None, None, str(e)))
             kinds = (pa.string(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], ["key", "position", "kind", "values", "comment", "error"])
 
-    schema = "key string, position int, kind string, values array<string>, comment string, error string"
-    return texts.select(F.col(key).cast("string"), F.col(text)).mapInArrow(run, schema).withColumnRenamed("key", key)
+    named = texts.select(F.col(key).cast("string").alias("source"), F.regexp_replace(F.coalesce(F.col(text), F.lit("")), "^\ufeff", "").alias("text"))
+    good = read_records(named.where(well_formed(F.col("text"), o)), o).withColumn("error", F.lit(None).cast("string"))
+    schema = "source string, position int, kind string, values array<string>, comment string, error string"
+    bad = named.where(~well_formed(F.col("text"), o)).mapInArrow(run, schema)
+    return good.unionByName(bad).withColumnRenamed("source", key)

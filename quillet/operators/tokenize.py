@@ -51,9 +51,9 @@ def record_pattern(o: Options, ending: str) -> str:
     no_start = f"(?!{skip}{chr(92)}{'r' if ending == 'LF' else 'n'})"
     row = f"{no_start}{value}(?:{_text(o.separator)}{value})*+"
     if o.comment is None:
-        return f"\\G{row}{end}"
+        return f"\\G(?!\\z){row}{end}"
     inside = {"LF": r"[^\n]*+", "CR": r"[^\r]*+", "CRLF": r"(?:[^\r]|\r(?!\n))*+"}[ending]
-    return f"\\G(?:{skip}{_one(o.comment)}{inside}|(?!{skip}{_one(o.comment)}){row}){end}"
+    return f"\\G(?!\\z)(?:{skip}{_one(o.comment)}{inside}|(?!{skip}{_one(o.comment)}){row}){end}"
 
 
 def detect_ending(text: Column, o: Options) -> Column:
@@ -85,76 +85,104 @@ def _content(raw: Column, o: Options) -> tuple[Column, Column]:
     return quoted, F.when(quoted, inside).otherwise(skipped)
 
 
-def values(body: Column, ended: Column, o: Options, ending: str) -> Column:
-    """array<string> of a record's values; ``ended`` tells whether a row ending follows it.
+def by_ending(make, ending: str | Column) -> Column:
+    """What ``make`` gives for a known ending, as a literal; for an ending in a column, the choice among the three."""
+    if isinstance(ending, str):
+        return F.lit(make(ending))
+    return F.when(ending == "LF", make("LF")).when(ending == "CR", make("CR")).otherwise(make("CRLF"))
 
-    A last value without characters is absent, not empty; quoted, it is kept only at the end of the data, where quote and escape are one.
-    """
-    found = F.regexp_extract_all(body, F.lit(f"\\G{_value(o, ending)}(?:{_text(o.separator)}|\\z)"), 0)
-    # the match at the very end is the empty value after a last separator, or none at all: absent either way
-    found = F.slice(found, F.lit(1), F.greatest(F.size(found) - 1, F.lit(0)))
-    sep = F.lit(o.separator)
-    raws = F.transform(found, lambda m: F.when(m.endswith(sep), F.substring(m, F.lit(1), F.char_length(m) - len(o.separator))).otherwise(m))
-
-    def one(raw: Column) -> Column:
-        quoted, text = _content(raw, o)
-        plain = _trimmed(text, o.trim_leading_in, o.trim_trailing_in or o.trim_after)
-        return F.when(quoted, _trimmed(text, o.trim_leading_in, o.trim_trailing_in)).otherwise(plain)
-
-    last = F.coalesce(F.try_element_at(found, F.lit(-1)), F.lit(""))
-    quoted, text = _content(last, o)
-    keeps = quoted & ~ended & last.endswith(F.lit(o.quote)) if o.quote is not None and o.quote == o.escape else F.lit(False)
-    absent = (text == "") & ~keeps & ~last.endswith(sep)
-    return F.transform(F.when(absent, F.slice(raws, F.lit(1), F.greatest(F.size(raws) - 1, F.lit(0)))).otherwise(raws), one)
-
-
-def _records(text: Column, o: Options, ending: str) -> Column:
-    eol = ENDINGS[ending]
-    found = F.filter(F.regexp_extract_all(text, F.lit(record_pattern(o, ending)), 0), lambda r: r != "")
-    covered = F.aggregate(found, F.lit(0), lambda n, r: n + F.char_length(r))
-    checked = F.when(covered == F.char_length(text), found).otherwise(F.raise_error(F.concat(F.lit("malformed delimited text after character "), covered.cast("string"))))
 
-    def one(r: Column) -> Column:
-        ended = r.endswith(F.lit(eol))
-        body = F.when(ended, F.substring(r, F.lit(1), F.char_length(r) - len(eol))).otherwise(r)
-        if o.comment is None:
-            return F.struct(F.lit("row").alias("kind"), values(body, ended, o, ending).alias("values"), F.lit(None).cast("string").alias("comment"))
-        start = F.regexp_replace(body, f"^{BLANK_CLASS}++", "") if o.trim_before else body
-        is_comment = start.startswith(F.lit(o.comment))
-        none = F.lit(None)
-        return F.struct(
-            F.when(is_comment, "comment").otherwise("row").alias("kind"),
-            F.when(~is_comment, values(body, ended, o, ending)).alias("values"),
-            F.when(is_comment, F.substring(start, F.lit(2), F.char_length(start))).otherwise(none.cast("string")).alias("comment"),
-        )
-
-    rows = F.transform(checked, one)
+def ending_of(text: Column, o: Options) -> str | Column:
+    """The dialect's ending, or the one that is found in the text."""
+    return o.read_ending if o.read_ending != "DETECT" else detect_ending(text, o)
+
+
+def found_records(text: Column, o: Options, ending: str | Column) -> Column:
+    """array<string> of a text's records and comments with their endings, up to where it is malformed."""
+    return F.regexp_extract_all(text, by_ending(lambda e: record_pattern(o, e), ending), 0)
+
+
+def checked_records(found: Column, text: Column, o: Options) -> Column:
+    """The records found, if they are the whole text; else an error."""
+    covered = F.char_length(F.array_join(found, ""))
+    checked = F.when(covered == F.char_length(text), found).otherwise(F.raise_error(F.concat(F.lit("malformed delimited text after character "), covered.cast("string"))))
     if o.trim_before:  # nothing but skipped white space at the end of the data is no record
-        blank = f"^{BLANK_CLASS}++\\z"
         last = F.try_element_at(checked, F.lit(-1))
-        rows = F.when(last.rlike(blank), F.slice(rows, F.lit(1), F.size(rows) - 1)).otherwise(rows)
-    return rows
+        checked = F.when(last.rlike(f"^{BLANK_CLASS}++\\z"), F.slice(checked, F.lit(1), F.size(checked) - 1)).otherwise(checked)
+    return checked
+
+
+def is_comment(record: Column, o: Options) -> Column:
+    if o.comment is None:
+        return F.lit(False)
+    return record.rlike(f"^{BLANK_CLASS + '*+' if o.trim_before else ''}{_one(o.comment)}")
+
+
+def comment_text(record: Column, o: Options, ending: str | Column) -> Column:
+    """A comment without its character and its ending."""
+    skip = f"{BLANK_CLASS}*+" if o.trim_before else ""
+    return F.regexp_replace(record, by_ending(lambda e: f"^{skip}{_one(o.comment)}|{_ENDING[e]}\\z", ending), F.lit(""))
+
+
+def raw_values(record: Column, o: Options, ending: str | Column) -> Column:
+    """array<string> of a record's values as they stand in the text.
+
+    A last value without characters is absent, not empty; quoted, it is kept only at the end of the data, where quote and escape are one.
+    """
+    sep = _text(o.separator)
+    # values that have no characters though they stand in the text, where an ending follows and where none does
+    blank = [f"{BLANK_CLASS}++"] if o.trim_before else []
+    quoted = [] if o.quote is None else [f"{BLANK_CLASS + '*+' if o.trim_before else ''}{_one(o.quote) * 2}"]
+    after = f"{BLANK_CLASS}*+" if o.trim_after else ""
+    none = "|".join([*(q + after for q in quoted), *blank]) or "(?!)"
+    kept = o.quote is not None and o.quote == o.escape
+    none_at_end = "|".join([*(q + after.replace("*+", "++") for q in quoted if after or not kept), *([] if kept else quoted), *blank]) or "(?!)"
+    body = F.regexp_replace(record, by_ending(lambda e: f"(?:(^|{sep})(?:{none}))?{_ENDING[e]}\\z|(^|{sep})(?:{none_at_end})\\z", ending), F.lit("$1$2"))
+    # an empty value after a last separator is absent too: no match starts at the end
+    return F.regexp_extract_all(body, by_ending(lambda e: f"\\G(?!\\z)({_value(o, e)})(?:{sep}|\\z)", ending), 1)
+
+
+def value_of(raw: Column, o: Options) -> Column:
+    """The value that a raw value stands for."""
+    quoted, text = _content(raw, o)
+    plain = _trimmed(text, o.trim_leading_in, o.trim_trailing_in or o.trim_after)
+    return F.when(quoted, _trimmed(text, o.trim_leading_in, o.trim_trailing_in)).otherwise(plain)
+
+
+def values(raws: Column, o: Options) -> Column:
+    """Raw values as values. Where none is quoted and nothing is trimmed, they are what they stand for."""
+    made = F.transform(raws, lambda r: value_of(r, o))
+    if o.trims:
+        return made
+    return raws if o.quote is None else F.when(F.array_join(raws, "").contains(F.lit(o.quote)), made).otherwise(raws)
 
 
 def records(text: Column, o: Options) -> Column:
-    """array<struct<kind, values, comment>> of a whole text; malformed text is an error."""
-    if o.read_ending != "DETECT":
-        return _records(text, o, o.read_ending)
-    found = detect_ending(text, o)
-    return F.when(found == "LF", _records(text, o, "LF")).when(found == "CR", _records(text, o, "CR")).otherwise(_records(text, o, "CRLF"))
+    """array<struct<kind, values, comment>> of a whole text; malformed text is an error.
 
+    For a few records at a time; the readers take them apart row by row.
+    """
 
-def well_formed(text: Column, o: Options) -> Column:
-    """Whether ``records`` covers all of the text."""
+    def of(ending: str) -> Column:
+        def one(r: Column) -> Column:
+            row = values(raw_values(r, o, ending), o)
+            if o.comment is None:
+                return F.struct(F.lit("row").alias("kind"), row.alias("values"), F.lit(None).cast("string").alias("comment"))
+            comment = is_comment(r, o)
+            return F.struct(F.when(comment, "comment").otherwise("row").alias("kind"), F.when(~comment, row).alias("values"), F.when(comment, comment_text(r, o, ending)).alias("comment"))
 
-    def covers(ending: str) -> Column:
-        found = F.regexp_extract_all(text, F.lit(record_pattern(o, ending)), 0)
-        return F.aggregate(found, F.lit(0), lambda n, r: n + F.char_length(r)) == F.char_length(text)
+        return F.transform(checked_records(found_records(text, o, ending), text, o), one)
 
     if o.read_ending != "DETECT":
-        return covers(o.read_ending)
+        return of(o.read_ending)
+    # chosen outside: inside, the ending would be looked for again for each record
     found = detect_ending(text, o)
-    return F.when(found == "LF", covers("LF")).when(found == "CR", covers("CR")).otherwise(covers("CRLF"))
+    return F.when(found == "LF", of("LF")).when(found == "CR", of("CR")).otherwise(of("CRLF"))
+
+
+def well_formed(text: Column, o: Options) -> Column:
+    """Whether ``records`` covers all of the text."""
+    return F.char_length(F.array_join(found_records(text, o, ending_of(text, o)), "")) == F.char_length(text)
 
 
 def is_header(row: Column, names: list[str], o: Options) -> Column:
@@ -164,6 +192,7 @@ def is_header(row: Column, names: list[str], o: Options) -> Column:
     any_name = F.coalesce(F.arrays_overlap(row, F.array(*map(F.lit, names))), F.lit(False)) if names else F.lit(False)
     if o.read_header == "DETECT":
         return any_name
+    # a fixed message
     return F.when(any_name, True).otherwise(F.raise_error(F.lit("First row of input was not a row of headers")))
 
 

@@ -7,7 +7,9 @@ from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
 
-from pyspark.sql import Column, types as T
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quillet.functions import format as fmt
 from quillet.functions import parse
@@ -31,7 +33,8 @@ class Field:
 
     ``default`` is what an absent value leaves in the row. ``reset`` gives the value a member has before its own is set, from the
     row's other text cells; ``should_write`` says, from the row, whether its cell is filled. With ``emit_default`` off, a cell that
-    holds ``zero`` (the type's default) is left empty. A skipped cell is empty; its separator stays.
+    holds ``zero`` (the type's default) is left empty. A skipped cell is empty; its separator stays. ``never_null`` is a contract: a null that the parser
+    or the reset gives, or that an absent value would leave, is an error.
     """
 
     name: str
@@ -49,15 +52,24 @@ class Field:
     formatter: fmt.Formatter | None = None
     should_write: Callable[[], Column] | None = None
     reset: Callable[[], Column] | None = None
+    never_null: bool = False
+
+    def start(self, schema: Schema) -> Column:
+        """What the member holds before its own value is set: its reset, its default, or what the schema's default row gives it."""
+        if self.reset:
+            return self.reset()
+        if schema.provider is not None and self.default is None:
+            return schema.provider().getField(self.name)
+        return F.lit(self.default)
 
     def get_parser(self) -> parse.Parser:
-        p = self.parser or (parse.enum(list(self.names)) if self.kind == "enum" else parse.flags(self.values) if self.kind == "flags" else parse.PARSERS.get(self.kind))
+        p = self.parser or (parse.enum(list(self.names)) if self.kind == "enum" else parse.flags(self.values) if self.kind == "flags" else parse.parser_of(self.kind))
         if p is None:
             raise SchemaError(f"no parser for {self.name}: {self.kind}")
         return parse.nullable(p) if self.nullable else p
 
     def get_formatter(self) -> fmt.Formatter:
-        f = self.formatter or (fmt.enum(list(self.names)) if self.kind == "enum" else fmt.flags(self.values) if self.kind == "flags" else fmt.FORMATTERS.get(self.kind))
+        f = self.formatter or (fmt.enum(list(self.names)) if self.kind == "enum" else fmt.flags(self.values) if self.kind == "flags" else fmt.formatter_of(self.kind))
         if f is None:
             raise SchemaError(f"no formatter for {self.name}: {self.kind}")
         return f
@@ -70,14 +82,17 @@ def member_order(fields: list[Field]) -> list[Field]:
 
 @dataclass(frozen=True)
 class Schema:
+    """Fields in their order; ``provider`` gives a default row, as a struct with a member for each field, from which rows start."""
+
     fields: tuple[Field, ...] = field(default_factory=tuple)
+    provider: Callable[[], Column] | None = None
 
     def __post_init__(self) -> None:
         if not self.fields:
             raise SchemaError("a schema has at least one field")
         names = [f.name for f in self.fields]
         if len(set(names)) < len(names):
-            raise SchemaError("Two or more members with same name")
+            raise SchemaError("Two or more members with same name")  # a fixed message
         object.__setattr__(self, "fields", tuple(member_order(list(self.fields))))
 
     @property
@@ -89,7 +104,11 @@ class Schema:
 
     def override(self, name: str, **changes) -> Schema:
         """The same schema with one field changed: a subclass's hook."""
-        return Schema(tuple(dataclasses.replace(f, **changes) if f.name == name else f for f in self.fields))
+        return dataclasses.replace(self, fields=tuple(dataclasses.replace(f, **changes) if f.name == name else f for f in self.fields))
+
+    def starting_from(self, *providers: Callable[[], Column]) -> Schema:
+        """Rows start from the first of these default rows (structs) that isn't null."""
+        return dataclasses.replace(self, provider=lambda: F.coalesce(*(p() for p in providers)))
 
     # --- providers
 

@@ -1,14 +1,18 @@
-"""Delimited text to DataFrames: typed by a schema, untyped by a header, with or without comments."""
+"""Delimited text to DataFrames: typed by a schema, untyped by a header, with or without comments.
+
+A text is taken apart step by step, each a projection of its own: its records as they stand, then (one row each) their values as they stand,
+then the values. What holds for a whole text (its ending, where each field stands in the header) is found once, before its records part.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillet.operators.tokenize import is_header, records
-from quillet.options import DEFAULT, DYNAMIC_DEFAULT, Options, OptionsError
+from quillet.operators.tokenize import by_ending, checked_records, comment_text, ending_of, found_records, is_comment, is_header, raw_values, value_of, values
+from quillet.options import DEFAULT, DYNAMIC_DEFAULT, ENDINGS, Options, OptionsError
 from quillet.schema import Schema
 
 _BOM = "\ufeff"
@@ -18,16 +22,22 @@ _BOM = "\ufeff"
 
 
 def from_files(spark: SparkSession, path: str | list[str], encoding: str | None = None) -> DataFrame:
-    """A row for each file. Without an encoding, UTF-8; a byte order mark is dropped."""
-    if encoding is None:
-        files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
+    """A row for each file, for files that fit one (``from_large_files`` is for the others).
+
+    Without an encoding, a byte order mark tells it (UTF-8, UTF-16 or UTF-32, either order), and it is UTF-8 if there is none. The mark is dropped.
+    """
+    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
+    if encoding is not None:
+        text = F.decode("content", encoding)
     else:
-        files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), F.decode("content", encoding).alias("text"))
-    return files.withColumn("text", F.regexp_replace("text", f"^{_BOM}", ""))
+        mark = F.hex(F.substring("content", 1, 4))
+        text = F.when(mark.isin("0000FEFF", "FFFE0000"), F.decode("content", "UTF-32")).when(mark.startswith("FEFF") | mark.startswith("FFFE"), F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
+    return files.select("source", F.regexp_replace(text, f"^{_BOM}", "").alias("text"))
 
 
 def from_texts(spark: SparkSession, *texts: str) -> DataFrame:
-    return spark.createDataFrame([(str(i), t.removeprefix(_BOM)) for i, t in enumerate(texts)], "source string, text string")
+    """The texts, in order (their numbers as ``source``)."""
+    return spark.createDataFrame([(f"{i:09d}", t.removeprefix(_BOM)) for i, t in enumerate(texts)], "source string, text string")
 
 
 def from_bytes(df: DataFrame, column: str, encoding: str, source: str) -> DataFrame:
@@ -38,19 +48,47 @@ def from_column(df: DataFrame, column: str, source: str) -> DataFrame:
     return df.select(F.col(source).cast("string").alias("source"), F.col(column).alias("text"))
 
 
-def split_large_text(lines: DataFrame, o: Options, source: str = "source", position: str = "position", line: str = "line") -> DataFrame:
+def from_large_files(spark: SparkSession, path: str | list[str], o: Options) -> DataFrame:
+    """(source, record, text, ended): the records of UTF-8 files of any size, split as Spark splits them.
+
+    A split's lines are numbered where they are read. An odd number of quotes before a line says that it starts inside a quoted value and belongs to the
+    record before it; only each split's sums are ever brought together. The row ending is to be given: LF, CR or CRLF. ``ended`` is whether a row ending
+    follows the record (unknown, and true, in files whose bytes are no valid UTF-8).
+    """
+    if o.read_ending == "DETECT":
+        raise OptionsError("large files are split at row endings: say which")
+    cut = "\r" if o.read_ending == "CR" else "\n"
+    lines = spark.read.option("lineSep", cut).text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
+    )
+    length = lines.groupBy("source").agg((F.sum(F.octet_length("line") + 1) == F.max("size")).alias("whole"))
+    lines = lines.withColumn("line", F.when(F.col("split") == 0, F.regexp_replace("line", f"^{_BOM}", "")).otherwise(F.col("line")))
+    found = split_large_text(lines, o, within="split")
+    ends = found.groupBy("source").agg(F.max("record").alias("last")).join(length, "source")
+    rows = found.join(ends, "source").withColumn("ended", (F.col("record") < F.col("last")) | F.col("whole"))
+    # the split takes the line break, of which CRLF leaves a part
+    if o.read_ending == "CRLF":
+        rows = rows.withColumn("text", F.when(F.col("ended"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text")))
+    return rows.select("source", "record", "text", "ended")
+
+
+def split_large_text(lines: DataFrame, o: Options, source: str = "source", position: str = "position", line: str = "line", within: str | None = None) -> DataFrame:
     """Records of texts too large for one row, from their physical lines: (source, record, text).
 
     The parity of the quotes before a line tells whether it starts inside a quoted value, so lines are stitched by a running
-    sum (exact where quote and escape are the same and the text is well formed). Sums are taken over ranges of lines first,
-    so that no task holds a text: only the ranges' totals, a few numbers each, meet in a window.
+    sum (exact where quote and escape are the same and the text is well formed). Sums are taken over ranges of lines first (``within``: a column that
+    names them in order; else by position), so that no task holds a text: only the ranges' totals, a few numbers each, meet in a window.
     """
     if o.quote is None or o.quote != o.escape:
-        raise OptionsError("stitching needs a quote that escapes itself")
-    quotes = F.char_length(line) - F.char_length(F.replace(F.col(line), F.lit(o.quote), F.lit("")))
+        if o.quote is not None:
+            raise OptionsError("stitching needs a quote that escapes itself")
+        quotes = F.lit(0)
+    else:
+        quotes = F.char_length(line) - F.char_length(F.replace(F.col(line), F.lit(o.quote), F.lit("")))
+    if o.comment is not None and o.quote is not None:
+        raise OptionsError("lines of a dialect with both quotes and comments can't be told apart by counting")
     step = 100_000
-    rows = lines.select(source, position, line, quotes.alias("q"), F.floor(F.col(position) / step).alias("range"))
-    from pyspark.sql import Window
+    rows = lines.select(source, position, line, quotes.alias("q"), (F.col(within) if within else F.floor(F.col(position) / step)).alias("range"))
 
     totals = rows.groupBy(source, "range").agg(F.sum("q").alias("total"))
     before = totals.select(source, "range", (F.sum("total").over(Window.partitionBy(source).orderBy("range")) - F.col("total")).alias("before"))
@@ -61,68 +99,138 @@ def split_large_text(lines: DataFrame, o: Options, source: str = "source", posit
     totals = starts.groupBy(source, "range").agg(F.sum("start").alias("total"))
     before = totals.select(source, "range", (F.sum("total").over(Window.partitionBy(source).orderBy("range")) - F.col("total")).alias("first"))
     numbered = starts.join(before, [source, "range"]).withColumn("record", F.col("first") + F.sum("start").over(inner) - 1)
-    joined = numbered.groupBy(source, "record").agg(F.sort_array(F.collect_list(F.struct(F.col(position).alias("p"), F.col(line).alias("l")))).alias("parts"))
-    ending = {"LF": "\n", "CR": "\r", "CRLF": "\r\n"}.get(o.read_ending, "\n")
-    return joined.select(source, "record", F.array_join(F.col("parts.l"), ending).alias("text"))
+    joined = numbered.groupBy(source, "record").agg(F.sort_array(F.collect_list(F.struct("range", F.col(position).alias("p"), F.col(line).alias("l")))).alias("parts"))
+    # what the lines were cut at: CRLF leaves its first half with the line
+    cut = "\r" if o.read_ending == "CR" else "\n"
+    return joined.select(source, "record", F.array_join(F.col("parts.l"), cut).alias("text"))
 
 
 # --- readers
 
 
-def read_records(texts: DataFrame, o: Options = DEFAULT) -> DataFrame:
-    """(source, position, kind, values, comment): every record and comment, in order."""
-    return texts.select("source", F.posexplode(records(F.col("text"), o)).alias("position", "r")).select("source", "position", "r.kind", "r.values", "r.comment")
+def _texts(texts: DataFrame, o: Options) -> DataFrame:
+    """source, ending, and the records (rows and comments) of each text as they stand."""
+    known = texts.select("source", "text", by_ending(lambda e: e, ending_of(F.col("text"), o)).alias("ending"))
+    found = known.select("source", "ending", "text", found_records(F.col("text"), o, _ending(o)).alias("found"))
+    return found.select("source", "ending", checked_records(F.col("found"), F.col("text"), o).alias("records"))
+
+
+def _ending(o: Options) -> str | Column:
+    return o.read_ending if o.read_ending != "DETECT" else F.col("ending")
+
+
+def _only_rows(texts: DataFrame, o: Options) -> DataFrame:
+    rows = _texts(texts, o)
+    return rows if o.comment is None else rows.withColumn("records", F.filter("records", lambda r: ~is_comment(r, o)))
 
 
-def _rows(texts: DataFrame, o: Options) -> DataFrame:
-    only = F.filter(records(F.col("text"), o), lambda r: r["kind"] == "row")
-    return texts.select("source", F.transform(only, lambda r: r["values"]).alias("rows"))
+def _with_head(rows: DataFrame, o: Options) -> DataFrame:
+    """The values of the first record in ``head``, null if there is none."""
+    rows = rows.withColumn("head", raw_values(F.try_element_at("records", F.lit(1)), o, _ending(o)))
+    return rows.withColumn("head", values(F.col("head"), o))
+
+
+def read_records(texts: DataFrame, o: Options = DEFAULT) -> DataFrame:
+    """(source, position, kind, values, comment): every record and comment, in order."""
+    rows = _texts(texts, o).select("source", "ending", F.posexplode("records").alias("position", "record"))
+    rows = rows.select("source", "position", is_comment(F.col("record"), o).alias("note"), "record", "ending", raw_values(F.col("record"), o, _ending(o)).alias("raws"))
+    note = F.when(F.col("note"), comment_text(F.col("record"), o, _ending(o))) if o.comment is not None else F.lit(None).cast("string")
+    return rows.select("source", "position", F.when(F.col("note"), "comment").otherwise("row").alias("kind"), F.when(~F.col("note"), values(F.col("raws"), o)).alias("values"), note.alias("comment"))
 
 
 def read_with_comments(texts: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """(source, position, kind, row_number, values, comment): rows and comments as they come; comments have no row number."""
-    numbered = F.aggregate(
-        records(F.col("text"), o), F.array().cast("array<struct<kind:string,row_number:int,values:array<string>,comment:string>>"),
-        lambda done, r: F.concat(done, F.array(F.struct(r["kind"].alias("kind"), F.when(r["kind"] == "row", F.size(F.filter(done, lambda d: d["kind"] == "row"))).alias("row_number"), r["values"].alias("values"), r["comment"].alias("comment")))),
-    )
-    return texts.select("source", F.posexplode(numbered).alias("position", "r")).select("source", "position", "r.*")
+    rows = read_records(texts, o)
+    if o.comment is None:
+        return rows.select("source", "position", "kind", F.col("position").alias("row_number"), "values", "comment")
+    before = F.count(F.when(F.col("kind") == "row", 1)).over(Window.partitionBy("source").orderBy("position"))
+    return rows.select("source", "position", "kind", F.when(F.col("kind") == "row", before - 1).cast("int").alias("row_number"), "values", "comment")
+
+
+def _places(header: Column, schema: Schema) -> Column:
+    """Where in a header each field stands, -1 where it doesn't; the last of equal names counts."""
+    backwards = F.reverse(header)
+    at = (F.array_position(backwards, F.lit(f.name)) for f in schema.fields)
+    return F.array(*(F.when(p > 0, F.size(header) - p).otherwise(-1).cast("int") for p in at))
 
 
 def read_static(texts: DataFrame, schema: Schema, o: Options = DEFAULT, on_error: str = "raise") -> DataFrame:
     """Typed rows: source, row_number (data rows from 0) and the schema's fields.
 
     With a header, fields are found by name (exact case; the last of equal names counts) and unknown columns ignored; without one, by position. An
-    absent value leaves the field's default. A text that can't be parsed, a required value that is missing or empty, and, where the dialect says so,
-    an extra column are errors; ``on_error="report"`` gives null and lists them in ``errors`` instead.
+    absent value leaves the field's default (``provider``: or a default row's). A text that can't be parsed, a required value that is missing or empty, a null
+    that a field's contract forbids and, where the dialect says so, an extra column are errors; ``on_error="report"`` gives null and lists them in ``errors`` instead.
     """
+    rows = _only_rows(texts, o)
+    if o.read_header == "NEVER":
+        data = rows.select("source", "ending", F.lit(None).cast("array<int>").alias("places"), F.lit(len(schema.fields)).alias("width"), F.posexplode("records").alias("row_number", "record"))
+        return _typed(data, schema, o, on_error, headed=False)
+    rows = _with_head(rows, o).withColumn("headed", F.when(F.col("head").isNotNull(), is_header(F.col("head"), schema.names, o)).otherwise(False))
     names = F.array(*map(F.lit, schema.names))
-    rows = _rows(texts, o)
-    head = is_header(F.try_element_at("rows", F.lit(1)), schema.names, o) if o.read_header != "NEVER" else F.lit(False)
-    head = F.when(F.size("rows") > 0, head).otherwise(False)
-    rows = rows.withColumn("has_header", head)
-    data = rows.select(
-        "source", F.when(F.col("has_header"), F.try_element_at("rows", F.lit(1))).otherwise(names).alias("header"),
-        F.posexplode(F.when(F.col("has_header"), F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).otherwise(F.col("rows"))).alias("row_number", "cells"),
-    )
+    rows = rows.select("source", "ending", F.when(F.col("headed"), F.col("head")).otherwise(names).alias("head"), F.when(F.col("headed"), F.slice("records", F.lit(2), F.greatest(F.size("records") - 1, F.lit(0)))).otherwise(F.col("records")).alias("records"))
+    data = rows.select("source", "ending", _places(F.col("head"), schema).alias("places"), F.size("head").alias("width"), F.posexplode("records").alias("row_number", "record"))
+    return _typed(data, schema, o, on_error, headed=True)
+
+
+def read_static_large(spark: SparkSession, path: str | list[str], schema: Schema, o: Options, on_error: str = "raise") -> DataFrame:
+    """``read_static`` for files of any size: no task sees more than a split of one. The row ending is to be given; no comments where values are quoted."""
+    rows = from_large_files(spark, path, o)
+    eol = F.lit(ENDINGS[o.read_ending])
+    # as it stands in the file, and malformed where it is more or less than one record
+    record = F.when(F.col("ended"), F.concat("text", eol)).otherwise(F.col("text"))
+    rows = rows.where(F.col("ended") | (F.col("text") != "")).select("source", F.lit(o.read_ending).alias("ending"), "record", record.alias("text"))
+    rows = rows.withColumn("one", found_records(F.col("text"), o, o.read_ending))
+    rows = rows.select("source", "ending", "record", F.when((F.size("one") == 1) & (F.get("one", F.lit(0)) == F.col("text")), F.col("text")).otherwise(F.raise_error(F.lit("malformed delimited text"))).alias("text"))
+    if o.comment is not None:
+        rows = rows.where(~is_comment(F.col("text"), o))
+    n = len(schema.fields)
+    if o.read_header == "NEVER":
+        data = rows.select("source", "ending", F.lit(None).cast("array<int>").alias("places"), F.lit(n).alias("width"), F.col("record").alias("row_number"), F.col("text").alias("record"))
+        return _typed(data, schema, o, on_error, headed=False)
+    # one row for each file: Spark broadcasts it if it is small
+    top = rows.groupBy("source").agg(F.min(F.struct("record", "text")).alias("top")).select("source", "top.*")
+    top = top.select("source", F.col("record").alias("first"), values(raw_values(F.col("text"), o, o.read_ending), o).alias("head"))
+    top = top.withColumn("headed", is_header(F.col("head"), schema.names, o)).withColumn("head", F.when(F.col("headed"), F.col("head")).otherwise(F.array(*map(F.lit, schema.names))))
+    top = top.select("source", "first", "headed", _places(F.col("head"), schema).alias("places"), F.size("head").alias("width"))
+    data = rows.join(top, "source").where(~F.col("headed") | (F.col("record") > F.col("first")))
+    number = F.col("record") - F.when(F.col("headed"), F.col("first") + 1).otherwise(F.lit(0))
+    return _typed(data.select("source", "ending", "places", "width", number.alias("row_number"), F.col("text").alias("record")), schema, o, on_error, headed=True)
+
+
+def _typed(data: DataFrame, schema: Schema, o: Options, on_error: str, headed: bool) -> DataFrame:
+    """Records (source, ending, places, width, row_number, record) as typed rows."""
+    keep = ["source", "row_number", "places", "width"]
+    data = data.select(*keep, raw_values(F.col("record"), o, _ending(o)).alias("raws"))
+    place = [F.get("places", F.lit(i)) if headed else F.lit(i) for i in range(len(schema.fields))]
+    raw = [F.when(p >= 0, F.get("raws", p)) if headed else F.get("raws", p) for p in place]
+    extra = F.when(F.size("raws") > F.col("width"), value_of(F.get("raws", F.col("width")), o))
+    # each value made once, then parsed once
+    made = [value_of(r, o).alias(f"__cell{i}") for i, r in enumerate(raw)]
+    data = data.select("source", "row_number", *(["places"] if headed else []), *made, *([extra.alias("__extra")] if o.extra_columns == "THROW" else []))
+    cells = [F.col(f"__cell{i}") for i in range(len(schema.fields))]
+    parsed = [f.get_parser()(c) for f, c in zip(schema.fields, cells, strict=True)]
+    steps = [x.alias(f"__{n}{i}") for i, p in enumerate(parsed) for n, x in (("ok", F.coalesce(p.ok, F.lit(False))), ("value", p.value))]
+    data = data.select("*", *steps)
     outputs, errors = [], []
-    for f in schema.fields:
-        place = F.size("header") - F.array_position(F.reverse("header"), F.lit(f.name))
-        known = F.array_contains("header", f.name)
-        cell = F.when(known, F.get("cells", place.cast("int")))
-        parsed = f.get_parser()(cell)
-        start = f.reset() if f.reset else F.lit(f.default)
-        error = F.when(cell.isNotNull() & ~parsed.ok, F.concat(F.lit('Failed to parse "'), cell, F.lit(f'" for column {f.name}')))
+    for i, (f, cell) in enumerate(zip(schema.fields, cells, strict=True)):
+        ok, value = F.col(f"__ok{i}"), F.col(f"__value{i}")
+        # fixed messages
+        error = F.when(cell.isNotNull() & ~ok, F.concat(F.lit('Failed to parse "'), cell, F.lit(f'" for column {f.name}')))
         if f.required:
-            error = F.when(~known, F.lit(f"Required column [{f.name}] was not found in header row")).when(cell.isNull() | (cell == ""), F.lit(f"Column [{f.name}] is required, but was not found in row")).otherwise(error)
-        value = F.when(cell.isNull(), start).when(parsed.ok, parsed.value)
+            missing = F.when(F.get("places", F.lit(i)) < 0, F.lit(f"Required column [{f.name}] was not found in header row")) if headed else F
+            error = missing.when(cell.isNull() | (cell == ""), F.lit(f"Column [{f.name}] is required, but was not found in row")).otherwise(error)
+        start = f.start(schema)
+        value = F.when(cell.isNull(), start).when(ok, value)
+        if f.never_null:
+            error = F.coalesce(error, F.when(value.isNull(), F.lit(f"Column [{f.name}] does not allow null values")))
         outputs.append((F.when(error.isNotNull(), F.raise_error(error)).otherwise(value) if on_error == "raise" else F.when(error.isNull(), value)).alias(f.name))
         errors.append(error)
     if o.extra_columns == "THROW":
-        extra = F.size("cells") > F.size("header")
-        message = F.concat(F.lit("Extra column was encountered on row "), F.col("row_number").cast("string"), F.lit('; column contents were "'), F.get("cells", F.size("header")), F.lit('"'))
+        message = F.concat(F.lit("Extra column was encountered on row "), F.col("row_number").cast("string"), F.lit('; column contents were "'), F.col("__extra"), F.lit('"'))
+        error = F.when(F.col("__extra").isNotNull(), message)
         if on_error == "raise":
-            data = data.withColumn("cells", F.when(extra, F.raise_error(message)).otherwise(F.col("cells")))
-        errors.append(F.when(extra, message))
+            outputs[0] = F.when(error.isNotNull(), F.raise_error(error)).otherwise(outputs[0]).alias(schema.names[0])
+        errors.append(error)
     report = [F.array_compact(F.array(*errors)).alias("errors")] if on_error != "raise" else []
     return data.select("source", "row_number", *outputs, *report)
 
@@ -134,13 +242,14 @@ def read_dynamic(texts: DataFrame, o: Options = DYNAMIC_DEFAULT) -> DataFrame:
     """
     if o.read_header == "DETECT":
         raise OptionsError("untyped rows have no names of their own to detect a header by")
-    rows = _rows(texts, o)
-    first = F.try_element_at("rows", F.lit(1))
+    rows = _with_head(_only_rows(texts, o), o)
+    record = F.posexplode("records" if o.read_header == "NEVER" else F.slice("records", F.lit(2), F.greatest(F.size("records") - 1, F.lit(0)))).alias("row_number", "record")
+    head = F.lit(None).cast("array<string>")
     if o.read_header == "ALWAYS":
-        header = F.when(F.size(F.array_distinct(first)) < F.size(first), F.raise_error(F.lit("Two or more members with same name"))).otherwise(first)
-        rows = rows.select("source", header.alias("header"), F.size(first).alias("width"), F.posexplode(F.slice("rows", F.lit(2), F.greatest(F.size("rows") - 1, F.lit(0)))).alias("row_number", "cells"))
-    else:
-        rows = rows.select("source", F.lit(None).cast("array<string>").alias("header"), F.size(first).alias("width"), F.posexplode("rows").alias("row_number", "cells"))
+        head = F.when(F.size(F.array_distinct("head")) < F.size("head"), F.raise_error(F.lit("Two or more members with same name"))).otherwise(F.col("head"))
+    rows = rows.select("source", "ending", head.alias("header"), F.size("head").alias("width"), record)
+    rows = rows.select("source", "row_number", "header", "width", raw_values(F.col("record"), o, _ending(o)).alias("raws"))
+    rows = rows.select("source", "row_number", "header", "width", values(F.col("raws"), o).alias("cells"))
     n, width = F.size("cells"), F.col("width")
     filled = F.concat("cells", F.array_repeat(F.lit(None).cast("string"), F.greatest(width - n, F.lit(0))))
     if o.extra_columns == "IGNORE":
@@ -170,9 +279,3 @@ def read_into(df: DataFrame, add: Callable[[Row], object]) -> int:
 def enumerate_rows(df: DataFrame) -> Iterator[Row]:
     """Rows in order, a partition at a time."""
     return df.orderBy("source", "row_number").toLocalIterator()
-
-
-def cells_as_columns(df: DataFrame, names: list[str]) -> DataFrame:
-    """Untyped rows as text columns, by the names of the header."""
-    place: Callable[[str], Column] = lambda n: (F.array_position("header", F.lit(n)) - 1).cast("int")
-    return df.select("source", "row_number", *(F.get("cells", place(n)).alias(n) for n in names))
