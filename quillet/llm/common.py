@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch handed to Python, and bytes of its texts that are worked on at a time: both bound a worker's memory.
-BATCH_ROWS, BATCH_BYTES = 1000, 1 << 18
+BATCH_ROWS, BATCH_BYTES = 400, 1 << 18
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, stage, tidy, utf8
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, columns_by_bytes, flat_bytes, stage, tidy, utf8
 from .decontam import Filter
 
 KINDS = ("email", "ip", "card", "phone")
@@ -33,6 +33,7 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+_SPACE = re.compile(r"\s*")
 #: Shapes, looser than the base patterns, that an unseen string after a pattern may have.
 _SHAPES = {
     "email": re.compile(r"[A-Za-z0-9._%+-]{2,64}+ ?(?:@|\(at\)|\[at\]) ?[A-Za-z0-9-]{2,}+(?: ?(?:\.|\(dot\)|\[dot\]) ?[A-Za-z0-9-]{2,})*", re.I),
@@ -83,25 +84,40 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class _Places:
     """Words of a batch, and code points for byte offsets."""
 
-    def __init__(self, column: pa.Array, texts: list[str]):
+    def __init__(self, column: pa.Array):
         self.w = Words(column, BY_SPACE)
-        self.texts = texts
-        self.raw_starts = np.zeros(len(texts) + 1, np.int64)
-        np.cumsum([len(t.encode()) + 1 for t in texts], out=self.raw_starts[1:])
         self.at, self.pattern = self.w.shingles(2)
+        raw, offsets = flat_bytes(column, b"\n")
+        # code points before each byte, counted by the bytes that begin one
+        self.points = np.concatenate(([0], np.cumsum((raw & 0xC0) != 0x80)))
+        self.first = self.points[offsets]
 
-    def end_of(self, word: int) -> int:
-        """Code point, in its text, at which a word ends."""
-        d = self.w.doc[word]
-        raw = self.texts[d].encode()[: self.w.ends[word] - self.raw_starts[d]]
-        return len(raw.decode("utf-8", "ignore"))
+    def followers(self, known: Filter, texts: list[str]) -> Iterator[tuple[int, int, int]]:
+        """(text, hash of a known pattern, code point at which what follows it starts), in order."""
+        at = known.find(self.pattern)[0]
+        words = self.at[at] + 1
+        docs = self.w.doc[words]
+        ends = self.points[self.w.ends[words]] - self.first[docs]
+        for d, h, end in zip(docs.tolist(), self.pattern[at].view(np.int64).tolist(), ends.tolist(), strict=True):
+            yield d, h, _SPACE.match(texts[d], end).end()
 
 
 def _before(text: str, start: int) -> str | None:
     """The two words before a place, if nothing but white space parts the place from them."""
-    left = text[max(0, start - 200) : start]
-    words = left.split()
-    return " ".join(words[-2:]) if len(words) >= 2 and left[-1:].isspace() else None
+    if not start or not text[start - 1].isspace():
+        return None
+    words = text[_reach(text, start) : start].split()
+    return " ".join(words) if len(words) == 2 else None
+
+
+def _reach(text: str, start: int) -> int:
+    """A place before the two words that end at ``start``, or the start of the text: found backwards, word by word."""
+    for _ in range(2):
+        while start and text[start - 1].isspace():
+            start -= 1
+        while start and not text[start - 1].isspace():
+            start -= 1
+    return start
 
 
 def _pattern_hashes(pairs: list[str]) -> np.ndarray:
@@ -112,12 +128,12 @@ def _pattern_hashes(pairs: list[str]) -> np.ndarray:
 def _seed_patterns(docs: DataFrame, text: str) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, 0):
             pairs, kinds, seeds = [], [], []
             for t in utf8(b.column(0)).to_pylist():
                 for kind, start, end in base_spans(t):
                     pair = _before(t, start)
-                    if pair and len(pair.split()) == 2:
+                    if pair:
                         pairs.append(pair)
                         kinds.append(kind)
                         seeds.append(t[start:end])
@@ -140,21 +156,16 @@ def _edges(docs: DataFrame, text: str, shared) -> DataFrame:
         for kind, h in shared.value:
             kinds.setdefault(h, []).append(kind)
         known = Filter(np.array(sorted(kinds), np.int64).view(np.uint64))
-        for b in batches:
+        for b in by_bytes(batches, 0):
             column = utf8(b.column(0))
             texts = column.to_pylist()
-            p = _Places(column, texts)
             seen: Counter = Counter()
             own: dict[int, dict] = {}
-            for i in known.find(p.pattern)[0]:
-                word, h = int(p.at[i]) + 1, int(p.pattern[i : i + 1].view(np.int64)[0])
-                d = int(p.w.doc[word])
+            for d, h, start in _Places(column).followers(known, texts):
                 t = texts[d]
                 base = own.get(d)
                 if base is None:
                     base = own[d] = {(k, s): e for k, s, e in base_spans(t)}
-                start = p.end_of(word)
-                start += len(t[start : start + 200]) - len(t[start : start + 200].lstrip())
                 for kind in kinds[h]:
                     end = base.get((kind, start))
                     m = None if end else _SHAPES[kind].match(t, start)
@@ -193,63 +204,109 @@ def learn_patterns(docs: DataFrame, text: str = "text") -> list[tuple[str, int]]
     return [(r.kind, r.pattern) for r in scores.where(F.col("score") >= CONFIDENCE).orderBy("kind", "pattern").collect()]
 
 
-def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, text: str = "text", into: str = "pii") -> DataFrame:
+def find_pii(docs: DataFrame, patterns: list[tuple[str, int]] | None = None, text: str = "text", into: str = "pii", redacted: str | None = None) -> DataFrame:
     """``docs`` with an array column ``into`` of structs kind, start, end (code points, end exclusive), base: base spans and those the patterns add.
 
     Spans are ordered by kind (email, ip, card, phone), then start; added ones overlap no other span. ``patterns`` are learned from ``docs``
-    unless given. Null and empty texts have no spans. Rows are kept as they come.
+    unless given. Null and empty texts have no spans. Rows are kept as they come. With ``redacted``, a column of that name (``text`` itself, if it is
+    the same) holds the text with each span, overlapping ones together, replaced by its kind in square brackets; null stays null.
     """
+    sc = docs.sparkSession.sparkContext
     bounded_batches(docs.sparkSession)
     patterns = learn_patterns(docs, text) if patterns is None else patterns
-    blocks = [docs.sparkSession.sparkContext.broadcast(patterns[i : i + BLOCK]) for i in range(0, len(patterns), BLOCK)]
+    blocks = [sc.broadcast(patterns[i : i + BLOCK]) for i in range(0, len(patterns), BLOCK)]
 
-    def after(shared) -> Column:
+    def search(shared) -> Callable[[pa.Array, list[str]], list[list[tuple]]]:
         """What has a pattern's shape after a pattern of this block, whether or not it overlaps other spans."""
+        kinds: dict[int, list[str]] = {}
+        for kind, h in shared.value:
+            kinds.setdefault(h, []).append(kind)
+        known = Filter(np.array(sorted(kinds), np.int64).view(np.uint64))
+
+        def find(column: pa.Array, texts: list[str]) -> list[list[tuple]]:
+            found = [[] for _ in texts]
+            for d, h, start in _Places(column).followers(known, texts):
+                for kind in kinds[h]:
+                    m = _SHAPES[kind].match(texts[d], start)
+                    if m:
+                        found[d].append((start, kind, m.end()))
+            return found
 
-        @F.arrow_udf(f"array<{_SPAN}>")
+        return find
+
+    def after(shared) -> Column:
+        @F.arrow_udf("array<struct<start:bigint,kind:string,end:bigint>>")
         @tidy
         def find(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-            kinds: dict[int, list[str]] = {}
-            for kind, h in shared.value:
-                kinds.setdefault(h, []).append(kind)
-            known = Filter(np.array(sorted(kinds), np.int64).view(np.uint64))
-            for column in columns:
+            run = search(shared)
+            for column in columns_by_bytes(columns):
                 column = utf8(column)
-                texts = column.to_pylist()
-                found = [[] for _ in texts]
-                p = _Places(column, texts)
-                for i in known.find(p.pattern)[0]:
-                    word, h = int(p.at[i]) + 1, int(p.pattern[i : i + 1].view(np.int64)[0])
-                    d = int(p.w.doc[word])
-                    start = p.end_of(word)
-                    start += len(texts[d][start : start + 200]) - len(texts[d][start : start + 200].lstrip())
-                    for kind in kinds[h]:
-                        m = _SHAPES[kind].match(texts[d], start)
-                        if m:
-                            found[d].append((kind, start, m.end(), False))
-                yield _spans(found)
+                found = run(column, column.to_pylist())
+                rows = [[{"start": a, "kind": k, "end": b} for a, k, b in s] for s in found]
+                yield pa.array(rows, pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.string()), ("end", pa.int64())])))
 
         return find(F.col(text))
 
-    @F.arrow_udf(f"array<{_SPAN}>")
+    def finish(column: pa.Array, texts: list[str], added: list[list[tuple]]) -> pa.Array:
+        found = [_together(base_spans(t), more) for t, more in zip(texts, added, strict=True)]
+        spans = _spans(found)
+        if redacted is None:
+            return spans
+        new = [None if null else _redacted(t, s) for null, t, s in zip(column.is_null().to_pylist(), texts, found, strict=True)]
+        return pa.StructArray.from_arrays([spans, pa.array(new, pa.string())], ["spans", "text"])
+
+    result = f"array<{_SPAN}>" if redacted is None else f"struct<spans:array<{_SPAN}>,text:string>"
+
+    @F.arrow_udf(result)
+    @tidy
+    def at_once(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        run = search(blocks[0]) if blocks else None
+        for column in columns_by_bytes(columns):
+            texts = utf8(column).to_pylist()
+            yield finish(column, texts, run(utf8(column), texts) if run else [[] for _ in texts])
+
+    @F.arrow_udf(result)
     @tidy
     def join(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         for column, *others in columns:
-            found = [[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()]
-            for d, added in enumerate(zip(*(x.to_pylist() for x in others), strict=True)):
-                # in the order of the text, whatever block they come from; the first of those that overlap stays
-                for s in sorted((s for some in added for s in some), key=lambda s: (s["start"], s["kind"], s["end"])):
-                    if not any(a < s["end"] and s["start"] < b for _, a, b, _ in found[d]):
-                        found[d].append((s["kind"], s["start"], s["end"], False))
-            yield _spans([sorted(s, key=lambda x: (KINDS.index(x[0]), x[1])) for s in found])
-
-    @F.arrow_udf(f"array<{_SPAN}>")
-    @tidy
-    def base(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            yield _spans([[(*s, True) for s in base_spans(t)] for t in utf8(column).to_pylist()])
-
-    return docs.withColumn(into, join(F.col(text), *map(after, blocks)) if blocks else base(F.col(text)))
+            added = [[(s["start"], s["kind"], s["end"]) for some in row for s in some] for row in zip(*(x.to_pylist() for x in others), strict=True)]
+            yield finish(column, utf8(column).to_pylist(), added)
+
+    made = at_once(F.col(text)) if len(blocks) < 2 else join(F.col(text), *map(after, blocks))
+    if redacted is None:
+        return docs.withColumn(into, made)
+    own = f"{into}__made"
+    return docs.withColumn(own, made).withColumns({into: F.col(own)["spans"], redacted: F.col(own)["text"]}).drop(own)
+
+
+def _together(base: list[tuple[str, int, int]], added: list[tuple[int, str, int]]) -> list[tuple]:
+    """Base spans, and of the added ones, in the order of the text, those that overlap none that is there; by kind, then start."""
+    found = [(*s, True) for s in base]
+    if added:
+        # where base spans lie, merged: they may overlap each other
+        taken: list[list[int]] = []
+        for a, b in sorted((a, b) for _, a, b in base):
+            if taken and a < taken[-1][1]:
+                taken[-1][1] = max(b, taken[-1][1])
+            else:
+                taken.append([a, b])
+        at = done = 0
+        for start, kind, end in sorted(set(added)):
+            while at < len(taken) and taken[at][1] <= start:
+                at += 1
+            if start >= done and (at == len(taken) or end <= taken[at][0]):
+                found.append((kind, start, end, False))
+                done = end
+    return sorted(found, key=lambda x: (KINDS.index(x[0]), x[1]))
+
+
+def _redacted(text: str, spans: list[tuple]) -> str:
+    parts, at = [], 0
+    for kind, start, end, _ in sorted(spans, key=lambda s: (s[1], -s[2])):
+        if start >= at:
+            parts += [text[at:start], f"[{kind.upper()}]"]
+        at = max(at, end)
+    return "".join([*parts, text[at:]])
 
 
 def _spans(found: list[list[tuple]]) -> pa.Array:
@@ -260,23 +317,3 @@ def _spans(found: list[list[tuple]]) -> pa.Array:
 def digest(spans: Column) -> Column:
     """kind:start:end of the spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-
-
-def redact(docs: DataFrame, text: str = "text", spans: str = "pii") -> Column:
-    """``text`` with each span (overlapping ones together) replaced by its kind in square brackets; null stays null."""
-
-    @F.arrow_udf("string")
-    def run(texts: pa.Array, found: pa.Array) -> pa.Array:
-        out = []
-        for t, s in zip(texts.to_pylist(), found.to_pylist(), strict=True):
-            if t and s:
-                parts, at = [], 0
-                for x in sorted(s, key=lambda x: (x["start"], -x["end"])):
-                    if x["start"] >= at:
-                        parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
-                    at = max(at, x["end"])
-                t = "".join([*parts, t[at:]])
-            out.append(t)
-        return pa.array(out, pa.string())
-
-    return run(F.col(text), F.col(spans))
