@@ -23,7 +23,7 @@ from quillet.llm.decontam import find_contamination, summary
 from quillet.llm.langid import UNDETERMINED, fit, identify
 from quillet.llm.ngram_join import jaccard_components
 from quillet.llm.pieces import encode
-from quillet.llm.pii import find_pii, redact
+from quillet.llm.pii import find_pii
 
 MIN_SCORE = 0.5
 #: The name of a stage's own column: unlike any of a table's.
@@ -51,7 +51,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = find_pii(docs, into=_OWN).withColumn("text", redact(docs, spans=_OWN)).drop(_OWN)
+    found = find_pii(docs, into=_OWN, redacted="text").drop(_OWN)
     if "n_chars" in docs.columns:
         found = found.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(docs.columns)
