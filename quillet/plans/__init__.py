@@ -32,14 +32,17 @@ class Static:
     def read_texts(self, spark: SparkSession, *texts: str) -> DataFrame:
         return self.read(reader.from_texts(spark, *texts))
 
+    def read_large_files(self, spark: SparkSession, path: str | list[str], on_error: str = "raise") -> DataFrame:
+        return reader.read_static_large(spark, path, self.schema, self.options, on_error)
+
     def lines(self, df: DataFrame) -> DataFrame:
         return writer.lines(df, self.schema, self.options)
 
     def to_text(self, df: DataFrame, order: list[str], group: list[str] | None = None) -> DataFrame:
         return writer.to_text(df, self.schema, order, self.options, group)
 
-    def write(self, df: DataFrame, path: str) -> None:
-        writer.write(df, self.schema, path, self.options)
+    def write(self, df: DataFrame, path: str, header: str | None = None) -> None:
+        writer.write(df, self.schema, path, self.options, header)
 
 
 @dataclass(frozen=True)
@@ -60,3 +63,6 @@ class Dynamic:
 
     def read_texts(self, spark: SparkSession, *texts: str) -> DataFrame:
         return self.read(reader.from_texts(spark, *texts))
+
+    def to_text(self, df: DataFrame, column: str, order: list[str], group: list[str] | None = None, before: tuple[str, ...] = ()) -> DataFrame:
+        return writer.dynamic_to_text(df, column, order, self.options, group, before=before)

@@ -470,8 +470,11 @@ def scalar_rows(spark, sf):
 
 
 def queries() -> dict[str, Query]:
+    from quillet import queries_io  # noqa: F401  (it registers its own)
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)

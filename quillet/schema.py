@@ -22,7 +22,7 @@ class SchemaError(ValueError):
 #: Spark's types and the kinds they are read and written as.
 SPARK_KINDS = {
     T.StringType: "string", T.BooleanType: "bool", T.ByteType: "sbyte", T.ShortType: "short", T.IntegerType: "int", T.LongType: "long",
-    T.FloatType: "float", T.DoubleType: "double", T.DecimalType: "decimal", T.TimestampType: "datetime", T.DayTimeIntervalType: "timespan",
+    T.FloatType: "float", T.DoubleType: "double", T.DecimalType: "decimal", T.TimestampType: "datetime", T.TimestampNTZType: "datetime", T.DayTimeIntervalType: "timespan",
 }
 PYTHON_KINDS = {"str": "string", "int": "long", "float": "double", "bool": "bool", "Decimal": "decimal", "datetime": "datetime", "timedelta": "timespan", "UUID": "guid"}
 
@@ -34,7 +34,7 @@ class Field:
     ``default`` is what an absent value leaves in the row. ``reset`` gives the value a member has before its own is set, from the
     row's other text cells; ``should_write`` says, from the row, whether its cell is filled. With ``emit_default`` off, a cell that
     holds ``zero`` (the type's default) is left empty. A skipped cell is empty; its separator stays. ``never_null`` is a contract: a null that the parser
-    or the reset gives, or that an absent value would leave, is an error.
+    or the reset gives, or that an absent value would leave, is an error. ``getter`` gives the value to write, in place of the column of the field's name.
     """
 
     name: str
@@ -53,6 +53,7 @@ class Field:
     should_write: Callable[[], Column] | None = None
     reset: Callable[[], Column] | None = None
     never_null: bool = False
+    getter: Callable[[], Column] | None = None
 
     def start(self, schema: Schema) -> Column:
         """What the member holds before its own value is set: its reset, its default, or what the schema's default row gives it."""

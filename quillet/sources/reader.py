@@ -26,22 +26,27 @@ def from_files(spark: SparkSession, path: str | list[str], encoding: str | None
 
     Without an encoding, a byte order mark tells it (UTF-8, UTF-16 or UTF-32, either order), and it is UTF-8 if there is none. The mark is dropped.
     """
-    files = spark.read.format("binaryFile").load(path).select(F.col("path").alias("source"), "content")
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.col("path").alias("source"), decoded(F.col("content"), encoding).alias("text"))
+
+
+def decoded(content: Column, encoding: str | None = None) -> Column:
+    """Bytes as text without their byte order mark, which tells the encoding unless that is given."""
     if encoding is not None:
-        text = F.decode("content", encoding)
+        text = F.decode(content, encoding)
     else:
-        mark = F.hex(F.substring("content", 1, 4))
-        text = F.when(mark.isin("0000FEFF", "FFFE0000"), F.decode("content", "UTF-32")).when(mark.startswith("FEFF") | mark.startswith("FFFE"), F.decode("content", "UTF-16")).otherwise(F.decode("content", "UTF-8"))
-    return files.select("source", F.regexp_replace(text, f"^{_BOM}", "").alias("text"))
+        mark = F.hex(F.substring(content, 1, 4))
+        text = F.when(mark.isin("0000FEFF", "FFFE0000"), F.decode(content, "UTF-32")).when(mark.startswith("FEFF") | mark.startswith("FFFE"), F.decode(content, "UTF-16")).otherwise(F.decode(content, "UTF-8"))
+    return F.regexp_replace(text, f"^{_BOM}", "")
 
 
 def from_texts(spark: SparkSession, *texts: str) -> DataFrame:
     """The texts, in order (their numbers as ``source``)."""
-    return spark.createDataFrame([(f"{i:09d}", t.removeprefix(_BOM)) for i, t in enumerate(texts)], "source string, text string")
+    return spark.createDataFrame([(str(i), t.removeprefix(_BOM)) for i, t in enumerate(texts)], "source string, text string")
 
 
-def from_bytes(df: DataFrame, column: str, encoding: str, source: str) -> DataFrame:
-    return df.select(F.col(source).cast("string").alias("source"), F.regexp_replace(F.decode(column, encoding), f"^{_BOM}", "").alias("text"))
+def from_bytes(df: DataFrame, column: str, encoding: str | None, source: str) -> DataFrame:
+    return df.select(F.col(source).cast("string").alias("source"), decoded(F.col(column), encoding).alias("text"))
 
 
 def from_column(df: DataFrame, column: str, source: str) -> DataFrame:
@@ -61,14 +66,15 @@ def from_large_files(spark: SparkSession, path: str | list[str], o: Options) ->
     lines = spark.read.option("lineSep", cut).text(path).select(
         F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
     )
-    length = lines.groupBy("source").agg((F.sum(F.octet_length("line") + 1) == F.max("size")).alias("whole"))
+    # the lines and their breaks are all of the file, but for the 3 bytes of a mark, which Spark has dropped
+    length = lines.groupBy("source").agg((F.max("size") - F.sum(F.octet_length("line") + 1)).isin(0, 3).alias("whole"))
     lines = lines.withColumn("line", F.when(F.col("split") == 0, F.regexp_replace("line", f"^{_BOM}", "")).otherwise(F.col("line")))
     found = split_large_text(lines, o, within="split")
     ends = found.groupBy("source").agg(F.max("record").alias("last")).join(length, "source")
     rows = found.join(ends, "source").withColumn("ended", (F.col("record") < F.col("last")) | F.col("whole"))
     # the split takes the line break, of which CRLF leaves a part
     if o.read_ending == "CRLF":
-        rows = rows.withColumn("text", F.when(F.col("ended"), F.regexp_replace("text", "\r$", "")).otherwise(F.col("text")))
+        rows = rows.withColumn("text", F.when(F.col("ended"), F.regexp_replace("text", r"\r\z", "")).otherwise(F.col("text")))
     return rows.select("source", "record", "text", "ended")
 
 
@@ -264,7 +270,7 @@ def read_dynamic(texts: DataFrame, o: Options = DYNAMIC_DEFAULT) -> DataFrame:
 
 def read_all(df: DataFrame) -> list[Row]:
     """All rows of a single text, in order."""
-    return df.orderBy("source", "row_number").collect()
+    return _in_order(df).collect()
 
 
 def read_into(df: DataFrame, add: Callable[[Row], object]) -> int:
@@ -278,4 +284,9 @@ def read_into(df: DataFrame, add: Callable[[Row], object]) -> int:
 
 def enumerate_rows(df: DataFrame) -> Iterator[Row]:
     """Rows in order, a partition at a time."""
-    return df.orderBy("source", "row_number").toLocalIterator()
+    return _in_order(df).toLocalIterator()
+
+
+def _in_order(df: DataFrame) -> DataFrame:
+    """By source, numbers among them as numbers, then by row."""
+    return df.orderBy(F.col("source").try_cast("long").asc_nulls_last(), "source", "row_number")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillet.options import DEFAULT, DYNAMIC_DEFAULT, Options
+from quillet.options import DEFAULT, DYNAMIC_DEFAULT, ENDINGS, Options
 from quillet.schema import Schema
 from quillet.sources import reader, writer
 
@@ -30,9 +30,8 @@ def write_stream(df: DataFrame, schema: Schema, path: str, checkpoint: str, o: O
 
     def put(batch: DataFrame, number: int) -> None:
         rows = batch.select(writer.line(schema, o).alias("value"))
-        if o.write_header == "ALWAYS":
-            rows = writer._headed(rows, writer.header_line(schema.names, o))
-        rows.write.mode("overwrite").text(f"{path}/batch={number}", lineSep={"LF": "\n", "CR": "\r", "CRLF": "\r\n"}[o.write_ending])
+        rows = writer._with_header(rows, writer.header_line(schema.names, o), o.write_header)
+        rows.write.mode("overwrite").text(f"{path}/batch={number}", lineSep=ENDINGS[o.write_ending])
 
     stream = df.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (stream.trigger(availableNow=True) if once else stream).start()
