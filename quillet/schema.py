@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import typing
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 from typing import Any
@@ -139,9 +140,11 @@ class Schema:
         for f in dataclasses.fields(kind):
             if f.metadata.get("ignore"):
                 continue
-            name = f.type if isinstance(f.type, str) else f.type.__name__
+            name = f.type if isinstance(f.type, str) else getattr(f.type, "__name__", str(f.type))
+            if typing.get_args(f.type):  # X | None
+                name = " | ".join(getattr(t, "__name__", str(t)).replace("NoneType", "None") for t in typing.get_args(f.type))
             optional = name.endswith("| None")
-            base = name.removesuffix("| None").strip()
+            base = name.removesuffix("| None").strip().rpartition(".")[2]
             has_default = f.default is not dataclasses.MISSING
             fields.append(Field(f.metadata.get("name", f.name), f.metadata.get("kind") or PYTHON_KINDS.get(base, "string"), optional, not has_default, f.default if has_default else None, f.metadata.get("order"), f.metadata.get("emit_default", True), column=f.name))
         return cls(tuple(fields))
