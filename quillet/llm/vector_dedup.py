@@ -1,11 +1,12 @@
 """Near-duplicate vectors by randomised-rotation binary codes.
 
-Rotated by random orthogonal matrices, a vector's signs are its binary code. Pairs meet in buckets of equal sign groups,
-the more bits a group the more vectors there are, and so many groups that a pair at the threshold misses them all with a
-probability of at most ``MISS`` . Inside a bucket the code of one and the rotated form of the other give an unbiased estimate of
-their inner product: <code, y> / <code, x>, where the second factor is stored with x. Its error for a pair at the threshold has a
-known deviation; pairs whose estimate lies further below the threshold than ``BOUND`` deviations are dropped, and all others are
-recomputed exactly in double precision.
+Each vector is rotated by a random orthogonal matrix and stored once more in a packed form: the signs (its binary code), a correction factor, and
+its components in steps of 8 bits. Pairs meet in buckets of equal sign groups of further rotations, the more bits a group the more vectors there
+are, and so many groups that a pair at the threshold misses them all with a probability of at most ``MISS``. Buckets hold packed forms only. Inside one,
+pairs whose codes differ in too many bits go first; for the rest the code of one and the steps of the other give an unbiased estimate of their inner product, <code, y> /
+<code, x>, the second factor being the stored one. Its error for a pair at the threshold has a known deviation; pairs whose estimate lies further below the
+threshold than ``BOUND`` deviations (and the rounding of the steps) are dropped. Only vectors that are left in a pair meet once more, as they are, and are compared exactly
+in double precision.
 
 Equal vectors are one class with a weight. Large buckets are cut into blocks that meet in pairs; of a block only counts and links to
 its groups' smallest ids are emitted, never its pairs.
@@ -16,6 +17,7 @@ from __future__ import annotations
 import functools
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,18 +56,50 @@ def _unit(values: list) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class Packed(NamedTuple):
+    """Packed forms of vectors: signs (64 to a word), correction factors, 8-bit steps, and the size of a step."""
+
+    signs: np.ndarray
+    factor: np.ndarray
+    steps: np.ndarray
+    size: np.ndarray
+
+
+def pack(x: np.ndarray) -> Packed:
+    """Of rows of length 1."""
+    n, dim = x.shape
+    turned = x @ rotations(dim, dim)
+    bits = np.zeros((n, -(-dim // 64) * 64), np.uint8)
+    bits[:, :dim] = turned > 0
+    size = np.maximum(np.abs(turned).max(axis=1), 1e-300) / 127
+    return Packed(np.packbits(bits, axis=1).view(np.uint64), np.abs(turned).sum(axis=1) / math.sqrt(dim), np.rint(turned / size[:, None]).astype(np.int8), size)
+
+
+def open_pairs(a: Packed, b: Packed, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the pairs that may have a cosine of the threshold or more: all others are below it by more than the bounds allow for."""
+    dim = a.steps.shape[1]
+    part = math.acos(threshold) / math.pi  # of the bits differ at the threshold
+    most = dim * part + BOUND * math.sqrt(dim * part * (1 - part))
+    differ = np.zeros((len(a.size), len(b.size)), np.uint16)
+    for k in range(a.signs.shape[1]):
+        differ += np.bitwise_count(a.signs[:, k, None] ^ b.signs[None, :, k])
+    i, j = np.nonzero(differ <= most)
+    signs = np.unpackbits(a.signs.view(np.uint8).reshape(len(a.size), -1), axis=1)[:, :dim].astype(np.float32) * 2 - 1
+    steps = b.steps.astype(np.float32)
+    keep = np.zeros(len(i), bool)
+    for k in range(0, len(i), 1 << 14):
+        x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+        factor = a.factor[x]
+        estimate = np.einsum("ij,ij->i", signs[x], steps[y]) * b.size[y] / math.sqrt(dim) / factor
+        deviation = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(dim - 1, 1))
+        rounding = math.sqrt(dim) * b.size[y] / 2 / factor
+        keep[k : k + (1 << 14)] = estimate >= threshold - BOUND * deviation - rounding - 1e-6
+    return i[keep], j[keep]
+
+
 def close_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the pairs of rows with a cosine of the threshold or more: estimates first, exact values where the bound leaves a doubt."""
-    dim = x.shape[1]
-    turn = rotations(dim, dim)
-    rx = x @ turn
-    code = np.where(rx > 0, 1.0, -1.0) / math.sqrt(dim)
-    factor = (code * rx).sum(axis=1)
-    estimate = (code @ (y @ turn).T) / factor[:, None]
-    deviation = math.sqrt(1 - threshold**2) * np.sqrt(np.maximum(1 - factor**2, 0)) / factor / math.sqrt(max(dim - 1, 1))
-    i, j = np.nonzero(estimate >= (threshold - BOUND * deviation - 1e-9)[:, None])
-    exact = np.concatenate([np.einsum("ij,ij->i", x[i[k : k + 65536]], y[j[k : k + 65536]]) for k in range(0, len(i), 65536)] or [np.zeros(0)])
-    return i[exact >= threshold], j[exact >= threshold]
+    """Places of the pairs of rows of length 1 with a cosine of the threshold or more."""
+    return np.nonzero(x @ y.T >= threshold)
 
 
 def _joined(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -138,31 +172,59 @@ def link_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     # a row goes to all pairs of blocks that hold its own
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     paired = placed.select("id", "sign_group", "bucket", "own", other.alias("other")).select("id", "sign_group", "bucket", "own", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"))
-    full = paired.join(classes, "id").select("sign_group", "bucket", "a", "b", "own", "id", "weight", "x")
+    keys = ["sign_group", "bucket", "a", "b"]
 
-    @tidy
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, kept = None, []
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids, dims = b.column(0).to_numpy(), np.array([len(x) for x in b.column(1).to_pylist()])
+            for dim in np.unique(dims):
+                own = np.flatnonzero(dims == dim)
+                p = pack(_unit(b.column(1).take(pa.array(own)).to_pylist()))
+                yield pa.RecordBatch.from_arrays([pa.array(ids[own]), *(pa.array([r.tobytes() for r in x], pa.binary()) for x in (p.signs, p.steps)), pa.array(p.factor), pa.array(p.size)], ["id", "signs", "steps", "factor", "size"])
 
-        def done() -> Iterator[pa.RecordBatch]:
-            if len(kept) < 2:
-                return
-            group, _, a, b = now
-            part = lambda which: (lambda r: (np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64), _unit([x[3] for x in r]) if r else np.zeros((0, len(kept[0][3])))))([x for x in kept if x[0] == which])
-            found = _meet(part(a), None if a == b else part(b), group, bits, groups, threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "links", "to"])
+    codes = stage(classes.select("id", "x").mapInArrow(tidy(packed), "id long, signs binary, steps binary, factor double, size double"), "codes")
 
+    def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[list]]]:
+        """(sign group, bucket, both blocks) and its rows' other columns."""
+        now, kept = None, []
         for batch in batches:
             columns = [c.to_pylist() for c in batch.columns]
             for i, where in enumerate(zip(*columns[:4], strict=True)):
                 if where != now:
-                    yield from done()
+                    if len(kept) > 1:
+                        yield now, kept
                     now, kept = where, []
-                kept.append((columns[4][i], columns[5][i], columns[6][i], columns[7][i]))
-        yield from done()
+                kept.append([c[i] for c in columns[4:]])
+        if len(kept) > 1:
+            yield now, kept
+
+    def estimate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, bucket, a, b), rows in blocks_of(batches):
+            sides = [[r for r in rows if r[0] == k] for k in ((a,) if a == b else (a, b))]
+            forms = [Packed(np.array([np.frombuffer(r[2], np.uint64) for r in s]), np.array([r[4] for r in s]), np.array([np.frombuffer(r[3], np.int8) for r in s]), np.array([r[5] for r in s])) for s in sides if s]
+            if len(forms) < len(sides):
+                continue
+            i, j = open_pairs(forms[0], forms[-1], threshold)
+            if a == b:
+                i, j = i[i != j], j[i != j]
+            ids = [np.array([r[1] for r in s], np.int64) for s in sides]
+            left = np.unique(np.concatenate((ids[0][i], ids[-1][j])))
+            if len(left):
+                n = len(left)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, group, np.int32)), pa.array(np.full(n, bucket, np.int64)), pa.array(np.full(n, a, np.int32)), pa.array(np.full(n, b, np.int32)), pa.array(left)], [*keys, "id"])
 
-    keys = ["sign_group", "bucket", "a", "b"]
-    found = stage(full.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "id long, links long, to long"), "links")
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (group, _, a, b), rows in blocks_of(batches):
+            part = lambda which: (lambda r: (np.array([x[1] for x in r], np.int64), np.array([x[2] for x in r], np.int64), _unit([x[3] for x in r]) if r else np.zeros((0, len(rows[0][3])))))([x for x in rows if x[0] == which])  # noqa: B023, E731
+            found = _meet(part(a), None if a == b else part(b), group, bits, groups, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in found], ["id", "links", "to"])
+
+    together = lambda df: df.repartition(*keys).sortWithinPartitions(*keys)
+    forms = paired.join(codes, "id").select(*keys, "own", "id", "signs", "steps", "factor", "size")
+    left = stage(together(forms).mapInArrow(tidy(estimate), "sign_group int, bucket long, a int, b int, id long"), "open")
+    whole = left.join(classes, "id").join(shared.select("sign_group", "bucket", blocks.alias("blocks")), ["sign_group", "bucket"])
+    whole = whole.select(*keys, F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"), "id", "weight", "x")
+    found = stage(together(whole).mapInArrow(tidy(compare), "id long, links long, to long"), "links")
     links = found.groupBy("id").agg(F.sum("links").alias("links"))
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("to").alias("b")).distinct())
     named = classes.join(links, "id", "left").join(parts, F.col("id") == F.col("node"), "left")

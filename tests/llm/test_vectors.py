@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from quillet.llm import vector_dedup
-from quillet.llm.vector_dedup import close_pairs, link_vectors
+from quillet.llm.vector_dedup import close_pairs, link_vectors, open_pairs, pack
 
 from .conftest import components
 
@@ -54,13 +54,45 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert run(spark, rows) == {k: (89, 0, k == 0) for k, _ in rows}
 
 
-def test_estimates_never_decide_against_a_close_pair():
+@pytest.mark.parametrize("dim", [3, 48, 64, 130])
+def test_estimates_never_decide_against_a_close_pair(dim):
     rng = np.random.default_rng(0)
-    x = rng.standard_normal((300, 48))
+    x = rng.standard_normal((300, dim))
     y = x + 0.33 * rng.standard_normal(x.shape) * rng.uniform(0.8, 1.2, (300, 1))
     x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
     want = {(i, j) for i, j in zip(*np.nonzero(x @ y.T >= 0.95), strict=True)}
-    assert want and set(zip(*close_pairs(x, y, 0.95), strict=True)) == want
+    left = set(zip(*open_pairs(pack(x), pack(y), 0.95), strict=True))
+    assert want and want <= left and set(zip(*close_pairs(x, y, 0.95), strict=True)) == want
+    # and they do decide: of pairs far from the threshold hardly one is left
+    assert dim < 10 or len(left - want) < 0.02 * 300 * 300
+
+
+def test_estimates_are_unbiased():
+    rng = np.random.default_rng(3)
+    x, y = rng.standard_normal((2, 2000, 64))
+    y = x + rng.uniform(0, 2, (2000, 1)) * y
+    x, y = (v / np.linalg.norm(v, axis=1, keepdims=True) for v in (x, y))
+    a, b = pack(x), pack(y)
+    signs = np.unpackbits(a.signs.view(np.uint8).reshape(2000, -1), axis=1)[:, :64] * 2.0 - 1
+    error = (signs * b.steps).sum(axis=1) * b.size / 8 / a.factor - (x * y).sum(axis=1)
+    assert abs(error.mean()) < 0.01 and error.std() < 0.12
+
+
+def test_thousands_of_planted_pairs_and_a_hot_group(spark):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((2500, 64))
+    near = base + 0.28 * rng.standard_normal(base.shape) * rng.uniform(0.5, 1.2, (2500, 1))
+    hot = rng.standard_normal(64) + 0.1 * rng.standard_normal((1200, 64))
+    x = np.concatenate((base, near, hot))
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    i, j = np.nonzero(np.triu(unit @ unit.T >= 0.95, 1))
+    n = np.bincount(i, minlength=len(x)) + np.bincount(j, minlength=len(x))
+    got = run(spark, [(k, v.tolist()) for k, v in enumerate(x)])
+    have = np.array([got[k][0] for k in range(len(x))])
+    planted = slice(0, 5000)
+    assert n[planted].sum() > 2000 and (have <= n).all()
+    assert have[planted].sum() >= 0.99 * n[planted].sum() and have[5000:].sum() >= 0.99 * n[5000:].sum()
+    assert {got[k][1] for k in range(5000, len(x))} == {5000}
 
 
 def test_odd_vectors(spark):
