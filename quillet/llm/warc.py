@@ -124,7 +124,11 @@ def write_archive(pages: DataFrame, root: str | None = None) -> Archive:
     rows = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), html.alias("html"), F.sha2(html, 256).alias("digest"))
     large = pages.select(F.col("page_id").cast("long"), F.sha2(html, 256).alias("digest"), F.octet_length(html).alias("n")).where(F.col("n") >= MIN_DEDUP_BYTES)
     copies = stage(large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 and first is not null").select("digest", "first"), "copies")
-    rows = rows.join(copies, "digest", "left").select("page_id", "url", "html", "digest", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
+    # the html is not brought together by what it holds: references are found on ids and digests, and go to their page
+    revisits = pages.select(F.col("page_id").cast("long"), F.sha2(html, 256).alias("digest")).join(copies, "digest").where(~F.col("page_id").eqNullSafe(F.col("first")))
+    named = lambda p: (F.coalesce(p, F.lit(0)).alias("id"), p.isNull().alias("nameless"))
+    revisits = revisits.select(*named(F.col("page_id")), "digest", "first").distinct()
+    rows = rows.select("*", *named(F.col("page_id"))).join(revisits, ["id", "nameless", "digest"], "left").select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"))
 
     @tidy
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

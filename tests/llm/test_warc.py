@@ -70,3 +70,12 @@ def test_empty_table_null_ids_and_repeated_rows(spark):
     text = "z" * 300
     got = archive_and_read_back(frame(spark, [(None, "u", text), (7, "u", text), (7, "u", text), (9, "u", text)])).collect()
     assert sorted((r.page_id or 0, r.record_type, r.refers_to or 0) for r in got) == [(0, "revisit", 7), (7, "response", 0), (7, "response", 0), (9, "revisit", 7)]
+
+
+def test_one_payload_on_many_pages(spark):
+    hot, rows = "x" * 500, []
+    rows = [(i, f"http://h{i % 50}.org/{i}", hot if i % 3 else f"own {i} " * 30) for i in range(10_000)] + [(None, None, hot), (20_000, "http://e.org/", None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6)
+    got = {r.page_id: (r.record_type, r.refers_to) for r in archive_and_read_back(df).collect()}
+    assert len(got) == len(rows) and got[1] == ("response", None) and got[None] == ("revisit", 1) and got[20_000] == ("response", None)
+    assert all(got[i] == (("revisit", 1) if i % 3 and i != 1 else ("response", None)) for i in range(10_000))
