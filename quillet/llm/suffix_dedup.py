@@ -1,21 +1,23 @@
-"""Repeated byte strings by fingerprints around content-chosen positions, in place of prefix doubling.
+"""Repeated byte strings by prefix doubling over content-chosen positions.
 
 A suffix array of all bytes would move many times the corpus. Here the positions that are ranked are *anchors*: those whose
 ``GRAM`` bytes hash lowest in some run of ``RUN`` grams. Two equal strings have the same anchors wherever the runs around
 those lie inside them, so each ``length``-byte string is looked at from one place only, its first inner anchor, of which there is one in
-64 bytes or so. Spark groups anchors by pairs of a rank and what surrounds it, at growing reach, and drops what has become unique:
+64 bytes or so. An anchor's first rank names the bytes that all strings of it share (270 for 400). Then, round by round, Spark sorts pairs of a
+rank and a name for the bytes that lie between the last reach and the next, further one, and what is given a new rank by it is ranked again:
 
-* the bytes that all strings of an anchor share (270 for 400): alone in the corpus, none of its strings is repeated;
-* all the bytes that its strings cover: found twice, they all are;
-* the anchors between the two are split into blocks of ``BLOCK`` strings, for which the same two questions are asked,
-* and only blocks between the two are taken string by string.
+* a rank that is alone is dropped: none of its strings is repeated;
+* where all that the strings of a rank cover is there twice, they all are, and it is done;
+* what is between the two goes on, its strings in parts of a quarter (``ROUNDS``), whose common bytes reach further: 369, 393, and at last all 400,
+  past which there is nothing left to rank.
 
-A rank is a 64-bit hash of the pair, so that what decides in the end has been told apart twice. No group is ever gathered:
+A rank is a 64-bit hash of its pair, so that what decides in the end has been told apart in every round. No group is ever gathered:
 groups are counted with partial sums, and what is found is joined back.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,10 +25,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, flat_bytes, mix, powers, prefix_hash, range_hashes, stage, tidy, utf8
+from .common import bounded_batches, by_bytes, discard, flat_bytes, mix, powers, prefix_hash, range_hashes, stage, tidy, utf8
 
 _U = np.uint64
-GRAM, BLOCK = 16, 16
+GRAM = 16
+#: Strings of an anchor that share a rank, in each round after the first (which takes all of them).
+ROUNDS = (32, 8, 1)
 #: Bytes that are searched for anchors at a time, and those looked at beyond them inside a longer text.
 _REGION = 1 << 20
 
@@ -126,7 +130,7 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _anchor_rows(texts: DataFrame, r: Reach, ranks_only: bool) -> DataFrame:
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "text", _REGION):
             data, offsets = flat_bytes(b.column("text"))
             ids, sums = b.column("id").to_numpy(), b.column("sum").to_numpy()
             for doc, pos, lo, hi, narrow, wide in anchors(data, offsets, r):
@@ -157,57 +161,35 @@ def _lists(b: pa.RecordBatch, *names: str) -> tuple[np.ndarray, list[np.ndarray]
     return rows, out
 
 
-def _blocks(subset: DataFrame, chosen: DataFrame, r: Reach) -> DataFrame:
-    """The chosen anchors' strings in blocks, with the ranks of what a block's strings share and of what they cover."""
+def _ranked(subset: DataFrame, chosen: DataFrame, r: Reach, strings: int) -> DataFrame:
+    """The chosen rows' strings, ``strings`` to a rank: pairs of the new rank (the old one and the bytes that these strings share) and of what they cover."""
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "text", _REGION):
             data, offsets = flat_bytes(b.column("text"))
             doc, (pos, lo, hi, k1, asks) = _lists(b, "pos", "lo", "hi", "k1", "asks")
-            first, last = (lo - r.near) // BLOCK, (hi - r.near) // BLOCK
+            first, last = (lo - r.near) // strings, (hi - r.near) // strings
             many = last - first + 1
             i = np.repeat(np.arange(len(pos)), many)
             j = first[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            at, low, high = offsets[doc[i]] + pos[i], np.maximum(lo[i], r.near + BLOCK * j), np.minimum(hi[i], r.near + BLOCK * (j + 1) - 1)
-            # what any string of the whole block holds, whichever of them this anchor serves
-            inner_a, inner_b = at - (r.near + BLOCK * j), at - (r.near + BLOCK * (j + 1) - 1) + r.length
-            inner_b = np.minimum(inner_b, at - np.minimum(r.far, r.near + BLOCK * (j + 1) - 1) + r.length)
-            hashes = []
-            for s, e in ((inner_a, inner_b), (at - high, at - low + r.length)):
+            start, end = r.near + strings * j, r.near + strings * (j + 1) - 1
+            at, low, high = offsets[doc[i]] + pos[i], np.maximum(lo[i], start), np.minimum(hi[i], end)
+            # what any string of the whole part holds, whichever of them this anchor serves
+            shared_from, shared_to = at - start, at - np.minimum(r.far, end) + r.length
+            names = []
+            for s, e in ((shared_from, shared_to), (at - high, at - low + r.length)):
                 h, order = np.empty(len(s), np.uint64), np.argsort(s, kind="stable")
                 h[order] = range_hashes(data, s[order], e[order])
-                hashes.append(h)
-            shared = _rank(k1[i], j, hashes[0])
-            cover = _rank(shared, hashes[1], low, high)
+                names.append(h)
+            rank = _rank(k1[i], j, names[0])
             ids, sums = b.column("id").to_numpy()[doc[i]], b.column("sum").to_numpy()[doc[i]]
-            yield pa.RecordBatch.from_arrays([_long(shared), _long(cover), _long(ids), _long(sums), _long(pos[i]), _short(low), _short(high), pa.array(asks[i].astype(bool))], ["k1", "k2", "id", "sum", "pos", "lo", "hi", "asks"])
+            yield pa.RecordBatch.from_arrays([_long(rank), _long(_rank(rank, names[1], low, high)), _long(ids), _long(sums), _long(pos[i]), _short(low), _short(high), pa.array(asks[i].astype(bool))], ["k1", "k2", "id", "sum", "pos", "lo", "hi", "asks"])
 
     rows = subset.join(_per_text(chosen, "pos", "lo", "hi", "k1", "asks"), ["id", "sum"])
     return rows.mapInArrow(run, "k1 long, k2 long, id long, sum long, pos long, lo int, hi int, asks boolean")
 
 
-def _strings(subset: DataFrame, chosen: DataFrame, r: Reach) -> DataFrame:
-    """The chosen blocks' single strings, ranked by the block's rank and their bytes."""
-
-    @tidy
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            data, offsets = flat_bytes(b.column("text"))
-            doc, (pos, lo, hi, k1, asks) = _lists(b, "pos", "lo", "hi", "k1", "asks")
-            many = hi - lo + 1
-            i = np.repeat(np.arange(len(pos)), many)
-            before = lo[i] + np.arange(len(i)) - np.repeat(np.cumsum(many) - many, many)
-            s = offsets[doc[i]] + pos[i] - before
-            h, order = np.empty(len(s), np.uint64), np.argsort(s, kind="stable")
-            h[order] = range_hashes(data, s[order], s[order] + r.length)
-            ids, sums = b.column("id").to_numpy()[doc[i]], b.column("sum").to_numpy()[doc[i]]
-            yield pa.RecordBatch.from_arrays([_long(_rank(k1[i], before, h)), _long(ids), _long(sums), _long(pos[i] - before), pa.array(asks[i].astype(bool))], ["k1", "id", "sum", "start", "asks"])
-
-    rows = subset.join(_per_text(chosen, "pos", "lo", "hi", "k1", "asks"), ["id", "sum"])
-    return rows.mapInArrow(run, "k1 long, id long, sum long, start long, asks boolean")
-
-
 def _counted(rows: DataFrame) -> DataFrame:
     """Pairs of ranks with their number, and one row that stands for them all."""
     return rows.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "sum", "pos", "lo", "hi")).alias("row"), F.max("asks").alias("asks"))
@@ -236,19 +218,21 @@ def repeated_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     counted = stage(_counted(rows), "counted")
     spans = [stage(_spans(rows, counted, r), "spans")]
     chosen = stage(_undecided(counted), "undecided")
+    for done in (first, rows, counted):
+        discard(done)
     subset = stage(long_texts.join(chosen.select("id", "sum").distinct(), ["id", "sum"], "left_semi").dropDuplicates(["id", "sum"]), "texts")
 
-    rows = _blocks(subset, chosen, r)
-    cores = stage(rows.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("n > 1 and asks").select("k1"), "cores")
-    rows = stage(rows.join(cores, "k1"), "blocks")
-    counted = stage(_counted(rows), "counted")
-    spans.append(stage(_spans(rows, counted, r), "spans"))
-    chosen = stage(_undecided(counted), "undecided")
-
-    rows = stage(_strings(subset, chosen, r), "strings")
-    twice = rows.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("n > 1 and asks").select("k1")
-    spans.append(stage(rows.where("asks").join(stage(twice, "twice"), "k1").select("id", "sum", "start", (F.col("start") + length).alias("end")), "spans"))
-    found = spans[0].union(spans[1]).union(spans[2]).distinct()
+    for strings in ROUNDS:
+        ranked = stage(_ranked(subset, chosen, r, strings), "ranked")
+        twice = stage(ranked.groupBy("k1").agg(F.count(F.lit(1)).alias("n"), F.max("asks").alias("asks")).where("n > 1 and asks").select("k1"), "twice")
+        rows = stage(ranked.join(twice, "k1"), "rows")
+        counted = stage(_counted(rows), "counted")
+        spans.append(stage(_spans(rows, counted, r), "spans"))
+        if strings > 1:
+            chosen = stage(_undecided(counted), "undecided")
+        for done in (ranked, twice, rows, counted):
+            discard(done)
+    found = functools.reduce(DataFrame.union, spans).distinct()
     return found.groupBy("id", "sum").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
@@ -266,7 +250,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, key: str = "doc_id", text
 
     @tidy
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in by_bytes(batches, "text", _REGION):
             texts, out_spans, kept = utf8(b.column("text")).cast(pa.large_binary()).to_pylist(), [], []
             for t, s in zip(texts, b.column("spans").to_pylist(), strict=True):
                 done: list[list[int]] = []
