@@ -332,13 +332,13 @@ _parse("parse_decimal", "orders", "o_orderkey", "cast(cast(o_totalprice as decim
 _parse("parse_char", "orders", "o_orderkey", "o_orderstatus", ("", "ab", "é"), parse.PARSERS["char"], "length(t) = 1 AS ok, CASE WHEN length(t) = 1 THEN t END AS value")
 _parse("parse_datetime", "orders", "o_orderkey", "substr(cast(o_orderdate as string), 1, 10)", ("1995-02-30", "", "yesterday", "1995-03-04 05:06:07", "1995-03-04T05:06:07Z"), parse.PARSERS["datetime"], "coalesce(try_strptime(t, ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%SZ']) IS NOT NULL, false) AS ok, try_strptime(t, ['%Y-%m-%d', '%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%SZ'])::TIMESTAMP AS value", "timestamp_ntz")
 _parse("parse_timespan", "lineitem", "l_orderkey", "concat(cast(l_linenumber as string), '.0', cast(l_linenumber as string), ':30:15')", ("25:00:00", "1:60", "", "-1.02:03:04", "12"), lambda v: parse.Parsed(parse.PARSERS["timespan"](v).ok, F.unix_micros(F.timestamp_seconds(F.lit(0)) + parse.PARSERS["timespan"](v).value)), "CASE WHEN t LIKE '%:30:15' OR t IN ('-1.02:03:04', '12') THEN true ELSE false END AS ok, CASE WHEN t LIKE '%:30:15' THEN split_part(t, '.', 1)::BIGINT * 86400000000 + substr(split_part(t, '.', 2), 1, 2)::BIGINT * 3600000000 + 1815000000 WHEN t = '12' THEN 12 * 86400000000 WHEN t = '-1.02:03:04' THEN -93784000000 END AS value", "long")
-_parse("parse_guid", "customer", "c_custkey", "concat('6ECB2B6D-d392-4222-b7f1-', lpad(cast(c_custkey as string), 12, '0'))", ("", "6ecb2b6d", "{6ecb2b6d-d392-4222-b7f1-07e66a9a4259}", "6ecb2b6dd3924222b7f107e66a9a4259", "6ecb2b6d-d392-4222-b7f1-07e66a9a425g"), parse.PARSERS["guid"], "t <> '' AND t <> '6ecb2b6d' AND t NOT LIKE '%g' AS ok, CASE WHEN t LIKE '{%' OR length(t) = 32 THEN '6ecb2b6d-d392-4222-b7f1-07e66a9a4259' WHEN t <> '' AND t <> '6ecb2b6d' AND t NOT LIKE '%g' THEN lower(t) END AS value")
+_parse("parse_guid", "customer", "c_custkey", "concat('0A1B2C3D-4e5f-4a6b-8c7d-', lpad(cast(c_custkey as string), 12, '0'))", ("", "0a1b2c3d", "{0a1b2c3d-4e5f-4a6b-8c7d-9e8f7a6b5c49}", "0a1b2c3d4e5f4a6b8c7d9e8f7a6b5c49", "0a1b2c3d-4e5f-4a6b-8c7d-9e8f7a6b5c4g"), parse.PARSERS["guid"], "t <> '' AND t <> '0a1b2c3d' AND t NOT LIKE '%g' AS ok, CASE WHEN t LIKE '{%' OR length(t) = 32 THEN '0a1b2c3d-4e5f-4a6b-8c7d-9e8f7a6b5c49' WHEN t <> '' AND t <> '0a1b2c3d' AND t NOT LIKE '%g' THEN lower(t) END AS value")
 _parse("parse_version", "part", "p_partkey", "concat(cast(p_size as string), '.', cast(p_partkey as string))", ("1", "1.2.3.4", "1.2.3.4.5", "", "1.-2", "a.b"), lambda v: parse.Parsed(parse.PARSERS["version"](v).ok, fmt.FORMATTERS["version"](parse.PARSERS["version"](v).value)), "regexp_full_match(t, '[0-9]+([.][0-9]+){1,3}') AS ok, CASE WHEN regexp_full_match(t, '[0-9]+([.][0-9]+){1,3}') THEN t END AS value")
 _parse("parse_index", "part", "p_partkey", "concat('^', cast(p_size as string))", ("3", "^", "", "^-1", "x"), lambda v: parse.Parsed(parse.PARSERS["index"](v).ok, fmt.FORMATTERS["index"](parse.PARSERS["index"](v).value)), "regexp_full_match(t, '\\^?[0-9]+') AS ok, CASE WHEN regexp_full_match(t, '\\^?[0-9]+') THEN t END AS value")
 _parse("parse_range", "part", "p_partkey", "concat(cast(p_size as string), '..^2')", ("..", "3..", "..^1", "1.2", "", "a..b"), lambda v: parse.Parsed(parse.PARSERS["range"](v).ok, fmt.FORMATTERS["range"](parse.PARSERS["range"](v).value)), "t NOT IN ('1.2', '', 'a..b') AS ok, CASE WHEN t = '..' THEN '0..^0' WHEN t = '3..' THEN '3..^0' WHEN t = '..^1' THEN '0..^1' WHEN t NOT IN ('1.2', '', 'a..b') THEN t END AS value")
 _parse("parse_enum", "orders", "o_orderkey", "lower(o_orderpriority)", ("1", "", "6-NEVER"), parse.enum(["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]), "upper(t) IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') AS ok, CASE WHEN upper(t) IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED', '5-LOW') THEN upper(t) END AS value")
-_FLAGS = {"None": 0, "First": 1, "Second": 2, "Third": 4, "Fourth": 8, "Multi": 5}
-_parse("parse_flags", "orders", "o_orderkey", "case when o_orderstatus = 'F' then 'first, SECOND' else 'Multi' end", ("", "Fifth", "Third,Fourth", "3"), parse.flags(_FLAGS), "t NOT IN ('Fifth', '3') AS ok, CASE t WHEN '' THEN 0 WHEN 'Third,Fourth' THEN 12 WHEN 'first, SECOND' THEN 3 WHEN 'Multi' THEN 5 END::BIGINT AS value")
+_FLAGS = {"Nothing": 0, "Red": 1, "Green": 2, "Blue": 4, "Gold": 8, "Pair": 5}
+_parse("parse_flags", "orders", "o_orderkey", "case when o_orderstatus = 'F' then 'red, GREEN' else 'Pair' end", ("", "Black", "Blue,Gold", "3"), parse.flags(_FLAGS), "t NOT IN ('Black', '3') AS ok, CASE t WHEN '' THEN 0 WHEN 'Blue,Gold' THEN 12 WHEN 'red, GREEN' THEN 3 WHEN 'Pair' THEN 5 END::BIGINT AS value")
 _parse("parser_else_chain", "orders", "o_orderkey", "cast(o_custkey as string)", ("true", "", "0.5", "False"), lambda v: parse.chain(lambda x: parse.Parsed(parse.PARSERS["int"](x).ok, parse.PARSERS["int"](x).value.cast("string")), lambda x: parse.Parsed(parse.PARSERS["bool"](x).ok, fmt.FORMATTERS["bool"](parse.PARSERS["bool"](x).value)))(v), "regexp_full_match(t, '[0-9]+') OR t IN ('true', 'False') AS ok, CASE WHEN regexp_full_match(t, '[0-9]+') THEN t WHEN t = 'true' THEN 'True' WHEN t = 'False' THEN 'False' END AS value")
 
 
@@ -360,7 +360,7 @@ def format_double(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", (parse.PARSERS["double"](text).value == F.col("o_totalprice")).alias("same"))
 
 
-@query("SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'None' WHEN 1 THEN 'First' WHEN 2 THEN 'Second' ELSE 'First, Second' END AS flags FROM orders")
+@query("SELECT o_orderkey, CASE o_custkey % 4 WHEN 0 THEN 'Nothing' WHEN 1 THEN 'Red' WHEN 2 THEN 'Green' ELSE 'Red, Green' END AS flags FROM orders")
 def format_flags(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", fmt.flags(_FLAGS)(F.col("o_custkey") % 4).alias("flags"))
 

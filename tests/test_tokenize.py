@@ -68,7 +68,7 @@ def test_endings(spark):
     assert [r[0] for r in df.select(detect_ending(F.col("t"), Options())).collect()] == [e for _, e in cases]
     assert [strict.detect(t, Options()) for t, _ in cases] == [e for _, e in cases]
     o = Options(separator="###")
-    text = 'h#ello###wo##rld###"fiz###z"###"buzz###"\r'
+    text = 'a##b###c#d###"one###two"###"three###"\r'
     assert spark.createDataFrame([(text,)], "t string").select(detect_ending(F.col("t"), o)).first()[0] == "CR"
 
 
