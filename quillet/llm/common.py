@@ -128,6 +128,19 @@ def columns_by_bytes(columns: Iterator[pa.Array], most: int = BATCH_BYTES) -> It
             yield c.slice(at, n)
 
 
+def gathered(columns: Iterator[pa.Array], least: int) -> Iterator[pa.Array]:
+    """Columns of texts put together until they have ``least`` bytes, for work that is shared by equal words."""
+    held, size = [], 0
+    for c in columns:
+        held.append(c)
+        size += pc.sum(pc.binary_length(c)).as_py() or 0
+        if size >= least:
+            yield pa.concat_arrays(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_arrays(held)
+
+
 def binaries(chunks: list[bytes]) -> pa.Array:
     return pa.array(chunks, pa.binary())
 

@@ -19,16 +19,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, columns_by_bytes, mix, tidy, utf8
+from .common import bounded_batches, columns_by_bytes, gathered, mix, tidy, utf8
 
 _U = np.uint64
 _STEP, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 #: Slots of the tables of piece keys' low bits and of known pairs; words in a worker's cache, emptied when full; the longest of them.
-_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 21, 150_000, 64
-#: Cells (words times length) that are searched together.
-_CELLS = 150_000
+_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 21, 300_000, 64
+#: Cells (words times length) that are searched together; bytes of texts whose words are.
+_CELLS, _TEXTS = 150_000, 3 << 20
 
 
 class PieceModel:
@@ -200,29 +200,32 @@ class Encoder:
         power, inverse = _powers(n)
         prefix = np.zeros((rows, n + 1), np.uint64)
         np.cumsum(mix(codes.astype(np.uint64) + _U(1)) * power[:n], axis=1, out=prefix[:, 1:])
-        found = {}
-        for k in range(1, min(n, m.longest) + 1):
-            found[k] = m.find(mix((prefix[:, k:] - prefix[:, : n + 1 - k]) * inverse[: n + 1 - k] + _U(k * int(_STEP) % 2**64)))
-        found[1][found[1] < 0] = self.outside
+        most = min(n, m.longest)
+        #: piece of each length (less 1), word and place
+        found = np.full((most, rows, n), -1, np.int32)
+        for k in range(1, most + 1):
+            found[k - 1, :, : n + 1 - k] = m.find(mix((prefix[:, k:] - prefix[:, : n + 1 - k]) * inverse[: n + 1 - k] + _U(k * int(_STEP) % 2**64)))
+        found[0][found[0] < 0] = self.outside
         score = np.append(m.score, m.score[m.ids].min() - 10)
         best, last, back = np.full((n + 1, rows), -np.inf), np.full((n + 1, rows), -1, np.int32), np.zeros((n + 1, rows), np.int8 if m.longest < 128 else np.int64)
         best[0] = 0
         for end in range(1, n + 1):
-            for k in range(1, min(end, m.longest) + 1):
-                piece = found[k][:, end - k]
-                at = np.flatnonzero((piece >= 0) & np.isfinite(best[end - k]))
-                if not len(at):
-                    continue
-                if m.bpe:
-                    value = np.zeros(len(at))
-                    if end > k:
-                        at = at[self._follows(last[end - k][at], piece[at])]
-                        value = np.zeros(len(at))
-                else:
-                    value = best[end - k][at] + score[piece[at]]
-                better = value > best[end][at]
-                at = at[better]
-                best[end][at], last[end][at], back[end][at] = value[better], piece[at], k
+            before = end - 1 - np.arange(min(end, most))  # where candidates of each length start
+            piece = found[np.arange(len(before)), :, before]
+            k, row = np.nonzero((piece >= 0) & np.isfinite(best[before]))
+            start, own = before[k], piece[k, row]
+            if m.bpe:
+                inside = np.flatnonzero(start > 0)
+                ok = np.ones(len(k), bool)
+                ok[inside] = self._follows(last[start[inside], row[inside]], own[inside])
+                # the shortest first, should there be several: it is written last
+                k, row, own = k[ok][::-1], row[ok][::-1], own[ok][::-1]
+                best[end, row], last[end, row], back[end, row] = 0, own, k + 1
+            else:
+                value = np.full(piece.shape, -np.inf)
+                value[k, row] = best[start, row] + score[own]
+                top, each = value.argmax(axis=0), np.arange(rows)
+                best[end], last[end], back[end] = value[top, each], piece[top, each], top + 1
         if not np.isfinite(best[n]).all():
             raise ValueError("a word has no segmentation")
         out, at, row = [], np.full(rows, n), np.arange(rows)
@@ -316,14 +319,14 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids", c
     @tidy
     def run(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder(shared.value)
-        for column in columns_by_bytes(columns):
+        for column in columns_by_bytes(gathered(columns, _TEXTS), 2 * _TEXTS):
             yield ids_of(encoder, column)[0]
 
     @F.arrow_udf("struct<ids:array<int>,same:boolean>")
     @tidy
     def run_and_check(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder, decode = Encoder(shared.value), Decoder(shared.value).decode
-        for column in columns_by_bytes(columns):
+        for column in columns_by_bytes(gathered(columns, _TEXTS), 2 * _TEXTS):
             ids, texts = ids_of(encoder, column)
             back = decode(ids.values.to_numpy(), ids.offsets.to_numpy().astype(np.int64))
             yield pa.StructArray.from_arrays([ids, pa.array([a == b for a, b in zip(back, texts, strict=True)], pa.bool_())], ["ids", "same"])
