@@ -7,7 +7,8 @@
 3. The classes that are left order their shingles by document frequency, rarest first, and put the prefix of each
    set (n - ceil(threshold * n) + 1 shingles) in an inverted list.
 4. First every set of a list is compared to the list's hub (its smallest key), which joins most sets of a dense group without its
-   pairs; then, within lists that hold several of the components so found, every pair of different components is: length,
+   pairs; what is outside a list's largest component then meets up to ``HUB_TURNS`` other hubs out of it, one at a time. Then, within lists that still hold
+   several of the components so found, every pair of different components is compared: length,
    positional and suffix filters first (the last by parities of the members in cells, as the sets' difference is at least theirs), then
    the exact overlap, once per pair.
 
@@ -16,11 +17,12 @@ So no link between different components is lost, and no group's pairs are emitte
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, mix, sequence_hash, stage, tidy
@@ -32,6 +34,8 @@ _MARK = np.iinfo(np.int64).min
 HUB_ROWS, RANGES = 512, 64
 #: Shingles that meet in a bucket of the screen, about, and bytes of texts that are dealt to the buckets together.
 BUCKET, DEALT_BYTES = 4_000_000, 4 << 20
+#: Hubs that are tried in each list, after the first, before the sets that are still apart meet in pairs.
+HUB_TURNS = 3
 #: Bits that hold the parities of a set's members in so many cells: two sets differ in at least as many members as bits.
 PARITIES = 1024
 _SALT = _U(0x2545F4914F6CDD1D)
@@ -272,20 +276,39 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     edges = stage(_verify(stage(first, "pairs"), sets, threshold), "links")
     parts = stage(connected_components(edges), "parts")
 
-    # lists that hold several components: each set outside the largest of them meets all sets of the others
-    named = stage(lists.join(parts, F.col("key") == F.col("node"), "left").select("token", "key", "n", "d", "pos", F.coalesce("component", "key").alias("part")), "named")
-    largest = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("token", "largest")
-    mixed = stage(named.join(largest, "token").join(sets.select("key", "n", "d", "parities"), ["key", "n", "d"]), "mixed")
+    # 100 * overlap >= threshold * union, as far as lengths and places can tell
+    def may_match(na: str, pa_: str, qa: str, nb: str, pb: str, qb: str) -> Column:
+        # suffix filter on the parities, position by position of the list: similar sets differ in few members
+        apart = functools.reduce(lambda x, y: x + y, (F.bit_count(F.get(qa, F.lit(i)).bitwiseXOR(F.get(qb, F.lit(i)))) for i in range(PARITIES // 64)))
+        near = apart * (100 + threshold) <= (F.col(na) + F.col(nb)) * (100 - threshold)
+        # what lies before and after a shared shingle bounds the overlap from that list alone
+        place = F.least(pa_, pb) + F.least(F.col(na) - F.col(pa_), F.col(nb) - F.col(pb))
+        return long_enough(na, nb) & (place * (100 + threshold) >= (F.col(na) + F.col(nb)) * threshold) & near
+
+    def mixed_of(rows: DataFrame, parts: DataFrame) -> DataFrame:
+        """The rows of lists that hold several components, with their own and the list's largest one."""
+        named = rows.join(parts, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        largest = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.count(F.lit(1)).alias("parts"))
+        return named.join(largest.where("parts > 1").select("token", "largest"), "token")
+
+    mixed = stage(mixed_of(lists, parts).join(sets.select("key", "n", "d", "parities"), ["key", "n", "d"]), "mixed")
+    # further hubs, another one each time, for what is outside the largest component: linear, and what it joins needs no pairs
+    for turn in range(HUB_TURNS):
+        hubs = mixed.where("part = largest").groupBy("token").agg(F.min_by(F.struct("key", "n", "pos", "parities"), F.xxhash64("key", F.lit(turn))).alias("h"))
+        hubs = hubs.select("token", *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("key", "n", "pos", "parities")))
+        met = mixed.where("part <> largest").join(hubs, "token").where(may_match("n", "pos", "parities", "hub_n", "hub_pos", "hub_parities"))
+        found = stage(_verify(stage(met.select(F.col("hub_key").alias("a"), F.col("key").alias("b")).distinct(), "pairs"), sets, threshold), "links")
+        if found.isEmpty():
+            break
+        edges = edges.union(found)
+        parts = stage(connected_components(edges), "parts")
+        mixed = stage(mixed_of(mixed.drop("part", "largest"), parts), "mixed")
+
+    # what is still apart: each set outside the largest component meets all sets of the others
     x = mixed.where("part <> largest").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("part_a"), F.col("parities").alias("qa"))
     y = mixed.select("token", F.col("key").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("part").alias("part_b"), F.col("parities").alias("qb"), "largest")
-    # suffix filter on the parities, position by position of the list: similar sets differ in few members
-    apart = sum((F.bit_count(F.get("qa", F.lit(i)).bitwiseXOR(F.get("qb", F.lit(i)))) for i in range(1, PARITIES // 64)), F.bit_count(F.get("qa", F.lit(0)).bitwiseXOR(F.get("qb", F.lit(0)))))
-    near = apart * (100 + threshold) <= (F.col("na") + F.col("nb")) * (100 - threshold)
-    # what lies before and after a shared shingle bounds the overlap from that list alone
-    place = F.least("pa", "pb") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
-    fits = place * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold
     other = (F.col("part_a") != F.col("part_b")) & ((F.col("part_b") == F.col("largest")) | (F.col("a") < F.col("b")))
-    met = x.join(y, "token").where(other & long_enough("na", "nb") & fits & near)
+    met = x.join(y, "token").where(other & may_match("na", "pa", "qa", "nb", "pb", "qb"))
     # the pair's shared prefix shingles and what may still follow the last of them bound its overlap; that a list
     # may show a pair in one order here and in the other there is evened out first
     pair = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.struct("na", "nb", "pa", "pb")).otherwise(F.struct(F.col("nb").alias("na"), F.col("na").alias("nb"), F.col("pb").alias("pa"), F.col("pa").alias("pb"))).alias("p"))
