@@ -16,7 +16,7 @@ from quillet.schema import Schema
 from quillet.sources import reader, writer
 
 SF_DIR, CPUS = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
-HEADLINE = ("encode_cell", "write_lines_static", "roundtrip_static", "roundtrip_quoted", "header_reorder", "comments_interleaved", "extra_column_include", "dynamic_get", "dynamic_to_struct", "parse_int", "parse_double", "parse_datetime", "strict_read", "stitched_records")
+HEADLINE = ("encode_cell", "write_lines_static", "roundtrip_static", "roundtrip_quoted", "header_reorder", "comments_interleaved", "extra_column_include", "dynamic_get", "dynamic_to_struct", "parse_int", "parse_double", "parse_datetime", "strict_read", "stitched_records", "files_large", "dynamic_write_maps")
 #: Rows and columns of the wide-row read and write.
 WIDE_ROWS, WIDE_COLUMNS = 200_000, 36
 
@@ -24,7 +24,9 @@ WIDE_ROWS, WIDE_COLUMNS = 200_000, 36
 def session() -> SparkSession:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]").config("spark.sql.shuffle.partitions", CPUS).config("spark.driver.memory", "12g").config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "16m").getOrCreate()
+        .config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").config("spark.sql.files.maxPartitionBytes", "16m")
+        # the JVM does not compile methods beyond this size: rather one projection after the other
+        .config("spark.sql.codegen.hugeMethodLimit", "8000").getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark

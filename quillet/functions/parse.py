@@ -10,7 +10,7 @@ from typing import NamedTuple
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from quillet.options import SPACE_CLASS
+from quillet.options import SPACE_CLASS, WHITESPACE
 
 
 class Parsed(NamedTuple):
@@ -60,7 +60,7 @@ def _string(v: Column) -> Parsed:
 
 
 def _bool(v: Column) -> Parsed:
-    t = F.lower(F.regexp_replace(v, f"^{_SPACES}+|{_SPACES}+$", ""))
+    t = F.lower(F.btrim(v, F.lit(WHITESPACE)))
     return Parsed(t.isin("true", "false"), t == "true")
 
 
@@ -72,9 +72,13 @@ def _char(v: Column) -> Parsed:
 def _integer(kind: str) -> Parser:
     low, high, spark_type = INTEGERS[kind]
 
+    wide = "bigint" if high < 2**63 else "decimal(38,0)"
+
     def parse(v: Column) -> Parsed:
-        n = v.try_cast("decimal(38,0)")
-        ok = v.rlike("^[0-9]+$" if kind in _UNSIGNED else "^[+-]?[0-9]+$") & n.isNotNull() & n.between(F.lit(str(low)).cast("decimal(38,0)"), F.lit(str(high)).cast("decimal(38,0)"))
+        n = v.try_cast(wide)
+        ok = v.rlike("^[0-9]+$" if kind in _UNSIGNED else "^[+-]?[0-9]+$") & n.isNotNull()
+        if (low, high) != (-(2**63), 2**63 - 1):
+            ok = ok & n.between(F.lit(str(low)).cast(wide), F.lit(str(high)).cast(wide))
         return Parsed(F.coalesce(ok, F.lit(False)), F.when(ok, n).try_cast(spark_type))
 
     return parse
@@ -119,7 +123,7 @@ def _timespan(v: Column) -> Parsed:
 
 
 def _guid(v: Column) -> Parsed:
-    t = F.regexp_replace(v, f"^{_SPACES}+|{_SPACES}+$", "")
+    t = F.btrim(v, F.lit(WHITESPACE))
     h = "[0-9A-Fa-f]"
     d = f"{h}{{8}}-{h}{{4}}-{h}{{4}}-{h}{{4}}-{h}{{12}}"
     x = rf"^\{{0x{h}{{1,8}},0x{h}{{1,4}},0x{h}{{1,4}},\{{(?:0x{h}{{1,2}},){{7}}0x{h}{{1,2}}\}}\}}$"
@@ -180,7 +184,7 @@ def flags(values: Mapping[str, int]) -> Parser:
 
     def parse(v: Column) -> Parsed:
         table = F.create_map(*(x for n, i in values.items() for x in (F.lit(n.lower()), F.lit(i).cast("long"))))
-        bits = F.transform(F.split(F.lower(v), ","), lambda n: F.try_element_at(table, F.regexp_replace(n, f"^{_SPACES}+|{_SPACES}+$", "")))
+        bits = F.transform(F.split(F.lower(v), ","), lambda n: F.try_element_at(table, F.btrim(n, F.lit(WHITESPACE))))
         total = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
         return Parsed((v == "") | total.isNotNull(), F.when(v == "", F.lit(0).cast("long")).otherwise(total))
 
