@@ -19,7 +19,8 @@ class OptionsError(ValueError):
 
 @dataclass(frozen=True)
 class Options:
-    """Sixteen settings; the last five have no effect here (Spark owns memory and row lifetimes) but may be given."""
+    """Sixteen settings. ``schema_provider`` is a schema, or a function that makes one, for plans that are given none; the last four have no effect
+    here (Spark owns memory and row lifetimes) but may be given."""
 
     separator: str = ","
     quote: str | None = '"'

@@ -13,12 +13,17 @@ from quillet.sources import reader, writer
 
 @dataclass(frozen=True)
 class Static:
-    """A schema and a dialect, checked once and used for any number of texts."""
+    """A schema and a dialect, checked once and used for any number of texts. Without a schema of its own, the dialect's provider gives it."""
 
-    schema: Schema
+    schema: Schema | None = None
     options: Options = DEFAULT
 
     def __post_init__(self) -> None:
+        if self.schema is None:
+            given = self.options.schema_provider
+            if given is None:
+                raise OptionsError("neither a schema nor a provider of one is given")
+            object.__setattr__(self, "schema", given() if callable(given) else given)
         for f in self.schema.fields:
             f.get_parser()
             f.get_formatter()

@@ -208,6 +208,10 @@ def test_schemas(spark):
     with pytest.raises(SchemaError):
         Schema((Field("a"), Field("a")))
     assert Schema.tuple_of("int", "string").names == ["Item1", "Item2"]
+    for provider in (PAIR, lambda: PAIR):
+        assert rows(Static(options=DEFAULT.but(schema_provider=provider)).read_texts(spark, "name,n\nx,1"), "name", "n") == [("x", 1)]
+    with pytest.raises(OptionsError):
+        Static()
     with pytest.raises(SchemaError):
         Schema.of(a="int").surrogate(Schema.of(a="string"))
 
