@@ -12,9 +12,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch handed to Python, and bytes of its texts that are worked on at a time: both bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 400, 1 << 18
+#: Rows of keys that are broadcast at most (some 40 MB as a hash table).
+SMALL = 1_000_000
 
 
 def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
@@ -53,6 +56,11 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return back
 
 
+def if_small(keys: DataFrame) -> DataFrame:
+    """Rows of a few numbers, written before: marked for broadcast if they are ``SMALL`` at most, so that what they are joined to stays where it is."""
+    return F.broadcast(keys) if keys.count() <= SMALL else keys
+
+
 def discard(df: DataFrame) -> None:
     """Delete what ``stage`` wrote, once nothing reads it any more."""
     spark = df.sparkSession

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, mix, sequence_hash, stage, tidy
+from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, if_small, mix, sequence_hash, stage, tidy
 from .components import connected_components
 
 _U = np.uint64
@@ -260,7 +260,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = stage(_shared_shingles(docs, n, table, max(parts, -(-total // BUCKET)), parts), "shared")
     maybe = stage(classes.join(shared, "key").where(F.col("shared") * 100 >= F.col("n") * threshold).select("key").distinct(), "screened")
     discard(shared)
-    sets = stage(_sets(docs.join(maybe, "key", "left_semi"), n, table).where("n > 0").dropDuplicates(["key", "n", "d"]), "sets")
+    sets = stage(_sets(docs.join(if_small(maybe), "key", "left_semi"), n, table).where("n > 0").dropDuplicates(["key", "n", "d"]), "sets")
     members = _members(sets)
     often = stage(members.groupBy("token").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "frequencies")
     ordered = members.join(often, "token").groupBy("key", "n", "d").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))

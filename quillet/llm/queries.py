@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import if_small, stage
 from .decontam import find_contamination, summary
 from .langid import fit, held_out, identify
 from .lm_score import score_documents
@@ -125,8 +126,8 @@ FROM q
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cross-entropy difference of every document: the target are the documents labelled as of good quality."""
-    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True))
-    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text").join(good, "doc_id", "left"), F.col("good"))
+    good = stage(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id").distinct().withColumn("good", F.lit(True)), "good")
+    return score_documents(table(spark, sf_dir, "documents").select("doc_id", "text").join(if_small(good), "doc_id", "left"), F.col("good"))
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, by_bytes, discard, flat_bytes, mix, powers, prefix_hash, range_hashes, stage, tidy, utf8
+from .common import bounded_batches, by_bytes, discard, flat_bytes, if_small, mix, powers, prefix_hash, range_hashes, stage, tidy, utf8
 
 _U = np.uint64
 GRAM = 16
@@ -220,7 +220,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, key: str = "doc_id", text
     chosen = stage(_undecided(counted), "undecided")
     for done in (first, rows, counted):
         discard(done)
-    subset = stage(long_texts.join(chosen.select("id", "sum").distinct(), ["id", "sum"], "left_semi").dropDuplicates(["id", "sum"]), "texts")
+    subset = stage(long_texts.join(if_small(stage(chosen.select("id", "sum").distinct(), "names")), ["id", "sum"], "left_semi").dropDuplicates(["id", "sum"]), "texts")
 
     for strings in ROUNDS:
         ranked = stage(_ranked(subset, chosen, r, strings), "ranked")
