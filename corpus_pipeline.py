@@ -18,7 +18,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillet.llm.common import stage
+from quillet.llm.common import if_small, stage
 from quillet.llm.decontam import find_contamination, summary
 from quillet.llm.langid import UNDETERMINED, fit, identify
 from quillet.llm.ngram_join import jaccard_components
@@ -40,9 +40,12 @@ def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     row = F.xxhash64(*(F.col(c) for c, kind in docs.dtypes if "map<" not in kind))
     named = docs.withColumn(_OWN, row)
     found = jaccard_components(named, key=_OWN).select(_OWN, "component_id").distinct()
-    best = named.select(_OWN, F.struct(F.col("doc_id").isNull(), "doc_id", _OWN).alias("order")).join(found, _OWN)
-    kept = best.groupBy("component_id").agg(F.min("order").alias("order")).select(F.col(f"order.{_OWN}").alias(_OWN))
-    return named.join(kept, _OWN, "left_semi").dropDuplicates([_OWN]).select(docs.columns)
+    best = named.select(_OWN, F.struct(F.col("doc_id").isNull(), "doc_id", _OWN).alias("order")).groupBy(_OWN).agg(F.min("order").alias("order"), F.count(F.lit(1)).alias("rows"))
+    best = best.join(found, _OWN).groupBy("component_id").agg(F.min(F.struct("order", "rows")).alias("best"))
+    kept = stage(best.select(F.col(f"best.order.{_OWN}").alias(_OWN), F.col("best.rows").alias("rows")), "kept")
+    # texts stay where they are, but for those of equal rows, of which one is left
+    once, often = (named.join(if_small(stage(kept.where(f"rows {x} 1").select(_OWN), "names")), _OWN, "left_semi") for x in "=>")
+    return once.union(often.dropDuplicates([_OWN])).select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
