@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from quillet.llm.langid import UNDETERMINED, fit, held_out, identify
@@ -60,3 +62,27 @@ def test_empty_table_and_no_labels(spark):
     none = df.where("false")
     assert identify(none, fit(none)).count() == 0
     assert {x for x, _ in predicted(df, fit(df.withColumn("lang", F.lit(None).cast("string")))).values()} == {UNDETERMINED}
+
+
+@pytest.mark.parametrize("rows", [50, 200, 800, 2000])
+def test_scores_are_calibrated_at_every_size(spark, rows):
+    # two languages that share most of their syllables: the weights alone are too sure, or not sure enough
+    rng, langs = random.Random(rows), ["aa", "bb"]
+    text = lambda x: " ".join(rng.choice(SYLLABLES[x if rng.random() < 0.6 else langs[x == "aa"]]) for _ in range(rng.randrange(1, 25)))
+    labels = [langs[i % 2] for i in range(2 * rows * 4 // 3)]
+    df = spark.createDataFrame([(i, text(x), x) for i, x in enumerate(labels)], "doc_id long, text string, lang string").repartition(4)
+    model = fit(df)
+    assert model.temperature != 1.0
+    out = df.where(held_out(F.col("doc_id"))).collect()
+    logits, ok = model.logits([r.text for r in out])
+    right = np.array([model.languages.index(r.lang) for r in out])
+
+    def loss(temperature):
+        p = np.exp(logits / temperature - np.logaddexp.reduce(logits / temperature, axis=1)[:, None])
+        return -np.log(np.maximum(p[np.arange(len(out)), right], 1e-12)).mean()
+
+    assert ok.all() and loss(model.temperature) < loss(1.0) + 0.02
+    # as sure as it is right
+    got = predicted(df.where(held_out(F.col("doc_id"))), model)
+    share = np.mean([got[r.doc_id][0] == r.lang for r in out])
+    assert abs(np.mean([s for _, s in got.values()]) - share) < (0.2 if rows == 50 else 0.1)
