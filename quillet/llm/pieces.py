@@ -26,9 +26,9 @@ _STEP, _BASE = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _SPACE = "▁"
 _WORD = re.compile(f"{_SPACE}+[^{_SPACE}]*")
 #: Slots of the tables of piece keys' low bits and of known pairs; words in a worker's cache, emptied when full; the longest of them.
-_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 21, 200_000, 64
+_KEY_BITS, _PAIR_BITS, CACHE, CACHED_CHARS = 20, 20, 100_000, 64
 #: Cells (words times length) that are searched together; bytes of texts whose words are.
-_CELLS, _TEXTS = 100_000, 2 << 20
+_CELLS, _TEXTS = 100_000, 1 << 20
 
 
 class PieceModel:
