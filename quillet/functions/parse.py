@@ -113,13 +113,16 @@ def _datetime(v: Column) -> Parsed:
 
 def _timespan(v: Column) -> Parsed:
     shape = rf"^{_SPACES}*(-?)(?:([0-9]{{1,8}})\.)?([0-9]{{1,2}}):([0-9]{{1,2}})(?::([0-9]{{1,2}})(?:\.([0-9]{{1,7}}))?)?{_SPACES}*$"
-    days = rf"^{_SPACES}*(-?)([0-9]{{1,8}}){_SPACES}*$"
-    part = lambda i, p=shape: F.coalesce(F.regexp_extract(v, p, i).try_cast("int"), F.lit(0))
-    fraction = F.rpad(F.substring(F.regexp_extract(v, shape, 6), 1, 6), 6, "0").try_cast("int")
+    days = rf"^{_SPACES}*-?([0-9]{{1,8}}){_SPACES}*$"
+    # all groups by one match; what an end of line leaves behind it stands after the last comma
+    groups = F.split(F.regexp_replace(v, shape, "$1,$2,$3,$4,$5,$6,"), ",")
+    number = lambda x: F.coalesce(x.try_cast("int"), F.lit(0))
+    part = lambda i: number(F.get(groups, F.lit(i - 1)))
+    fraction = F.rpad(F.substring(F.get(groups, F.lit(5)), 1, 6), 6, "0").try_cast("int")
     seconds = (part(5) + F.coalesce(fraction, F.lit(0)) / 1000000).cast("decimal(18,6)")
     full = v.rlike(shape) & (part(3) < 24) & (part(4) < 60) & (part(5) < 60)
-    size = F.when(full, F.make_dt_interval(part(2), part(3), part(4), seconds)).when(v.rlike(days), F.make_dt_interval(part(2, days)))
-    return Parsed(size.isNotNull(), F.when(F.regexp_extract(v, rf"^{_SPACES}*(-)", 1) == "-", size * -1).otherwise(size))
+    size = F.when(full, F.make_dt_interval(part(2), part(3), part(4), seconds)).when(v.rlike(days), F.make_dt_interval(number(F.regexp_extract(v, days, 1))))
+    return Parsed(size.isNotNull(), F.when(v.rlike(rf"^{_SPACES}*-"), size * -1).otherwise(size))
 
 
 def _guid(v: Column) -> Parsed:
