@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +19,7 @@ from quillet.options import DEFAULT, DYNAMIC_DEFAULT, ENDINGS, Options, OptionsE
 from quillet.schema import Schema
 
 _BOM = "\ufeff"
+_SPLITS = "source string, split long, open boolean, opens boolean, first long, last long, whole boolean"
 
 
 # --- sources: one row per text, (source, text)
@@ -56,28 +60,151 @@ def from_column(df: DataFrame, column: str, source: str) -> DataFrame:
 def from_large_files(spark: SparkSession, path: str | list[str], o: Options) -> DataFrame:
     """(source, record, text, ended): the records of UTF-8 files of any size, split as Spark splits them.
 
-    A split's lines are numbered where they are read. An odd number of quotes before a line says that it starts inside a quoted value and belongs to the
-    record before it; only each split's sums are ever brought together. The row ending is to be given: LF, CR or CRLF. ``ended`` is whether a row ending
+    A split's lines are counted where they are read (at once, as for the listing of files), and only its sums are brought together. An odd number of quotes before a line says that it starts inside
+    a quoted value and belongs to the record before it; records are put together and numbered where their lines are read again, and no line is
+    shuffled but those of records that cross from split to split. The row ending is to be given: LF, CR or CRLF. ``ended`` is whether a row ending
     follows the record (unknown, and true, in files whose bytes are no valid UTF-8).
     """
+    lines, splits = _large_lines(spark, path, o)
+    return _large_records(spark, lines, splits, o)
+
+
+def _large_lines(spark: SparkSession, path: str | list[str], o: Options) -> tuple[DataFrame, list[Row]]:
+    """The lines of the files' splits, and what ``_split_sums`` says of each split."""
     if o.read_ending == "DETECT":
         raise OptionsError("large files are split at row endings: say which")
-    cut = "\r" if o.read_ending == "CR" else "\n"
-    lines = spark.read.option("lineSep", cut).text(path).select(
-        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.monotonically_increasing_id().alias("position"), F.col("value").alias("line"),
+    _check_stitching(o)
+    lines = spark.read.option("lineSep", _cut(o)).text(path).select(
+        F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("split"), F.col("_metadata.file_size").alias("size"), F.col("value").alias("line"),
     )
     # the lines and their breaks are all of the file, but for the 3 bytes of a mark, which Spark has dropped
-    length = lines.groupBy("source").agg((F.max("size") - F.sum(F.octet_length("line") + 1)).isin(0, 3).alias("whole"))
+    lines = lines.withColumn("bytes", F.octet_length("line") + 1)
     lines = lines.withColumn("line", F.when(F.col("split") == 0, F.regexp_replace("line", f"^{_BOM}", "")).otherwise(F.col("line")))
-    found = split_large_text(lines, o, within="split")
-    ends = found.groupBy("source").agg(F.max("record").alias("last")).join(length, "source")
-    rows = found.join(ends, "source").withColumn("ended", (F.col("record") < F.col("last")) | F.col("whole"))
+    return lines, _split_sums(lines, o.quote).collect()
+
+
+def _large_records(spark: SparkSession, lines: DataFrame, splits: list[Row], o: Options) -> DataFrame:
+    """(source, record, text, ended) of the splits."""
+    stitched = lambda some: _stitched(lines, spark.createDataFrame(some, _SPLITS), o.quote, _cut(o))
+    rows = stitched(splits)
+    # no records cross without quoted line breaks
+    if crossed := [s for s in splits if s["open"] or s["opens"]]:
+        parts = stitched(crossed).where("edge").groupBy("source", "record").agg(F.sort_array(F.collect_list(F.struct("split", "text"))).alias("parts"), F.first("ended").alias("ended"))
+        rows = rows.where("not edge").select("source", "record", "text", "ended").union(parts.select("source", "record", F.array_join("parts.text", _cut(o)), "ended"))
     # the split takes the line break, of which CRLF leaves a part
     if o.read_ending == "CRLF":
         rows = rows.withColumn("text", F.when(F.col("ended"), F.regexp_replace("text", r"\r\z", "")).otherwise(F.col("text")))
     return rows.select("source", "record", "text", "ended")
 
 
+def _cut(o: Options) -> str:
+    """What Spark cuts lines at: CRLF leaves its first half with the line."""
+    return "\r" if o.read_ending == "CR" else "\n"
+
+
+def _check_stitching(o: Options) -> None:
+    if o.quote is not None and o.quote != o.escape:
+        raise OptionsError("stitching needs a quote that escapes itself")
+    if o.comment is not None and o.quote is not None:
+        raise OptionsError("lines of a dialect with both quotes and comments can't be told apart by counting")
+
+
+def _opens(line: pa.Array, quote: str | None, open: bool) -> tuple[np.ndarray, bool]:
+    """Whether each of consecutive lines starts inside a quoted value, and whether the next one will."""
+    if quote is None:
+        return np.zeros(len(line), bool), False
+    ends = (np.cumsum(pc.count_substring(line, quote).to_numpy(zero_copy_only=False)) + open) % 2 == 1
+    return np.concatenate(([open], ends[:-1])), bool(ends[-1])
+
+
+def _split_sums(lines: DataFrame, quote: str | None) -> DataFrame:
+    """A row for each split that has lines: source, split, whether its first line and the next split's are open, the first record that starts in it, the file's last, whether the file ends in a break."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[str, int], list] = {}
+        for b in batches:
+            for key, size, c in _runs(b):
+                # if the split's first line starts outside quotes: whether the next one's does, how many lines do, and how many there are
+                own = sums.setdefault(key, [size, 0, False, 0, 0])
+                inside, own[2] = _opens(c.column("line"), quote, own[2])
+                own[1] += pc.sum(c.column("bytes")).as_py()
+                own[3] += int(np.count_nonzero(~inside))
+                own[4] += len(c)
+        rows = [(*key, *own) for key, own in sums.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), *(pa.int64(),) * 3, pa.bool_(), *(pa.int64(),) * 2))], ["source", "split", "size", "bytes", "odd", "starts", "lines"])
+
+    found = lines.mapInArrow(run, "source string, split long, size long, bytes long, odd boolean, starts long, lines long")
+    file = Window.partitionBy("source")
+    upto = file.orderBy("split")
+    found = found.withColumn("opens", F.sum(F.col("odd").cast("long")).over(upto) % 2 == 1)
+    found = found.withColumn("open", F.col("opens") != F.col("odd"))
+    # in a split that starts inside quotes, those lines start records that else would not
+    found = found.withColumn("starts", F.when(F.col("open"), F.col("lines") - F.col("starts")).otherwise(F.col("starts")))
+    first = F.sum("starts").over(upto) - F.col("starts")
+    return found.select("source", "split", "open", "opens", first.alias("first"), (F.sum("starts").over(file) - 1).alias("last"), (F.max("size").over(file) - F.sum("bytes").over(file)).isin(0, 3).alias("whole"))
+
+
+def _stitched(lines: DataFrame, splits: DataFrame, quote: str | None, cut: str) -> DataFrame:
+    """(source, split, record, text, ended, edge): the records of each split; edge if it holds a part of one only."""
+    # a few numbers for each split
+    known = lines.select("source", "split", "line").join(F.broadcast(splits), ["source", "split"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, at, parts = None, None, []
+
+        def rows(texts: pa.Array, first: int, edges: np.ndarray) -> pa.RecordBatch:
+            record = first + np.arange(len(texts))
+            ended = (record < at["last"]) | at["whole"]
+            return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(key[0]), len(texts)), pa.repeat(pa.scalar(key[1]), len(texts)), pa.array(record), texts, pa.array(ended), pa.array(edges)], ["source", "split", "record", "text", "ended", "edge"])
+
+        def rest(more: bool) -> pa.RecordBatch:
+            """The record whose lines are held: a part if it started before the split or (``more``) goes on after it."""
+            return rows(pa.array([cut.join(parts)]), at["record"], np.array([at["headless"] or more]))
+
+        for b in batches:
+            for k, _, c in _runs(b):
+                if k != key:
+                    if parts:
+                        yield rest(at["opens"])
+                    top = {n: c.column(n)[0].as_py() for n in ("open", "opens", "first", "last", "whole")}
+                    # the record that is held, and whether a part of it stands before the split
+                    key, parts, at = k, [], {**top, "record": top["first"] - 1, "headless": top["open"], "now": top["open"]}
+                line = c.column("line")
+                inside, at["now"] = _opens(line, quote, at["now"])
+                start = np.flatnonzero(~inside)
+                parts += line.slice(0, start[0] if len(start) else len(line)).to_pylist()
+                if not len(start):
+                    continue
+                if parts:
+                    yield rest(False)
+                at["headless"] = False
+                # whole records, and the last one, which may go on
+                n = len(start) - 1
+                if n:
+                    own = line.slice(start[0], start[-1] - start[0])
+                    if len(own) > n:
+                        own = pc.binary_join(pa.ListArray.from_arrays(pa.array((start - start[0]).astype(np.int32)), own), cut)
+                    yield rows(own, at["record"] + 1, np.zeros(n, bool))
+                at["record"] += len(start)
+                parts = line.slice(start[-1]).to_pylist()
+        if parts:
+            yield rest(at["opens"])
+
+    return known.mapInArrow(run, "source string, split long, record long, text string, ended boolean, edge boolean")
+
+
+def _runs(b: pa.RecordBatch) -> Iterator[tuple[tuple[str, int], int | None, pa.RecordBatch]]:
+    """A batch in pieces of one split each: its file and start, the file's size, and the piece."""
+    if not len(b):
+        return
+    split = b.column("split").to_numpy()
+    source = b.column("source")
+    changed = (split[1:] != split[:-1]) | pc.not_equal(source[1:], source[:-1]).to_numpy(zero_copy_only=False)
+    edges = [0, *(np.flatnonzero(changed) + 1).tolist(), len(b)]
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        yield (source[i].as_py(), int(split[i])), b.column("size")[i].as_py() if "size" in b.schema.names else None, b.slice(i, j - i)
+
+
 def split_large_text(lines: DataFrame, o: Options, source: str = "source", position: str = "position", line: str = "line", within: str | None = None) -> DataFrame:
     """Records of texts too large for one row, from their physical lines: (source, record, text).
 
@@ -180,25 +307,32 @@ def read_static(texts: DataFrame, schema: Schema, o: Options = DEFAULT, on_error
 
 def read_static_large(spark: SparkSession, path: str | list[str], schema: Schema, o: Options, on_error: str = "raise") -> DataFrame:
     """``read_static`` for files of any size: no task sees more than a split of one. The row ending is to be given; no comments where values are quoted."""
-    rows = from_large_files(spark, path, o)
-    eol = F.lit(ENDINGS[o.read_ending])
-    # as it stands in the file, and malformed where it is more or less than one record
-    record = F.when(F.col("ended"), F.concat("text", eol)).otherwise(F.col("text"))
-    rows = rows.where(F.col("ended") | (F.col("text") != "")).select("source", F.lit(o.read_ending).alias("ending"), "record", record.alias("text"))
-    rows = rows.withColumn("one", found_records(F.col("text"), o, o.read_ending))
-    rows = rows.select("source", "ending", "record", F.when((F.size("one") == 1) & (F.get("one", F.lit(0)) == F.col("text")), F.col("text")).otherwise(F.raise_error(F.lit("malformed delimited text"))).alias("text"))
-    if o.comment is not None:
-        rows = rows.where(~is_comment(F.col("text"), o))
+    lines, splits = _large_lines(spark, path, o)
+
+    def checked(some: list[Row], which: str = "true") -> DataFrame:
+        rows = _large_records(spark, lines, some, o).where(which)
+        # as it stands in the file, and malformed where it is more or less than one record
+        record = F.when(F.col("ended"), F.concat("text", F.lit(ENDINGS[o.read_ending]))).otherwise(F.col("text"))
+        rows = rows.where(F.col("ended") | (F.col("text") != "")).select("source", F.lit(o.read_ending).alias("ending"), "record", record.alias("text"))
+        rows = rows.withColumn("one", found_records(F.col("text"), o, o.read_ending))
+        rows = rows.select("source", "ending", "record", F.when((F.size("one") == 1) & (F.get("one", F.lit(0)) == F.col("text")), F.col("text")).otherwise(F.raise_error(F.lit("malformed delimited text"))).alias("text"))
+        return rows if o.comment is None else rows.where(~is_comment(F.col("text"), o))
+
+    rows = checked(splits)
     n = len(schema.fields)
     if o.read_header == "NEVER":
         data = rows.select("source", "ending", F.lit(None).cast("array<int>").alias("places"), F.lit(n).alias("width"), F.col("record").alias("row_number"), F.col("text").alias("record"))
         return _typed(data, schema, o, on_error, headed=False)
-    # one row for each file: Spark broadcasts it if it is small
-    top = rows.groupBy("source").agg(F.min(F.struct("record", "text")).alias("top")).select("source", "top.*")
+    # each file's first row: without comments it is the first record, of which no part is where more records than that have started before
+    if o.comment is None:
+        top = checked([x for x in splits if x["first"] <= 1], "record = 0")
+    else:
+        top = rows.join(F.broadcast(rows.groupBy("source").agg(F.min("record").alias("record"))), ["source", "record"])
     top = top.select("source", F.col("record").alias("first"), values(raw_values(F.col("text"), o, o.read_ending), o).alias("head"))
     top = top.withColumn("headed", is_header(F.col("head"), schema.names, o)).withColumn("head", F.when(F.col("headed"), F.col("head")).otherwise(F.array(*map(F.lit, schema.names))))
     top = top.select("source", "first", "headed", _places(F.col("head"), schema).alias("places"), F.size("head").alias("width"))
-    data = rows.join(top, "source").where(~F.col("headed") | (F.col("record") > F.col("first")))
+    # some numbers for each file
+    data = rows.join(F.broadcast(top), "source").where(~F.col("headed") | (F.col("record") > F.col("first")))
     number = F.col("record") - F.when(F.col("headed"), F.col("first") + 1).otherwise(F.lit(0))
     return _typed(data.select("source", "ending", "places", "width", number.alias("row_number"), F.col("text").alias("record")), schema, o, on_error, headed=True)
 

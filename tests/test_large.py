@@ -4,7 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions import parse
+from quillet.options import DEFAULT
+from quillet.plans import Static
 from quillet.queries import queries
+from quillet.schema import Schema
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,3 +31,26 @@ def test_timespans(spark, text, micros):
     p = parse.PARSERS["timespan"](F.col("t"))
     got = spark.createDataFrame([(text,)], "t string").select(p.ok, F.unix_micros(F.timestamp_seconds(F.lit(0)) + p.value)).first()
     assert tuple(got) == (micros is not None, micros)
+
+
+def test_large_files_shuffle_no_lines(spark, tmp_path):
+    plan = Static(Schema.of(n="int", text="string"), DEFAULT.but(read_ending="LF", write_ending="LF"))
+    plan.write(spark.range(1000).select(F.col("id").cast("int").alias("n"), F.lit("x").alias("text")), f"{tmp_path}/a")
+    read = plan.read_large_files(spark, f"{tmp_path}/a")
+    assert "hashpartitioning" not in read._jdf.queryExecution().executedPlan().toString()
+    assert read.count() == 1000
+
+
+@pytest.mark.parametrize("size", ["400", "100000"])
+def test_records_across_splits(spark, tmp_path, size):
+    """Values of many lines, over several splits, in the header too."""
+    schema, o = Schema.of(**{"n\nm" + "\n" * 70: "int", "text": "string"}), DEFAULT.but(read_ending="LF", write_ending="LF")
+    want = [(i, "\n".join("ab﻿"[: i % 4] for _ in range(i % 50)) + '"x') for i in range(60)]
+    df = spark.createDataFrame(want, ["n\nm" + "\n" * 70, "text"]).coalesce(1)
+    Static(schema, o).write(df, f"{tmp_path}/a")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        got = Static(schema, o).read_large_files(spark, f"{tmp_path}/a").orderBy("row_number").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert [x[1] for x in got] == list(range(60)) and [tuple(x[2:]) for x in got] == want
