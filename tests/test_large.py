@@ -1,9 +1,12 @@
 """How the work of a query grows: what is read, matched and shuffled."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from quillet.functions import parse
+from quillet.operators import strict
 from quillet.options import DEFAULT
 from quillet.plans import Static
 from quillet.queries import queries
@@ -54,3 +57,11 @@ def test_records_across_splits(spark, tmp_path, size):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert [x[1] for x in got] == list(range(60)) and [tuple(x[2:]) for x in got] == want
+
+
+def test_unclosed_texts_are_not_walked_by_characters():
+    text = '"' + "a value that never ends, " * 40_000
+    began = time.process_time()
+    with pytest.raises(strict.Malformed, match="ended unexpectedly"):
+        strict.read(text, DEFAULT.but(read_ending="LF"))
+    assert time.process_time() - began < 0.1
