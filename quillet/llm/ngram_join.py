@@ -7,8 +7,8 @@
 3. The classes that are left order their shingles by document frequency, rarest first, and put the prefix of each
    set (n - ceil(threshold * n) + 1 shingles) in an inverted list.
 4. First every set of a list is compared to the list's hub (its smallest key), which joins most sets of a dense group without its
-   pairs; what is outside a list's largest component then meets up to ``HUB_TURNS`` other hubs out of it, one at a time. Then, within lists that still hold
-   several of the components so found, every pair of different components is compared: length,
+   pairs. Lists that still hold several of the components so found get more hubs turn by turn, ``HUB_GROWTH`` times as many each time, until
+   nearly all were hubs. At last, within lists that hold several components even then, every pair of different components is compared: length,
    positional and suffix filters first (the last by parities of the members in cells, as the sets' difference is at least theirs), then
    the exact overlap, once per pair.
 
@@ -34,8 +34,8 @@ _MARK = np.iinfo(np.int64).min
 HUB_ROWS, RANGES = 512, 64
 #: Shingles that meet in a bucket of the screen, about, and bytes of texts that are dealt to the buckets together.
 BUCKET, DEALT_BYTES = 4_000_000, 4 << 20
-#: Hubs that are tried in each list, after the first, before the sets that are still apart meet in pairs.
-HUB_TURNS = 3
+#: Hubs of a list in the first turn after its own hub, and how many times as many there are in each further turn.
+HUB_GROWTH = 8
 #: Bits that hold the parities of a set's members in so many cells: two sets differ in at least as many members as bits.
 PARITIES = 1024
 _SALT = _U(0x2545F4914F6CDD1D)
@@ -286,23 +286,26 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         return long_enough(na, nb) & (place * (100 + threshold) >= (F.col(na) + F.col(nb)) * threshold) & near
 
     def mixed_of(rows: DataFrame, parts: DataFrame) -> DataFrame:
-        """The rows of lists that hold several components, with their own and the list's largest one."""
+        """The rows of lists that hold several components, with their own and the list's largest one and the list's size."""
         named = rows.join(parts, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
-        largest = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many")).groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.count(F.lit(1)).alias("parts"))
-        return named.join(largest.where("parts > 1").select("token", "largest"), "token")
+        by_part = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
+        largest = by_part.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.sum("many").alias("size"), F.count(F.lit(1)).alias("parts"))
+        return named.join(largest.where("parts > 1").select("token", "largest", "size"), "token")
 
     mixed = stage(mixed_of(lists, parts).join(sets.select("key", "n", "d", "parities"), ["key", "n", "d"]), "mixed")
-    # further hubs, another one each time, for what is outside the largest component: linear, and what it joins needs no pairs
-    for turn in range(HUB_TURNS):
-        hubs = mixed.where("part = largest").groupBy("token").agg(F.min_by(F.struct("key", "n", "pos", "parities"), F.xxhash64("key", F.lit(turn))).alias("h"))
-        hubs = hubs.select("token", *(F.col(f"h.{c}").alias(f"hub_{c}") for c in ("key", "n", "pos", "parities")))
-        met = mixed.where("part <> largest").join(hubs, "token").where(may_match("n", "pos", "parities", "hub_n", "hub_pos", "hub_parities"))
+    # more hubs each time, out of all components: once a share of a list's rows were hubs, the links between its components that are left are about
+    # as many as its rows over that share, so a turn, and the pairs at last, find rows in proportion to the lists, not to the square of a group
+    hubs = HUB_GROWTH
+    while (mixed.agg(F.max("size")).first()[0] or 0) > hubs:
+        # the same sets in all lists of a size, so that few different pairs are looked at
+        drawn = F.pmod(F.xxhash64("key", F.lit(hubs)), F.lit(1 << 31)) * F.col("size") < hubs * (1 << 31)
+        own = mixed.where((F.col("size") > hubs) & drawn).select("token", *(F.col(c).alias(f"hub_{c}") for c in ("key", "n", "pos", "parities", "part")))
+        met = mixed.join(own, "token").where((F.col("part") != F.col("hub_part")) & may_match("n", "pos", "parities", "hub_n", "hub_pos", "hub_parities"))
         found = stage(_verify(stage(met.select(F.col("hub_key").alias("a"), F.col("key").alias("b")).distinct(), "pairs"), sets, threshold), "links")
-        if found.isEmpty():
-            break
         edges = edges.union(found)
         parts = stage(connected_components(edges), "parts")
-        mixed = stage(mixed_of(mixed.drop("part", "largest"), parts), "mixed")
+        mixed = stage(mixed_of(mixed.drop("part", "largest", "size"), parts), "mixed")
+        hubs *= HUB_GROWTH
 
     # what is still apart: each set outside the largest component meets all sets of the others
     x = mixed.where("part <> largest").select("token", F.col("key").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("part").alias("part_a"), F.col("parities").alias("qa"))

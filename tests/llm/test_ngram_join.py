@@ -5,6 +5,7 @@ import re
 
 import pytest
 
+from quillet.llm import ngram_join
 from quillet.llm.components import connected_components
 from quillet.llm.ngram_join import jaccard_components
 
@@ -93,3 +94,25 @@ def test_components_of_a_long_path(spark):
 
 def test_nul_is_part_of_a_word(make):
     assert run(make([(1, "a\x00b c d e f"), (2, "a b c d e f")])) == {1: (1, 1), 2: (2, 2)}
+
+
+def test_pairs_of_a_group_near_the_threshold_grow_with_its_rows(make, monkeypatch):
+    # most are linked to a few of the group only, so that a handful of hubs leaves them apart
+    rng, rows = random.Random(0), []
+    base = words(rng, 150, 10**6).split()
+    for i in range(800):
+        text = list(base)
+        for j in rng.sample(range(15), 3) if i % 25 else [7]:
+            text[10 * j + rng.randrange(1, 9)] = f"x{rng.randrange(10**9)}"
+        rows.append(((i * 7919 + 1) % 801 if i % 25 else 2000 + i, " ".join(text)))
+    sizes, stage = [], ngram_join.stage
+
+    def count(df, name):
+        back = stage(df, name)
+        if name == "pairs":
+            sizes.append(back.count())
+        return back
+
+    monkeypatch.setattr(ngram_join, "stage", count)
+    assert run(make(rows)) == brute(rows)
+    assert sum(sizes) < 12 * len(rows), sizes
