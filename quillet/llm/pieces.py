@@ -97,22 +97,31 @@ class PieceModel:
             self.raw[i], self.length[i] = (mix(codes.astype(np.uint64) + _U(1)) * power[: len(codes)]).sum(), len(codes)
         ids = np.array(sorted(pieces.values()), np.int64)
         keys = mix(self.raw[ids] + self.length[ids].astype(np.uint64) * _STEP)
-        order = np.argsort(keys)
+        slot = (keys & _U((1 << _KEY_BITS) - 1)).view(np.int64)
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
         self.keys, self.ids = keys[order], ids[order].astype(np.int32)
         if len(np.unique(keys)) < len(keys):
             raise ValueError("two pieces have the same key")
-        self.maybe = np.zeros(1 << _KEY_BITS, bool)
-        self.maybe[self.keys & _U((1 << _KEY_BITS) - 1)] = True
+        self.maybe, self.place = np.zeros(1 << _KEY_BITS, bool), np.zeros(1 << _KEY_BITS, np.int32)
+        self.maybe[slot] = True
+        self.place[slot[::-1]] = np.arange(len(slot), dtype=np.int32)[::-1]  # of several keys of a slot the first
+        self.most = int(np.bincount(slot).max())
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Piece of each key, or -1."""
         out = np.full(keys.shape, -1, np.int32)
         flat = keys.ravel()
-        at = np.flatnonzero(self.maybe[(flat & _U((1 << _KEY_BITS) - 1)).view(np.int64)])
-        k = flat[at]
-        place = np.minimum(np.searchsorted(self.keys, k), len(self.keys) - 1)
-        ok = self.keys[place] == k
-        out.ravel()[at[ok]] = self.ids[place[ok]]
+        slot = (flat & _U((1 << _KEY_BITS) - 1)).view(np.int64)
+        at = np.flatnonzero(self.maybe[slot])
+        k, place, last = flat[at], self.place[slot[at]], len(self.keys) - 1
+        for _ in range(self.most):
+            ok = self.keys[place] == k
+            out.ravel()[at[ok]] = self.ids[place[ok]]
+            rest = np.flatnonzero(~ok)
+            if not len(rest):
+                break
+            at, k, place = at[rest], k[rest], np.minimum(place[rest] + 1, last)
         return out
 
     def compatible(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,13 +244,20 @@ class Encoder:
         steps = np.array(out)[::-1].T  # rows x steps, -1 where a row had ended
         return steps[steps >= 0], (steps >= 0).sum(axis=1)
 
-    def _with_bytes(self, word: str, pieces: np.ndarray) -> bytes:
-        """Ids of a word some of whose characters have no piece."""
-        ids, at = [], 0
-        for p in pieces:
-            ids += self.m.byte_ids[list(word[at].encode("utf-8", "replace"))].tolist() if p == self.outside else [int(p)]
-            at += 1 if p == self.outside else int(self.m.length[p])
-        return np.array(ids, "<i4").tobytes()
+    def _with_bytes(self, words: list[str], pieces: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, and how many each has: characters without a piece give their bytes."""
+        bad = pieces == self.outside
+        if not bad.any():
+            return pieces, count
+        size = np.where(bad, 1, self.m.length[pieces])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)[(np.cumsum(size) - size)[bad]]
+        codes, back = np.unique(codes, return_inverse=True)
+        own = [self.m.byte_ids[list(chr(c).encode("utf-8", "replace"))] for c in codes]
+        size[:] = 1
+        size[bad] = np.array([len(x) for x in own])[back]
+        out = np.repeat(pieces, size)
+        out[np.repeat(bad, size)] = np.concatenate([own[c] for c in back])
+        return out, np.add.reduceat(size, np.cumsum(count) - count)
 
     def _words(self, words: list[str]) -> dict[str, bytes]:
         """Ids, as bytes, of words that start with one space."""
@@ -253,12 +269,10 @@ class Encoder:
             step = max(1, _CELLS // n)
             for i in range(0, len(own), step):
                 part = own[i : i + step]
-                pieces, count = self._search(part)
+                pieces, count = self._with_bytes(part, *self._search(part))
                 data, end = pieces.astype("<i4").tobytes(), np.cumsum(count)
                 at = (4 * np.append(0, end)).tolist()
                 out.update(zip(part, [data[a:b] for a, b in zip(at[:-1], at[1:], strict=True)], strict=True))
-                for k in np.unique(np.searchsorted(end, np.flatnonzero(pieces == self.outside), "right")):
-                    out[part[k]] = self._with_bytes(part[k], pieces[end[k] - count[k] : end[k]])
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -274,10 +288,14 @@ class Encoder:
             ids, extra = cache.get(rest) or new[rest], len(w) - len(rest)
             lone = int(np.frombuffer(ids[:4], "<i4")[0] == self.m.normal[_SPACE])  # then it is part of the run
             new[w] = np.array(self.m.spaces(extra + lone), "<i4").tobytes() + ids[4 * lone :]
-        out = [b"".join([cache.get(w) or new[w] for w in words]) for words in split]
-        if len(cache) + len(new) > CACHE:
+        full = len(cache) + len(new) > CACHE
+        cache.update(new)
+        out = [b"".join(map(cache.__getitem__, words)) for words in split]
+        if full:
             cache.clear()
-        cache.update((w, x) for w, x in new.items() if len(w) <= CACHED_CHARS)
+            cache.update(new)
+        for w in [w for w in new if len(w) > CACHED_CHARS]:
+            del cache[w]
         return out
 
 

@@ -1,6 +1,7 @@
 """Ids, counts and decoding against the library."""
 
 import random
+import sys
 
 import numpy as np
 import public_tokenizers
@@ -84,3 +85,40 @@ def test_a_megabyte_of_spaces(library, model):
     want = [library.encode(t) for t in texts]
     assert [np.frombuffer(x, "<i4").tolist() for x in Encoder(model).encode(texts)] == want
     assert PieceCounter(open(MODEL, "rb").read()).count(pa.array(texts)).tolist() == [len(w) for w in want]
+
+
+def test_words_are_not_worked_on_one_by_one(library, model):
+    # most with a character that has no piece, half of them in two texts
+    rng = random.Random(4)
+    words = ["".join(chr(rng.randrange(97, 123)) for _ in range(rng.randrange(1, 12))) + chr(rng.randrange(0x3400, 0x4D00)) * rng.randrange(3) for _ in range(20_000)]
+    texts = [" ".join(words), " ".join(words[::-2])]
+    encoder, calls = Encoder(model), [0]
+    encoder.encode(["a warm one"])
+
+    def count(frame, event, arg):
+        calls[0] += event == "call"
+
+    sys.setprofile(count)
+    try:
+        found = encoder.encode(texts)
+    finally:
+        sys.setprofile(None)
+    want = [library.encode(t) for t in texts]
+    assert [np.frombuffer(x, "<i4").tolist() for x in found] == want
+    assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == want  # from the cache
+    # calls of functions grow with the lengths that there are, not with the words
+    assert calls[0] < len(set(words)), calls
+
+
+def test_long_words_are_not_kept(library, model):
+    texts, encoder = ["ab" * 40 + " cd 日" + "x" * 70, "ab" * 40 + "  cd"], Encoder(model)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<i4").tolist() for x in encoder.encode(texts)] == [library.encode(t) for t in texts]
+        assert encoder.cache and max(map(len, encoder.cache)) <= 64
+
+
+def test_every_key_of_a_shared_slot_is_found(model):
+    ids = np.flatnonzero(model.length)
+    keys = model.keys[np.argsort(model.ids)]
+    assert model.find(keys).tolist() == np.sort(model.ids).tolist() == ids.tolist()
+    assert (model.find(keys ^ np.uint64(1 << 40)) == -1).all()
