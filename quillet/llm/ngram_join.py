@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, by_bytes, discard, if_small, mix, sequence_hash, stage, tidy
+from .common import BY_SPACE, SMALL, Words, bounded_batches, by_bytes, discard, if_small, mix, sequence_hash, stage, tidy
 from .components import connected_components
 
 _U = np.uint64
@@ -222,9 +222,12 @@ def overlap_reaches(a: np.ndarray, b: np.ndarray, threshold: int) -> bool:
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough. Each b's set goes to the set of its a, of which there is a copy for every ``HUB_ROWS`` of them."""
-    copies = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("copies"))
+    copies = if_small(stage(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB_ROWS).cast("int").alias("copies")), "copies"))
+    # sets stay where they are while the pairs that choose among them are few
+    dealt = pairs.join(copies, "a")
+    dealt = F.broadcast(dealt) if pairs.count() <= SMALL else dealt
     left = copies.join(sets, F.col("a") == F.col("key")).select("a", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.lit(None).cast("long").alias("b"), "members")
-    right = pairs.join(copies, "a").join(sets, F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b", "members")
+    right = dealt.join(sets, F.col("b") == F.col("key")).select("a", F.pmod(F.xxhash64("b"), F.col("copies")).cast("int").alias("copy"), "b", "members")
 
     @tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,6 +245,19 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return left.union(right).repartition("a", "copy").sortWithinPartitions("a", "copy", F.col("b").asc_nulls_first()).mapInArrow(run, "a long, b long")
 
 
+def _joined(parts: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links (a, b), both written before: only the components that the links join are looked at."""
+    if links.isEmpty():
+        return parts
+    ends = links
+    for x in "ab":
+        root = parts.select(F.col("node").alias(x), F.col("component").alias("root"))
+        ends = ends.join(if_small(root), x, "left").withColumn(x, F.coalesce("root", x)).drop("root")
+    roots = stage(connected_components(ends), "roots")
+    moved = parts.join(if_small(roots.select(F.col("node").alias("component"), F.col("component").alias("root"))), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return stage(moved.union(roots.join(if_small(parts.select("node")), "node", "left_anti")), "parts")
+
+
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: int = 75, table: np.ndarray = BY_SPACE) -> DataFrame:
     """Per row: ``key``, n_shingles (size of its set) and component_id (the smallest key that links lead to, its own included).
 
@@ -273,8 +289,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     long_enough = lambda x, y: (F.col(x) * 100 >= F.col(y) * threshold) & (F.col(y) * 100 >= F.col(x) * threshold)
     hubs = lists.groupBy("token").agg(F.min_by(F.struct("key", "n"), "key").alias("hub"), F.count(F.lit(1)).alias("many")).where("many > 1").select("token", F.col("hub.key").alias("a"), F.col("hub.n").alias("na"))
     first = lists.join(hubs, "token").where((F.col("key") != F.col("a")) & long_enough("n", "na")).select("a", F.col("key").alias("b")).distinct()
-    edges = stage(_verify(stage(first, "pairs"), sets, threshold), "links")
-    parts = stage(connected_components(edges), "parts")
+    parts = stage(connected_components(stage(_verify(stage(first, "pairs"), sets, threshold), "links")), "parts")
 
     # 100 * overlap >= threshold * union, as far as lengths and places can tell
     def may_match(na: str, pa_: str, qa: str, nb: str, pb: str, qb: str) -> Column:
@@ -287,10 +302,10 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     def mixed_of(rows: DataFrame, parts: DataFrame) -> DataFrame:
         """The rows of lists that hold several components, with their own and the list's largest one and the list's size."""
-        named = rows.join(parts, F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
+        named = rows.join(if_small(parts), F.col("key") == F.col("node"), "left").withColumn("part", F.coalesce("component", "key")).drop("node", "component")
         by_part = named.groupBy("token", "part").agg(F.count(F.lit(1)).alias("many"))
         largest = by_part.groupBy("token").agg(F.max_by("part", F.struct("many", "part")).alias("largest"), F.sum("many").alias("size"), F.count(F.lit(1)).alias("parts"))
-        return named.join(largest.where("parts > 1").select("token", "largest", "size"), "token")
+        return named.join(if_small(stage(largest.where("parts > 1").select("token", "largest", "size"), "largest")), "token")
 
     mixed = stage(mixed_of(lists, parts).join(sets.select("key", "n", "d", "parities"), ["key", "n", "d"]), "mixed")
     # more hubs each time, out of all components: once a share of a list's rows were hubs, the links between its components that are left are about
@@ -302,9 +317,9 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
         own = mixed.where((F.col("size") > hubs) & drawn).select("token", *(F.col(c).alias(f"hub_{c}") for c in ("key", "n", "pos", "parities", "part")))
         met = mixed.join(own, "token").where((F.col("part") != F.col("hub_part")) & may_match("n", "pos", "parities", "hub_n", "hub_pos", "hub_parities"))
         found = stage(_verify(stage(met.select(F.col("hub_key").alias("a"), F.col("key").alias("b")).distinct(), "pairs"), sets, threshold), "links")
-        edges = edges.union(found)
-        parts = stage(connected_components(edges), "parts")
-        mixed = stage(mixed_of(mixed.drop("part", "largest", "size"), parts), "mixed")
+        if not found.isEmpty():
+            parts = _joined(parts, found)
+            mixed = stage(mixed_of(mixed.drop("part", "largest", "size"), parts), "mixed")
         hubs *= HUB_GROWTH
 
     # what is still apart: each set outside the largest component meets all sets of the others
@@ -318,9 +333,8 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     pair = pair.groupBy("a", "b", "p.na", "p.nb").agg(F.count(F.lit(1)).alias("c"), F.max("p.pa").alias("pa"), F.max("p.pb").alias("pb"))
     bound = F.col("c") + F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) - 1
     second = pair.where(bound * (100 + threshold) >= (F.col("na") + F.col("nb")) * threshold).select("a", "b").distinct()
-    more = stage(_verify(stage(second, "pairs"), sets, threshold), "links")
-    groups = connected_components(edges.union(more))
+    groups = _joined(parts, stage(_verify(stage(second, "pairs"), sets, threshold), "links"))
 
-    named = stage(classes.join(groups, F.col("key") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "key").alias("component_id")), "groups")
+    named = stage(classes.join(if_small(groups), F.col("key") == F.col("node"), "left").select("d1", "d2", "n", F.coalesce("component", "key").alias("component_id")), "groups")
     found = rows.join(named, ["d1", "d2", "n"], "left")
     return found.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))

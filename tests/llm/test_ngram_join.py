@@ -1,10 +1,12 @@
 """The join against all pairs of small corpora."""
 
+import itertools
 import random
 import re
 
 import pytest
 
+from quillet.llm import components as components_module
 from quillet.llm import ngram_join
 from quillet.llm.components import connected_components
 from quillet.llm.ngram_join import jaccard_components
@@ -116,3 +118,30 @@ def test_pairs_of_a_group_near_the_threshold_grow_with_its_rows(make, monkeypatc
     monkeypatch.setattr(ngram_join, "stage", count)
     assert run(make(rows)) == brute(rows)
     assert sum(sizes) < 12 * len(rows), sizes
+
+
+@pytest.fixture
+def stages(monkeypatch):
+    """Names of what is written, in order."""
+    names = []
+    for module in (ngram_join, components_module):
+        monkeypatch.setattr(module, "stage", lambda df, name, stage=module.stage: names.append(name) or stage(df, name))
+    return names
+
+
+def test_stars_take_no_round(spark, stages):
+    edges = [(hub, hub + i) for hub in range(0, 3000, 100) for i in range(1, 40)]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: i // 100 * 100 for a, b in edges for i in (a, b)}
+    assert stages == ["edges", "least"]
+
+
+def test_turns_that_link_nothing_leave_the_components_alone(make, stages):
+    # passages that a third of the texts hold each, so that lists are long, and no two texts are similar
+    rng = random.Random(4)
+    passages = [words(rng, 25, 10**6) for _ in range(12)]
+    rows = [(i, " ".join(x)) for i, x in enumerate(rng.sample([*itertools.combinations(passages, 4)], 120))]
+    text = words(rng, 60, 10**6)
+    rows += [(200, text), (201, text + " more")]
+    assert run(make(rows)) == brute(rows)
+    assert stages.count("links") > 2 and stages.count("edges") == 1, stages
