@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BY_SPACE, Words, bounded_batches, by_bytes, stage, tidy
+from .common import BY_SPACE, WIDE_BYTES, Words, bounded_batches, by_bytes, stage, tidy
 
 #: Weight of the unigram model in the bigrams, and what is added to every unigram count.
 MU, ADD = 10.0, 0.5
@@ -187,11 +187,11 @@ def score_documents(docs: DataFrame, target: Column, key: str = "doc_id", text:
     no tokens and null losses. Rows are kept as they come, and repeated rows count as often as they are there.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    bounded_batches(spark, size=WIDE_BYTES)
     kind = docs.schema[key].dataType.simpleString()
     named = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.coalesce(target, F.lit(False)).alias("target"))
     # written once: both passes must see the same chunks
-    chunks = stage(_chunks(named, kind), "chunks")
+    chunks = stage(_chunks(named, kind), "chunks", wide=True)
     total = chunks.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "n_target"))).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * total.n // BUCKET))
     replies = stage(_replies(_requests(chunks, buckets)), "replies")

@@ -4,6 +4,7 @@ import math
 import random
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,22 @@ def test_no_result_depends_on_the_size_of_chunks_and_buckets(spark, monkeypatch,
     monkeypatch.setattr(lm_score, "BUCKET", bucket)
     rows = [r for r in corpus() if r[0] != 104] + [(200 + i, "the most common line of all " * 3, i % 2 == 0) for i in range(200)]
     check(spark, rows)
+
+
+def test_chunks_are_written_and_read_a_few_at_a_time(spark, monkeypatch):
+    staged, stage = {}, lm_score.stage
+
+    def kept(df, name, **how):
+        staged[name] = stage(df, name, **how)
+        return staged[name]
+
+    monkeypatch.setattr(lm_score, "stage", kept)
+    # one task's rows: 24 texts of 1 MB that hardly compress
+    texts = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(62_000)), lambda i: F.hex(F.xxhash64("id", i))), " ")
+    found = score_documents(spark.range(0, 24, 1, 1).select(F.col("id").alias("doc_id"), texts.alias("text")), F.col("doc_id") % 2 == 0)
+    assert [r.n_tokens for r in found.collect()] == [62_000] * 24
+    (file,) = {f.removeprefix("file://") for f in staged["chunks"].inputFiles()}
+    groups = pq.ParquetFile(file).metadata
+    sizes = [sum(g.column(k).total_compressed_size for k in range(g.num_columns)) for g in map(groups.row_group, range(groups.num_row_groups))]
+    assert sum(sizes) > 12e6 and max(sizes) < 10e6
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
