@@ -273,11 +273,12 @@ def read_records(texts: DataFrame, o: Options = DEFAULT) -> DataFrame:
 
 def read_with_comments(texts: DataFrame, o: Options = DEFAULT) -> DataFrame:
     """(source, position, kind, row_number, values, comment): rows and comments as they come; comments have no row number."""
-    rows = read_records(texts, o)
     if o.comment is None:
-        return rows.select("source", "position", "kind", F.col("position").alias("row_number"), "values", "comment")
+        return read_records(texts, o).select("source", "position", "kind", F.col("position").alias("row_number"), "values", "comment")
+    # texts of the same source, or of none, are numbered apart
+    rows = read_records(texts.select(F.struct("source", F.monotonically_increasing_id().alias("text")).alias("source"), "text"), o)
     before = F.count(F.when(F.col("kind") == "row", 1)).over(Window.partitionBy("source").orderBy("position"))
-    return rows.select("source", "position", "kind", F.when(F.col("kind") == "row", before - 1).cast("int").alias("row_number"), "values", "comment")
+    return rows.select("source.source", "position", "kind", F.when(F.col("kind") == "row", before - 1).cast("int").alias("row_number"), "values", "comment")
 
 
 def _places(header: Column, schema: Schema) -> Column:
