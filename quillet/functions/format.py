@@ -114,10 +114,14 @@ def needs_encoding(v: Column, o: Options) -> Column:
     return v.rlike(f"[{special}]") | v.contains(F.lit(o.separator))
 
 
-def encode_cell(v: Column, o: Options) -> Column:
-    """The text as a cell: null as nothing, quoted where it has to be, an error where the dialect has no way to."""
+def encode_cell(v: Column, o: Options, quote_empty: bool = False) -> Column:
+    """The text as a cell: null as nothing, quoted where it has to be, an error where the dialect has no way to.
+
+    An empty text is nothing, too, unless ``quote_empty``: quoted, it is no absent value where it ends the data.
+    """
+    empty = F.coalesce(v == "", F.lit(False))
     v = F.coalesce(v, F.lit(""))
-    needs = needs_encoding(v, o)
+    needs = needs_encoding(v, o) | empty if quote_empty else needs_encoding(v, o)
     if o.quote is None:
         # fixed messages, here and below
         message = "Tried to write a value which requires escaping, but no way to escape a value is configured: "

@@ -35,7 +35,8 @@ class Field:
     ``default`` is what an absent value leaves in the row. ``reset`` gives the value a member has before its own is set, from the
     row's other text cells; ``should_write`` says, from the row, whether its cell is filled. With ``emit_default`` off, a cell that
     holds ``zero`` (the type's default) is left empty. A skipped cell is empty; its separator stays. ``never_null`` is a contract: a null that the parser
-    or the reset gives, or that an absent value would leave, is an error. ``getter`` gives the value to write, in place of the column of the field's name.
+    or the reset gives, or that an absent value would leave, is an error. ``getter`` gives the value to write, in place of the column of the field's name. With ``quote_empty``
+    an empty text is written in quotes, and a null as nothing.
     """
 
     name: str
@@ -55,6 +56,7 @@ class Field:
     reset: Callable[[], Column] | None = None
     never_null: bool = False
     getter: Callable[[], Column] | None = None
+    quote_empty: bool = False
 
     def start(self, schema: Schema) -> Column:
         """What the member holds before its own value is set: its reset, its default, or what the schema's default row gives it."""

@@ -14,7 +14,7 @@ from quillet.schema import SPARK_KINDS, Field, Schema
 def cell(f: Field, o: Options) -> Column:
     """A field's cell: empty if it is not to be written, null, or a default that is not emitted."""
     value = f.getter() if f.getter else F.col(f"`{f.column or f.name}`")
-    text = encode_cell(f.get_formatter()(value), o)
+    text = encode_cell(f.get_formatter()(value), o, f.quote_empty)
     if not f.emit_default:
         zero = {"string": "", "char": "\0", "bool": False}.get(f.kind, 0) if f.zero is None and not f.nullable and f.kind not in ("datetime", "datetimeoffset", "guid", "timespan", "enum") else f.zero
         text = F.when(value.isNull() if zero is None else value.eqNullSafe(F.lit(zero)), "").otherwise(text)
